@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import url as U
+from larkspur.functions.numbers import js_round
 from larkspur.functions.text import contains_any
-from larkspur.functions.url_type import candidate_rank, classify_url, is_product_candidate
+from larkspur.functions.url_type import candidate_rank, classify_url, is_product_candidate, split_url
 
 
 def domain_counts(urls: DataFrame) -> DataFrame:
@@ -21,8 +22,14 @@ def dedupe_urls(urls: DataFrame, order: str) -> DataFrame:
 
 
 def with_url_type(urls: DataFrame) -> DataFrame:
-    typed = urls.withColumn("_type", classify_url(F.col("url")))
-    return typed.withColumns({"confidence": F.col("_type.confidence"), "hint": F.col("_type.hint")}).drop("_type")
+    """Add confidence and hint.
+
+    The score is produced by a one-row generator: filters on it then read the
+    result instead of being rewritten below the projection with a copy of the
+    whole expression.
+    """
+    typed = split_url(urls).select("*", F.inline(F.array(classify_url(F.col("url")))))
+    return typed.drop("_path", "_query", "_segments", "_last")
 
 
 def product_candidates(urls: DataFrame) -> DataFrame:
@@ -77,9 +84,9 @@ def rank_candidates(urls: DataFrame, n: int, from_crawl: Column | None = None) -
     applied below the shuffle, so a dominant host sends at most n rows per task.
     """
     typed = with_url_type(urls)
-    scored = typed.withColumn("rank_score", candidate_rank(
+    scored = typed.withColumn("rank_score", js_round(candidate_rank(
         F.col("url"), F.col("confidence"), F.col("hint"),
-        from_crawl if from_crawl is not None else F.lit(False)))
+        from_crawl if from_crawl is not None else F.lit(False)), 4))
     best = scored.groupBy(U.host(F.col("url")).alias("host"), U.url_key(F.col("url")).alias("url_key")).agg(
         F.max_by(F.struct("url", "confidence", "hint", "rank_score"),
                  F.struct(F.col("rank_score"), F.col("url"))).alias("b"))

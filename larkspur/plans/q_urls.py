@@ -99,7 +99,7 @@ _TYPE_SQL = f"""
 
 
 def _r4(c: str) -> str:
-    return f"floor({c} * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE"
+    return f"floor(({c}) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE"
 
 
 @query("cls_url_type", f"WITH {_TYPE_SQL} SELECT url_id, {_r4('confidence')} AS confidence, hint FROM typed", _V)

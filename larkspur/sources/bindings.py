@@ -274,3 +274,116 @@ def urls_b(d):
              WHEN 3 THEN 'http://shop.example/a/b/c/' || CAST(item_id AS VARCHAR(9)) || '.html?variant=1&size=2&variant=3'
              WHEN 4 THEN 'https://shop2.example/products/sofas' ELSE source_url END
     FROM {d.ref('catalog_b')}"""
+
+
+# --------------------------------------------------------------------------- catalog states
+
+
+@view("items_b")
+def gold_b(d):
+    return f"""
+    SELECT item_id, 'Gold ' || title AS title, price_amount + 1 AS price_amount, retailer,
+           item_id % 2 = 0 AS is_active, CASE WHEN item_id % 5 = 0 THEN 'deck,search' ELSE 'deck' END AS surfaces
+    FROM {d.ref('items_b')} WHERE item_id % 3 = 0"""
+
+
+@view("items_b")
+def items_q(d):
+    """Items with gaps, classification and image state."""
+    return f"""
+    SELECT item_id, title, brand, source_id, retailer, is_active, material, color_family, size_class, seat_count, width_cm AS full_width,
+           CASE WHEN item_id % 13 = 0 THEN NULL WHEN item_id % 17 = 0 THEN 0.0 ELSE price_amount END AS price_amount,
+           CASE WHEN p_size > 40 THEN NULL ELSE width_cm END AS width_cm,
+           CASE WHEN p_size > 45 THEN NULL ELSE p_size + 40 END AS height_cm, image_count,
+           CASE WHEN item_id % 7 = 0 THEN '  ' ELSE 'https://out.example/' || CAST(item_id AS VARCHAR(9)) END AS outbound_url,
+           CASE WHEN item_id % 6 = 0 THEN NULL ELSE type_tag END AS category,
+           CASE item_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'ACCEPT' WHEN 2 THEN 'REJECT' WHEN 3 THEN 'UNCERTAIN' ELSE 'ACCEPT' END AS decision,
+           CASE WHEN item_id % 4 = 0 THEN NULL ELSE item_id % 8 <> 1 END AS validated, item_id % 3 AS analyzed_images,
+           CASE WHEN item_id % 9 = 0 THEN '' ELSE 'img' END AS selected_image,
+           CASE item_id % 3 WHEN 0 THEN 'contextual' WHEN 1 THEN 'studio_cutout' END AS scene_type, creative_score,
+           CASE WHEN creative_score >= 75 THEN 'green' WHEN creative_score >= 45 THEN 'yellow' ELSE 'red' END AS band,
+           CASE item_id % 6 WHEN 0 THEN 'broken' WHEN 1 THEN 'low-resolution' WHEN 2 THEN 'white-background' ELSE '' END AS issue,
+           item_id % 5 AS valid_count, (item_id % 10) / 10.0E0 AS completeness,
+           CASE WHEN item_id % 2 = 0 THEN 'HTTP' ELSE 'browser' END AS fetch_method, updated_day,
+           CASE WHEN item_id % 4 = 0 THEN 'both' WHEN item_id % 4 = 1 THEN 'Indoor' WHEN item_id % 4 = 2 THEN 'outdoor' ELSE 'unknown' END AS environment,
+           CASE WHEN seat_count = 2 THEN '2' WHEN seat_count = 3 THEN '3' WHEN seat_count >= 4 AND item_id % 7 <> 0 THEN '4_plus' END AS seat_bucket,
+           CASE WHEN item_id % 14 = 0 THEN 'corner_sofa' ELSE '2_seater' END AS sub_category,
+           CASE WHEN item_id % 4 = 0 THEN type_tag END AS primary_category, type_tag AS classified_primary_category,
+           item_id % 3 = 0 AS modular, seat_count <= 3 AS small_space
+    FROM {d.ref('items_b')}"""
+
+
+@view("items_b")
+def controls_b(d):
+    return f"""
+    SELECT item_id, retailer, item_id % 2 = 0 AS included,
+           CASE WHEN item_id % 4 = 0 THEN 'manual' END AS reason FROM {d.ref('items_b')} WHERE item_id % 7 = 0"""
+
+
+@view("interactions_b")
+def votes_b(d):
+    return f"""
+    SELECT event_id AS vote_id, session_id % 10 AS room, item_id, session_id AS user_id, ts,
+           CASE WHEN event_type = 'error' THEN 'down' ELSE 'up' END AS vote
+    FROM {d.ref('interactions_b')} WHERE event_type IN ('purchase', 'click', 'error')"""
+
+
+@view("customer")
+def users_b(d):
+    return f"""
+    SELECT c_custkey AS user_id, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS display_name FROM {d.ref('customer')}"""
+
+
+@view("part")
+def image_meta_b(d):
+    rows = []
+    for pos in (1, 2, 3):
+        rows.append(f"""
+    SELECT p_partkey AS item_id, CAST({pos} AS BIGINT) AS position, CAST(300 + 25 * p_size + {100 * (pos - 1)} AS BIGINT) AS width,
+           CAST(400 + 10 * p_size AS BIGINT) AS height, (p_partkey + {pos}) % 9 <> 0 AS valid,
+           CAST((p_partkey * {pos} * 7919) % 6000000 AS BIGINT) AS file_size,
+           ((p_partkey + {pos * 3}) % 20) / 20.0E0 AS background_ratio, ((p_partkey + {pos * 5}) % 25) / 25.0E0 AS border_ratio,
+           ((p_partkey * {pos}) % 10) / 10.0E0 AS near_white_ratio, (p_partkey % 40) / 100.0E0 AS transparent_ratio,
+           (p_size % 10) / 10.0E0 AS subject_coverage, ((p_size + {pos}) % 25) / 100.0E0 AS texture_score
+    FROM {d.ref('part')} WHERE p_partkey % 4 >= {pos}""")
+    return " UNION ALL ".join(rows)
+
+
+@view("orders")
+def extracts_b(d):
+    """Extracted pages: source from the order priority, day from the order date."""
+    return f"""
+    SELECT o_orderpriority AS source_id, {d.day('o_orderdate')} AS dt, o_orderkey AS page_id, o_orderstatus = 'F' AS success,
+           (o_custkey % 10) / 10.0E0 AS completeness,
+           CASE o_orderkey % 3 WHEN 0 THEN 'jsonld' WHEN 1 THEN 'embedded_json' ELSE 'dom' END AS method,
+           o_custkey % 4 <> 0 AS has_description, o_custkey % 3 <> 0 AS has_dimensions
+    FROM {d.ref('orders')}"""
+
+
+@view("orders")
+def runs_b(d):
+    return f"""
+    SELECT o_orderkey AS run_id, o_orderpriority AS source_id, o_orderdate AS started_at,
+           CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'O' THEN 'running' ELSE 'failed' END AS status,
+           o_custkey % 100 AS fetched, o_custkey % 50 AS candidate_urls, o_custkey % 60 AS success, o_custkey % 7 AS upserted,
+           CAST(floor(o_totalprice / 1000) AS BIGINT) AS duration_sec
+    FROM {d.ref('orders')}"""
+
+
+@view("events")
+def events_v1_b(d):
+    """Typed events; columns go missing by event_id % 13 so that every rule has violations."""
+    drop = lambda k, expr: f"CASE WHEN event_id % 13 = {k} THEN NULL ELSE {expr} END"
+    return f"""
+    SELECT CASE WHEN event_id % 13 = 7 THEN 'x' || CAST(event_id % 90 AS VARCHAR(9)) ELSE 'evt-' || CAST(100000000 + event_id AS VARCHAR(12)) END AS event_id,
+           {drop(11, "CASE event_type WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'card_impression_start' ELSE 'card_impression_end' END WHEN 'click' THEN CASE WHEN event_id % 3 = 0 THEN 'detail_open' ELSE 'outbound_click' END WHEN 'purchase' THEN 'swipe_right' WHEN 'error' THEN 'swipe_left' ELSE CASE WHEN event_id % 2 = 0 THEN 'deck_response' ELSE 'filters_apply' END END")} AS event_name,
+           user_id AS session_id, CASE WHEN event_id % 101 = 0 THEN event_id - 50000 ELSE event_id END AS client_seq,
+           ts, ts AS created_at_client, 'web' AS platform,
+           {drop(0, d.json_text('props', 'k'))} AS item_id, {drop(1, 'event_id % 50')} AS position_in_deck,
+           {drop(2, "'imp-' || CAST(user_id AS VARCHAR(9)) || '-' || CAST(event_id % 4 - event_id % 2 AS VARCHAR(9))")} AS impression_id,
+           CAST(floor(value * 100) AS BIGINT) AS visible_ms, {drop(8, "'swiped'")} AS end_reason,
+           {drop(3, "'drag'")} AS gesture, 'left' AS direction, {drop(4, "'shop.example'")} AS destination_domain,
+           {drop(5, "'run-1'")} AS ranker_run_id, 'v1' AS algorithm_version, {drop(9, "'1,2,3'")} AS served_items,
+           {drop(6, "'size=small'")} AS filters_active, {drop(10, "'detail'")} AS surface_name,
+           CASE user_id % 3 WHEN 0 THEN 'control' WHEN 1 THEN 'mmr' ELSE 'explore' END AS rank_variant
+    FROM {d.ref('events')}"""
