@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import url as U
 from larkspur.functions.numbers import js_round
+from larkspur.functions.staging import pin
 from larkspur.functions.text import contains_any
 from larkspur.functions.url_type import candidate_rank, classify_url, is_product_candidate, split_url
 
@@ -22,14 +23,9 @@ def dedupe_urls(urls: DataFrame, order: str) -> DataFrame:
 
 
 def with_url_type(urls: DataFrame) -> DataFrame:
-    """Add confidence and hint.
-
-    The score is produced by a one-row generator: filters on it then read the
-    result instead of being rewritten below the projection with a copy of the
-    whole expression.
-    """
-    typed = split_url(urls).select("*", F.inline(F.array(classify_url(F.col("url")))))
-    return typed.drop("_path", "_query", "_segments", "_last")
+    """Add confidence and hint."""
+    typed = pin(split_url(urls), _type=classify_url(F.col("url")))
+    return typed.select(*urls.columns, "_type.confidence", "_type.hint")
 
 
 def product_candidates(urls: DataFrame) -> DataFrame:

@@ -387,3 +387,28 @@ def events_v1_b(d):
            {drop(6, "'size=small'")} AS filters_active, {drop(10, "'detail'")} AS surface_name,
            CASE user_id % 3 WHEN 0 THEN 'control' WHEN 1 THEN 'mmr' ELSE 'explore' END AS rank_variant
     FROM {d.ref('events')}"""
+
+
+# --------------------------------------------------------------------------- texts and labels
+
+
+@view("documents")
+def text_b(d):
+    """Documents as items: the first line is the title, the whole text the description."""
+    return f"""
+    SELECT doc_id AS item_id, source AS source_id, lang, split_part(text, chr(10), 1) AS title, text AS description, n_chars,
+           doc_id % 5 <> 0 AS has_images, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(n_chars AS DOUBLE) END AS price_amount,
+           (n_chars % 10) / 10.0E0 AS completeness_score
+    FROM {d.ref('documents')}"""
+
+
+@view("documents", "labels")
+def labels_b(d):
+    return f"""
+    SELECT l.doc_id AS item_id, l.doc_id AS label_id, t.source AS source_id, t.lang AS predicted, (t.n_chars % 100) / 100.0E0 AS confidence,
+           l.quality = 1 AS is_in_category, l.toxic = 0 AS has_images, split_part(t.text, chr(10), 1) AS title,
+           CASE WHEN l.quality = 1 THEN 'accept' WHEN l.doc_id % 3 = 0 THEN 'reject' ELSE 'reclassify' END AS action,
+           CASE WHEN l.quality = 1 THEN NULL WHEN l.doc_id % 3 = 1 THEN 'en' WHEN l.doc_id % 3 = 2 THEN 'fr' END AS correct_category,
+           CASE l.doc_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN ' EN ' WHEN 2 THEN 'fr' END AS label_category,
+           CASE l.doc_id % 5 WHEN 0 THEN 'in_category' WHEN 1 THEN 'not_category' END AS label_decision
+    FROM {d.ref('labels')} l JOIN {d.ref('documents')} t ON t.doc_id = l.doc_id"""
