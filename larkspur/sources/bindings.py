@@ -412,3 +412,50 @@ def labels_b(d):
            CASE l.doc_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN ' EN ' WHEN 2 THEN 'fr' END AS label_category,
            CASE l.doc_id % 5 WHEN 0 THEN 'in_category' WHEN 1 THEN 'not_category' END AS label_decision
     FROM {d.ref('labels')} l JOIN {d.ref('documents')} t ON t.doc_id = l.doc_id"""
+
+
+# --------------------------------------------------------------------------- onboarding
+
+
+@view("customer")
+def onboarding_b(d):
+    return f"""
+    SELECT c_custkey AS session_id,
+           CASE c_custkey % 5 WHEN 0 THEN ' Calm_Minimal' WHEN 1 THEN 'warm_organic' WHEN 2 THEN 'bold_eclectic' WHEN 3 THEN 'urban_industrial' END AS scene1,
+           CASE WHEN c_custkey % 7 = 0 THEN 'warm_organic' END AS scene2,
+           CASE c_custkey % 6 WHEN 0 THEN 'rounded_boucle' WHEN 1 THEN 'low_profile_linen' WHEN 2 THEN 'structured_leather' WHEN 3 THEN 'modular_cloud' END AS vibe1,
+           CASE WHEN c_custkey % 4 = 0 THEN 'lt_5k' END AS budget_band, CASE WHEN c_custkey % 3 = 0 THEN '2' END AS seat_count,
+           c_custkey % 8 = 0 AS modular_only, c_custkey % 9 = 0 AS kids_pets, c_custkey % 10 = 0 AS small_space
+    FROM {d.ref('customer')}"""
+
+
+@view("customer")
+def picks_b(d):
+    ids = [f"(c_custkey * 3 + {17 * j}) % 200" for j in range(4)]
+    return f"SELECT c_custkey AS session_id, {d.arr(*ids)} AS picked FROM {d.ref('customer')}"
+
+
+@view("orders", "lineitem")
+def responses_b(d):
+    """Served slates: one row per response and position."""
+    return f"""
+    SELECT o_custkey AS session_id, o_orderkey AS request_id, o_orderdate AS ts, l_partkey AS item_id,
+           CASE o_custkey % 3 WHEN 0 THEN 'control' WHEN 1 THEN 'mmr' ELSE 'explore' END AS variant,
+           row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS position
+    FROM {d.ref('lineitem')} JOIN {d.ref('orders')} ON o_orderkey = l_orderkey"""
+
+
+@view("orders")
+def deck_responses_b(d):
+    return f"""
+    SELECT o_orderkey AS request_id, o_custkey AS session_id, o_orderdate AS ts, CAST(floor(o_totalprice / 100) AS BIGINT) AS latency_ms,
+           CASE o_orderstatus WHEN 'F' THEN 'none' WHEN 'O' THEN 'recycled_seen_items' ELSE 'catalog_exhausted' END AS fallback_stage,
+           (o_orderkey % 9) / 8.0E0 AS same_family_top8_rate, CASE WHEN o_orderkey % 4 <> 0 THEN (o_orderkey % 11) / 10.0E0 END AS style_distance_top4_min
+    FROM {d.ref('orders')}"""
+
+
+@view("orders", "lineitem")
+def likes_b(d):
+    return f"""
+    SELECT DISTINCT o_custkey AS session_id, l_partkey AS item_id
+    FROM {d.ref('lineitem')} JOIN {d.ref('orders')} ON o_orderkey = l_orderkey WHERE l_returnflag = 'R'"""
