@@ -34,7 +34,7 @@ class ShapeOptions:
     model_window: int = 12
     model_cap: int = 1
     featured_every: int = 12
-    retailer_cooldown: int = 3
+    retailer_cooldown: int = 1
 
 
 def _distance(a: frozenset, b: frozenset) -> float:

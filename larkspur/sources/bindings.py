@@ -459,3 +459,72 @@ def likes_b(d):
     return f"""
     SELECT DISTINCT o_custkey AS session_id, l_partkey AS item_id
     FROM {d.ref('lineitem')} JOIN {d.ref('orders')} ON o_orderkey = l_orderkey WHERE l_returnflag = 'R'"""
+
+
+# --------------------------------------------------------------------------- targeting and campaigns
+
+
+@view("customer", "nation", "region")
+def profiles_b(d):
+    return f"""
+    SELECT c_custkey AS session_id, lower(c_mktsegment) AS style, greatest(0.0E0, c_acctbal) AS budget_min, c_acctbal + 2000 AS budget_max,
+           CASE c_custkey % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'large' END AS size_class, lower(r_name) AS geo_region
+    FROM {d.ref('customer')} JOIN {d.ref('nation')} ON n_nationkey = c_nationkey JOIN {d.ref('region')} ON r_regionkey = n_regionkey"""
+
+
+@view("supplier", "nation", "region")
+def segments_b(d):
+    return f"""
+    SELECT s_suppkey AS segment_id, s_nationkey AS retailer_id,
+           CASE s_suppkey % 6 WHEN 0 THEN 'building' WHEN 1 THEN 'Machinery' WHEN 3 THEN 'furniture' WHEN 4 THEN 'household' END AS style1,
+           CASE WHEN s_suppkey % 4 = 0 THEN 'automobile' END AS style2,
+           CASE WHEN s_suppkey % 3 <> 2 THEN floor(abs(s_acctbal)) END AS budget_min,
+           CASE WHEN s_suppkey % 3 = 0 THEN floor(abs(s_acctbal)) + 3000 WHEN s_suppkey % 11 = 1 THEN 10.0E0 END AS budget_max,
+           CASE s_suppkey % 7 WHEN 0 THEN 'small' WHEN 1 THEN 'Large' WHEN 2 THEN 'huge' END AS size1,
+           CASE WHEN s_suppkey % 5 <> 0 THEN lower(r_name) END AS geo_region
+    FROM {d.ref('supplier')} JOIN {d.ref('nation')} ON n_nationkey = s_nationkey JOIN {d.ref('region')} ON r_regionkey = n_regionkey"""
+
+
+@view("lineitem")
+def campaign_daily_b(d):
+    """Spend in cents and impressions per campaign and day."""
+    return f"""
+    SELECT l_suppkey AS campaign_id, {d.day('l_shipdate')} AS dt,
+           CAST(sum(CAST(floor(l_extendedprice * l_discount * 100 + 0.5) AS BIGINT)) AS BIGINT) AS spend_cents,
+           CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS impressions,
+           count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS clicks
+    FROM {d.ref('lineitem')} GROUP BY l_suppkey, {d.day('l_shipdate')}"""
+
+
+@view("supplier", "campaign_daily_b")
+def campaigns_b(d):
+    return f"""
+    SELECT s_suppkey AS campaign_id, s_nationkey AS retailer_id, s_suppkey AS segment_id, s_name AS name,
+           CASE s_suppkey % 4 WHEN 0 THEN 'paused' ELSE 'active' END AS status,
+           CASE WHEN s_suppkey % 9 <> 0 THEN CAST(floor(abs(s_acctbal) * 80000) AS BIGINT) END AS budget_cents,
+           CASE WHEN s_suppkey % 3 <> 0 THEN CAST(floor(abs(s_acctbal) * 300) AS BIGINT) - 1000 END AS budget_daily_cents,
+           DATE '1996-01-01' + CAST(s_suppkey % 900 AS INT) AS start_date,
+           CASE WHEN s_suppkey % 8 <> 0 THEN DATE '1999-06-01' + CAST((s_suppkey * 37) % 1100 AS INT) ELSE DATE '1995-12-01' END AS end_date,
+           CASE WHEN s_suppkey % 5 <> 0 THEN (s_suppkey * 7) % 70 END AS frequency_cap,
+           CASE s_suppkey % 3 WHEN 0 THEN 'all' WHEN 1 THEN 'selected' ELSE 'auto' END AS product_mode,
+           coalesce(t.spend, 0) AS spent_cents, coalesce(t.impressions, 0) AS impressions, coalesce(t.clicks, 0) AS clicks
+    FROM {d.ref('supplier')} LEFT JOIN (SELECT campaign_id, CAST(sum(spend_cents) AS BIGINT) AS spend, CAST(sum(impressions) AS BIGINT) AS impressions,
+      CAST(sum(clicks) AS BIGINT) AS clicks FROM {d.ref('campaign_daily_b')} GROUP BY campaign_id) t ON t.campaign_id = s_suppkey"""
+
+
+@view("lineitem")
+def featured_b(d):
+    return f"""
+    SELECT l_partkey AS item_id, l_suppkey AS campaign_id, l_shipdate AS ts, l_linenumber AS position FROM {d.ref('lineitem')}"""
+
+
+@view("events")
+def funnel_b(d):
+    return f"""
+    SELECT event_id, ts, user_id AS session_id,
+           CASE event_type WHEN 'view' THEN 'intro_shown' WHEN 'click' THEN 'step_viewed' WHEN 'signup' THEN 'step_completed'
+             WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'summary_confirmed' ELSE 'swipe_right' END
+             ELSE CASE WHEN event_id % 3 = 0 THEN 'skipped' WHEN event_id % 3 = 1 THEN 'swipe_left' ELSE 'deck_response' END END AS event_name,
+           CASE WHEN event_id % 4 = 0 THEN CASE event_id % 3 WHEN 0 THEN 'control' WHEN 1 THEN 'mmr' ELSE 'explore' END END AS rank_variant,
+           (event_id % 9) / 8.0E0 AS same_family_top8_rate
+    FROM {d.ref('events')}"""
