@@ -16,7 +16,12 @@ RAW_TABLES = (
 
 class SparkDialect:
     def ref(self, name: str) -> str:
-        return "{" + name + "}"
+        return f"«{name}»"
+
+    def finish(self, sql: str) -> str:
+        """Literal braces are escaped; references become format fields."""
+        sql = sql.replace("{", "{{").replace("}", "}}")
+        return sql.replace("«", "{").replace("»", "}")
 
     def arr(self, *parts: str) -> str:
         return f"array({', '.join(parts)})"
@@ -38,6 +43,9 @@ class DuckDialect(SparkDialect):
     def ref(self, name: str) -> str:
         return name
 
+    def finish(self, sql: str) -> str:
+        return sql
+
     def arr(self, *parts: str) -> str:
         return f"[{', '.join(parts)}]"
 
@@ -68,7 +76,7 @@ def view(*deps: str):
 
 
 def view_sql(name: str, dialect: SparkDialect) -> str:
-    return VIEWS[name][1](dialect)
+    return dialect.finish(VIEWS[name][1](dialect))
 
 
 def with_views(body: str, *names: str) -> str:
@@ -528,3 +536,23 @@ def funnel_b(d):
            CASE WHEN event_id % 4 = 0 THEN CASE event_id % 3 WHEN 0 THEN 'control' WHEN 1 THEN 'mmr' ELSE 'explore' END END AS rank_variant,
            (event_id % 9) / 8.0E0 AS same_family_top8_rate
     FROM {d.ref('events')}"""
+
+
+# --------------------------------------------------------------------------- pages with product data
+
+
+@view("pages")
+def pages_x(d):
+    """Pages with an appended JSON-LD graph, a page state, or a spec table, by page_id % 3."""
+    pid = "CAST(page_id AS VARCHAR(12))"
+    ld = (f"""'<script type="application/ld+json">{{"@graph":[{{"@type":"BreadcrumbList","itemListElement":[{{"position":2,"name":"Soffor"}},{{"position":1,"name":"Hem"}}]}},"""
+          f"""{{"@type":["Thing","Product"],"name":"Soffa ' || {pid} || '","url":"/p/soffa-' || {pid} || '","image":["/img/a-' || {pid} || '.jpg",{{"contentUrl":"https://cdn.x.example/b.png"}}],"brand":{{"name":"Brand ' || CAST(page_id % 7 AS VARCHAR(9)) || '"}},"""
+          f""""sku":"S' || {pid} || '","material":"tyg","width":{{"value":"2.1","unitCode":"MTR"}},"additionalProperty":[{{"name":"Höjd","value":"85 cm"}},{{"name":"Färg","value":"grön"}}],"""
+          f""""hasVariant":[{{"sku":"V1","color":"röd","offers":{{"price":"100","availability":"OutOfStock"}}}},{{"sku":"V2","color":"blå","offers":[{{"price":"120"}}]}}],"""
+          f""""offers":{{"price":"' || CAST(1000 + page_id AS VARCHAR(12)) || '","priceCurrency":"SEK","availability":"https://schema.org/InStock"}}}}]}}</script>'""")
+    state = (f"""'<script id="__NEXT_DATA__" type="application/json">{{"props":{{"page":{{"main":{{"productName":"Stol ' || {pid} || '","currentPrice":' || CAST(500 + page_id AS VARCHAR(12)) || ',"sku":"E' || {pid} || '","gallery":["/g/1.jpg"]}},"""
+             f""""list":[{{"name":"Item 1","price":10,"url":"/p/1"}},{{"name":"Item 2","price":20,"url":"/p/2"}},{{"name":"Item 3","price":' || CAST(page_id % 50 AS VARCHAR(9)) || ',"slug":"p3"}}]}}}}}}</script>'""")
+    specs = (f"""'<dl><dt>Sitthöjd</dt><dd>' || CAST(40 + page_id % 10 AS VARCHAR(9)) || ' cm</dd><dt>Vikt</dt><dd>' || CAST(page_id % 600 AS VARCHAR(9)) || ' kg</dd></dl>"""
+             f"""<table class="spec"><tr><th>Antal sitsar</th><td>' || CAST(1 + page_id % 4 AS VARCHAR(9)) || '</td></tr></table><ul><li>Klädsel: Sammet</li></ul><span class="price">' || CAST(700 + page_id AS VARCHAR(12)) || ' kr</span>'""")
+    return f"""
+    SELECT page_id, url, html || CASE page_id % 3 WHEN 0 THEN {ld} WHEN 1 THEN {state} ELSE {specs} END AS html FROM {d.ref('pages')}"""
