@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions.staging import pin
+
 # Columns every event needs, and per-event required columns with the rejection text.
 BASE_FIELDS = ("event_id", "event_name", "session_id", "client_seq", "created_at_client", "platform")
 PAYLOAD_RULES = [
@@ -49,7 +51,7 @@ def event_error(df: DataFrame) -> Column:
 
 def validate_events(df: DataFrame) -> DataFrame:
     """Events with an `error` column; split on error IS NULL for the two outputs."""
-    return df.withColumn("error", event_error(df))
+    return pin(df, error=event_error(df))
 
 
 def sequence_violations(events: DataFrame) -> DataFrame:
