@@ -10,6 +10,7 @@ from larkspur.functions.numbers import js_round
 from larkspur.functions.staging import pin
 from larkspur.functions.text import norm_token, norm_tokens
 from larkspur.functions.url import path, path_key
+from larkspur.operators.scoring import MAX_PROFILES, level_counts, load_profiles, top_profiles
 from larkspur.operators.preferences import PRICE_BOUNDS, feature_keys, item_profiles, prefixed
 
 
@@ -38,23 +39,31 @@ def top_members(profiled: DataFrame, k: int) -> DataFrame:
 
 
 def preference_topk(weights: DataFrame, items: DataFrame, k: int, bounds=PRICE_BOUNDS, families: set[str] | None = None,
-                    normalize: bool = True, positive_only: bool = False) -> DataFrame:
+                    normalize: bool = True, positive_only: bool = False, max_profiles: int = MAX_PROFILES) -> DataFrame:
     """Best k items per session by preference score, ties by item id; exact over the whole catalog.
 
+    Sessions are scored in blocks against the distinct profiles while these are
+    few enough to broadcast (their number is checked), else by a keyed join.
+
     Each session keeps its best k profiles, every kept profile offers its first
     k items, and the final cut is taken among those. Items that share no
     weighted key with the session are not listed.
     """
     profiled = item_profiles(items, bounds, families)
     members = top_members(profiled, k)
-    first_item = members.groupBy("profile_id").agg(F.min("item_id").alias("first_item"))
-    scored = profile_scores(weights, profiled, normalize)
-    if positive_only:
-        scored = scored.where(F.col("score") > 0)
-    by_profile = Window.partitionBy("session_id").orderBy(F.desc("score"), "first_item")
-    kept = scored.join(first_item, "profile_id").withColumn("_r", F.row_number().over(by_profile)).where(F.col("_r") <= k)
+    table = load_profiles(profiled, max_profiles)
+    if table is not None:
+        kept = top_profiles(weights, table, k, normalize, positive_only)
+    else:
+        first_item = profiled.groupBy("profile_id").agg(F.min("item_id").alias("first_item"))
+        scored = profile_scores(weights, profiled, normalize)
+        if positive_only:
+            scored = scored.where(F.col("score") > 0)
+        by_profile = Window.partitionBy("session_id").orderBy(F.desc("score"), "first_item")
+        kept = scored.join(first_item, "profile_id").withColumn("_r", F.row_number().over(by_profile)).where(
+            F.col("_r") <= k).drop("_r", "first_item")
     by_item = Window.partitionBy("session_id").orderBy(F.desc("score"), "item_id")
-    return (kept.drop("_r", "first_item").join(members, "profile_id").withColumn("rank", F.row_number().over(by_item))
+    return (kept.join(members, "profile_id").withColumn("rank", F.row_number().over(by_item))
             .where(F.col("rank") <= k).select("session_id", "item_id", "score", "signals", "rank"))
 
 
@@ -92,16 +101,20 @@ def overlap_points(key: Column) -> Column:
     return F.when(starts(OVERLAP_TWO) | ~F.contains(key, F.lit(":")), 2).when(starts(OVERLAP_ONE), 1).otherwise(0)
 
 
-def overlap_histogram(preferred: DataFrame, items: DataFrame, bounds=PRICE_BOUNDS) -> DataFrame:
+def overlap_histogram(preferred: DataFrame, items: DataFrame, bounds=PRICE_BOUNDS, max_profiles: int = MAX_PROFILES) -> DataFrame:
     """Per session: number of items at each overlap level above zero.
 
     Profiles carry their item count, so the catalog is never multiplied by the
     sessions.
     """
     profiled = item_profiles(items, bounds)
+    keyed = preferred.select("session_id", "key").withColumn("points", overlap_points(F.col("key")))
+    table = load_profiles(profiled, max_profiles)
+    if table is not None:
+        return level_counts(keyed, table)
     sizes = profiled.groupBy("profile_id").agg(F.first("keys").alias("keys"), F.count("*").alias("items"))
-    points = sizes.select("profile_id", "items", F.explode("keys").alias("key")).withColumn("points", overlap_points(F.col("key")))
-    hits = preferred.select("session_id", "key").repartition("session_id").join(points.where(F.col("points") > 0), "key")
+    hits = keyed.where(F.col("points") > 0).repartition("session_id").join(
+        sizes.select("profile_id", "items", F.explode("keys").alias("key")), "key")
     per = hits.groupBy("session_id", "profile_id").agg(F.sum("points").alias("overlap"), F.first("items").alias("items"))
     return per.groupBy("session_id", "overlap").agg(F.sum("items").alias("items"))
 
