@@ -16,3 +16,14 @@ def pin(df: DataFrame, **cols: Column) -> DataFrame:
     """
     kept = [c for c in df.columns if c not in cols]
     return df.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in cols.items()]))))
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash layout on the keys over the session's full shuffle width.
+
+    Adaptive execution merges small partitions by bytes; rows that are small
+    but expensive to process would then share one core. An explicit width keeps
+    them spread, and grouping or ranking on the keys needs no further shuffle.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(width, *keys)

@@ -120,12 +120,12 @@ def onboarding_filter(candidates: DataFrame, profiles: DataFrame, swipes: DataFr
         (F.col("stage") == "soft") | (seats & modular & small & ((F.col("stage") != "hard") | budget)))
 
 
-def description_matches(title: Column, description: Column) -> Column:
-    """Some title word of more than three letters is in the first 300 characters; untestable rows pass.
+def description_matches(title: Column, description: Column, head: int | None = 300) -> Column:
+    """Some title word of more than three letters occurs in the description; untestable rows pass.
 
-    The 300-character rule is the test itself, not a sampling of the text.
+    `head` limits the test to the first characters; None reads the whole text.
     """
     words = F.filter(F.split(F.lower(title), r"[\s,\-/]+"), lambda w: (F.length(w) > 3) & F.rlike(w, F.lit(r"^\p{L}+$")))
-    head = F.lower(F.substring(description, 1, 300))
+    text = F.lower(F.substring(description, 1, head) if head else description)
     untestable = (F.coalesce(title, F.lit("")) == "") | (F.coalesce(description, F.lit("")) == "") | (F.size(words) == 0)
-    return untestable | F.exists(words, lambda w: F.contains(head, w))
+    return untestable | F.exists(words, lambda w: F.contains(text, w))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.hashing import hash_bucket, string_hash32
 from larkspur.functions.numbers import js_round
-from larkspur.functions.staging import pin
+from larkspur.functions.staging import by_key, pin
 from larkspur.functions.text import norm_token, norm_tokens
 from larkspur.functions.url import path, path_key
 from larkspur.operators.scoring import MAX_PROFILES, level_counts, load_profiles, top_profiles
@@ -191,7 +191,7 @@ def retrieval_queues(sessions: DataFrame, pool: DataFrame, persona: DataFrame |
     """
     size = pool.agg(F.count("*")).scalar()
     listed = pool.agg(F.array_sort(F.collect_list(F.struct("position", "item_id", "list_index", "keys")))).scalar()
-    cuts = sessions.select("session_id", "preferred", listed.alias("pool"), size.alias("n"))
+    cuts = by_key(sessions, "session_id").select("session_id", "preferred", listed.alias("pool"), size.alias("n"))
     scored = cuts.select("session_id", "n", F.transform("pool", lambda p: F.struct(
         p["position"].alias("position"), p["item_id"].alias("item_id"), p["list_index"].alias("list_index"),
         F.aggregate(F.filter(p["keys"], lambda k: F.array_contains("preferred", k)), F.lit(0),

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from larkspur.functions.staging import by_key
+
 ORDER = ArrayType(IntegerType())
 
 
@@ -175,7 +177,7 @@ SLATE_COLUMNS = ("item_id", "score", "canonical_url", "family_key", "model_key",
 def slate_rows(ranked: DataFrame) -> DataFrame:
     """One row per session: parallel arrays in rank order. The input is already cut to a rank window."""
     cols = [c for c in SLATE_COLUMNS if c in ranked.columns]
-    packed = ranked.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("rank", *cols))).alias("_s"))
+    packed = by_key(ranked, "session_id").groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("rank", *cols))).alias("_s"))
     return packed.select("session_id", *[F.col(f"_s.{c}").alias(c) for c in cols])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions.staging import by_key
 from larkspur.operators import lookups as J
 from larkspur.operators import ranking as R
 from larkspur.operators import shaping as S
@@ -39,7 +40,7 @@ def slate_attributes(items: DataFrame) -> DataFrame:
 
 def build_decks(weights: DataFrame, items: DataFrame, promoted: DataFrame, swipes: DataFrame, personas: DataFrame, as_of: Column,
                 limit: int = 20, pool_size: int = 360, cap: int = 240, rank_window: int = 960, bounds=PRICE_BOUNDS,
-                options: S.ShapeOptions | None = None) -> DataFrame:
+                options: S.ShapeOptions | None = None, keep=lambda df, name: df) -> DataFrame:
     """(session_id, position, item_id, score) for all sessions.
 
     Retrieval is bounded by the shared pool and the persona list, so a session
@@ -47,8 +48,10 @@ def build_decks(weights: DataFrame, items: DataFrame, promoted: DataFrame, swipe
     by session once; merging, scoring, ranking and packing reuse that layout,
     and the shaping pass is a single Arrow function over packed rows.
 
-    personas: (session_id, item_id, rank).
+    personas: (session_id, item_id, rank). keep(df, name) may write the two
+    tables that are read more than once (weights and queues) and return the copy.
     """
+    weights = keep(weights, "deck_weights")
     options = options or S.ShapeOptions(limit=limit)
     shown = items.where(F.col("is_active") & (F.col("image_count") > 0))
     featured = promoted.select("item_id")
@@ -59,7 +62,7 @@ def build_decks(weights: DataFrame, items: DataFrame, promoted: DataFrame, swipe
         "preferred", F.coalesce("preferred", F.array().cast("array<string>")))
     live_personas = personas.join(shown.select("item_id"), "item_id", "left_semi")
     queues = R.retrieval_queues(sessions, pool, live_personas.select("session_id", "item_id", "rank"))
-    by_session = queues.repartition("session_id")
+    by_session = keep(by_key(queues, "session_id"), "deck_queues")
     fresh = J.recycle(by_session, J.unseen(by_session, swipes, as_of)).drop("recycled")
     flags = sessions.select("session_id", (F.size("preferred") > 0).alias("has_preferences")).join(
         live_personas.select("session_id", F.lit(True).alias("has_persona")).distinct(), "session_id", "left").withColumn(

@@ -9,6 +9,7 @@ from larkspur.operators import review as R
 from larkspur.plans.q_normalize import sql_any, sql_first
 from larkspur.plans.q_quality import sql_r4
 from larkspur.plans.registry import query
+from larkspur.session import materialize
 
 # Lexicon of the language categories of the generated documents (a parameter of the operators).
 LANGS = [
@@ -300,7 +301,7 @@ def cls_sample_diverse(t):
 @query("cls_sample_target")
 def cls_sample_target(t):
     items = t.labels_b.selectExpr("item_id", "source_id", "predicted AS category", "contains(lower(title), 'the') AS is_hint")
-    return R.target_sample(items, "en", 40)
+    return R.target_sample(items, "en", 40, checkpoint=lambda df: materialize(df, "sample"))
 
 
 @query("cls_apply_reviews", """WITH l AS (SELECT item_id % 300 AS id, arg_max(action, label_id) AS action, arg_max(coalesce(correct_category, '-'), label_id) AS cc FROM labels_b WHERE item_id % 9 <> 0 GROUP BY 1)

@@ -239,9 +239,13 @@ def flt_onboarding_stage(t):
     return FL.onboarding_filter(cand, profiles, t.swipes_b).select("session_id", "item_id", "stage")
 
 
-@query("flt_description_match", """WITH p AS (SELECT doc_id, substr(text, 1, 80) AS title, CASE WHEN doc_id % 2 = 0 THEN text ELSE substr(text, 81) END AS description FROM documents)
-    SELECT doc_id, len(ws) = 0 OR description = '' OR len(list_filter(ws, lambda w: contains(lower(substr(description, 1, 300)), w))) > 0 AS plausible
+@query("flt_description_match", """WITH n AS (SELECT doc_id, text, split_part(text, chr(10), 1) AS title, (doc_id * 7 + 1) % (SELECT count(*) FROM documents) AS other FROM documents),
+    p AS (SELECT n.doc_id, n.title, o.text AS description FROM n JOIN documents o ON o.doc_id = n.other)
+    SELECT doc_id, len(ws) = 0 OR description = '' OR len(list_filter(ws, lambda w: contains(lower(description), w))) > 0 AS plausible
     FROM (SELECT *, list_filter(regexp_split_to_array(lower(title), '[\\s,\\-/]+'), lambda w: length(w) > 3 AND regexp_matches(w, '^\\p{L}+$')) AS ws FROM p)""")
 def flt_description_match(t):
-    p = t.documents.selectExpr("doc_id", "substr(text, 1, 80) AS title", "IF(doc_id % 2 = 0, text, substr(text, 81)) AS description")
-    return p.select("doc_id", FL.description_matches(F.col("title"), F.col("description")).alias("plausible"))
+    """Each title against the whole text of another document."""
+    count = t.documents.agg(F.count("*")).scalar()
+    titles = t.documents.select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), ((F.col("doc_id") * 7 + 1) % count).alias("other"))
+    texts = t.documents.select(F.col("doc_id").alias("other"), F.col("text").alias("description"))
+    return titles.join(texts, "other").select("doc_id", FL.description_matches(F.col("title"), F.col("description"), head=None).alias("plausible"))

@@ -16,6 +16,7 @@ from larkspur.plans.q_joins import as_of
 from larkspur.plans.q_preferences import BOUNDS, PERSONA, PV, TOP14, WEIGHTS, personas, weights
 from larkspur.plans.q_quality import r4, sql_r4
 from larkspur.plans.registry import query
+from larkspur.session import materialize
 
 _V = "items_b swipes_b"
 PAIR = f"""{WEIGHTS}, pair AS (SELECT w.session_id, f.item_id, CAST(sum(weight) AS DOUBLE) / sqrt(CAST(count(*) AS DOUBLE)) AS score, count(*) AS signals
@@ -267,7 +268,7 @@ def rnk_slate_metrics(t):
 @query("rnk_build_decks")
 def rnk_build_decks(t):
     personas_ = session_personas(t).select("session_id", "item_id", "rank")
-    return D.build_decks(weights(t), t.items_b, t.items_b.where("item_id % 3 = 0"), t.swipes_b, personas_, as_of(t), bounds=BOUNDS)
+    return D.build_decks(weights(t), t.items_b, t.items_b.where("item_id % 3 = 0"), t.swipes_b, personas_, as_of(t), bounds=BOUNDS, keep=materialize)
 
 
 _JAC = """SELECT i.item_id, j.item_id AS other_id, list_filter(['style:' || i.word2, 'style:' || i.type_tag, 'material:' || i.material, 'color:' || i.color_family], lambda z: z IS NOT NULL) AS a,
@@ -328,9 +329,9 @@ def evl_oracle_topk(t):
 @query("evl_ranking_study")
 def evl_ranking_study(t):
     """Baseline, diversified and diversified-with-exploration slates of 20 against the oracle."""
-    w = weights(t)
+    w = materialize(weights(t), "study_weights")
     tokens = t.items_b.select("item_id", R.style_tokens(t.items_b, R.MMR_FAMILIES).alias("tokens"))
-    base = R.preference_topk(w, t.items_b, 80, BOUNDS)
+    base = materialize(R.preference_topk(w, t.items_b, 80, BOUNDS), "study_base")
     mmr = S.unpack(S.apply_mmr(S.slate_rows(base.join(tokens, "item_id")), 0.95, 80)).withColumnRenamed("position", "rank")
     rate = R.adaptive_rate(0.08, F.col("confidence"))
     conf = P.preference_confidence(w)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larkspur.session import ship_package
 from larkspur.sources.bindings import Tables, with_views
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -26,6 +27,10 @@ def query(name: str, oracle: str | None = None, views: str = ""):
 
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn):
-        return lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        def call(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(Tables(spark, sf_dir))
+
+        return call
 
     return {name: bind(fn) for name, fn in QUERIES.items()}

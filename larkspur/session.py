@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -40,3 +43,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not hasattr(spark, "_larkspur_ckpt"):
         spark._larkspur_ckpt = tempfile.mkdtemp(prefix="spark-")
     return spark._larkspur_ckpt
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that later steps read several times, and return the written copy.
+
+    It cuts lineage without depending on any executor: a lost task re-reads the
+    files instead of recomputing the whole chain.
+    """
+    path = f"{work_dir(df.sparkSession, name)}-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_larkspur_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(root):
+        target = os.path.join(tempfile.mkdtemp(prefix="spark-"), "larkspur_package.zip")
+        with zipfile.ZipFile(target, "w") as out:
+            for folder, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        out.write(full, os.path.relpath(full, os.path.dirname(root)))
+        context.addPyFile(target)
+    context._larkspur_shipped = True
