@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.numbers import js_round, safe_ratio
 from larkspur.operators.ranking import jaccard_similarity, preference_topk
-from larkspur.operators.preferences import PRICE_BOUNDS
 
 
 def served_items(slates: DataFrame, k: int | None = None) -> DataFrame:

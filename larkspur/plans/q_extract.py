@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.operators import extract as E
-from larkspur.plans.q_quality import r4, sql_r4
 from larkspur.plans.registry import query
 
 _BASE = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"

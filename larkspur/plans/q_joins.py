@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.functions.url import url_signature as url_signature_of
 from larkspur.operators import filters as FL
 from larkspur.operators import lookups as J
 from larkspur.operators import normalize as N
-from larkspur.operators import urls as O
 from larkspur.plans.q_confidence import SCORES_SQL, scores
 from larkspur.plans.registry import query
 from larkspur.sources import sinks as S

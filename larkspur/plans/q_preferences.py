@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.functions.staging import pin  # noqa: F401
 from larkspur.operators import preferences as P
 from larkspur.plans.q_joins import as_of
 from larkspur.plans.q_quality import sql_r4

@@ -13,7 +13,7 @@ from larkspur.operators import shaping as S
 from larkspur.operators.review import recipe_gate
 from larkspur.plans import decks as D
 from larkspur.plans.q_joins import as_of
-from larkspur.plans.q_preferences import BOUNDS, PERSONA, PV, TOP14, WEIGHTS, personas, weights
+from larkspur.plans.q_preferences import BOUNDS, PERSONA, TOP14, WEIGHTS, personas, weights
 from larkspur.plans.q_quality import r4, sql_r4
 from larkspur.plans.registry import query
 from larkspur.session import materialize

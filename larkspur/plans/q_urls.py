@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.functions import lexicons as L
 from larkspur.functions import url as U
 from larkspur.functions import url_type as UT
 from larkspur.operators import normalize as N
