@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import decontaminate
+from larkspur.llm import decontaminate, line_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.query,
+    "op3_line_dedup": line_dedup.query,
 }
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontaminate.ORACLE,
+    "op3_line_dedup": line_dedup.ORACLE,
 }
