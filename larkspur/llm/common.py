@@ -153,3 +153,18 @@ def rows_of(counts: np.ndarray) -> np.ndarray:
 
 
 SQL_LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"  # for the oracles
+
+
+def bit_set(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Bit set of 2^bits over a long column: 2^(bits - 6) words whatever the input, so it may be broadcast."""
+    at = F.col(column).bitwiseAND((1 << bits) - 1)
+    words = (df.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))").alias("bit"))
+             .groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas())
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bit"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def in_bit_set(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values.view(np.uint64) & U64(len(table) * 64 - 1)
+    return (table[at >> U64(6)] >> (at & U64(63))) & U64(1) == 1

@@ -67,8 +67,7 @@ def _prints(buf: np.ndarray, off: np.ndarray, span: int, k: int, lengths: tuple[
 
     def keep(pos: np.ndarray, fps: np.ndarray, size: int, reach: int) -> None:
         if bits is not None:
-            at = fps & c.U64(len(bits) * 64 - 1)
-            hit = (bits[at >> c.U64(6)] >> (at & c.U64(63))) & c.U64(1) == 1
+            hit = c.in_bit_set(bits, fps)
             pos, fps = pos[hit], fps[hit]
         owner = np.searchsorted(rows, pos, "right") - 1
         for p, fp, r in zip(pos.tolist(), c.signed(fps).tolist(), owner.tolist()):
@@ -118,16 +117,6 @@ def benchmark_prints(items: DataFrame, id_col: str = "item_id", text_col: str =
             .groupBy("fp", "size", "need", "lead", "words").agg(F.collect_set("item").alias("items")))
 
 
-def filter_bits(prints: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Bit set of 2^bits over fingerprints, 2^(bits - 6) words at most whatever the input."""
-    at = F.col("fp").bitwiseAND((1 << bits) - 1)
-    words = (prints.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(fp & 63 as int))").alias("bit"))
-             .groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas())
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bit"].to_numpy(np.int64)
-    return out.view(np.uint64)
-
-
 def hit_spans(docs: DataFrame, bench: DataFrame, k: int = K) -> DataFrame:
     """Extended hits: (tk1, tk2, lo, hi, items), words lo to hi - 1 of a text."""
     d = (docs.where(F.size("prints") > 0).select("tk1", "tk2", F.inline("prints"))
@@ -158,7 +147,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     c.ship_package(spark)
     bench = c.materialize(benchmark_prints(items, item_id, item_text, span, k), "bench")
     lengths = tuple(sorted(r[0] for r in bench.where(F.col("need") < span).select("need").distinct().collect()))  # under `span` values
-    shared = spark.sparkContext.broadcast(filter_bits(bench, bits))
+    shared = spark.sparkContext.broadcast(c.bit_set(bench, "fp", bits))
     source = docs.select(F.col(id_col).alias("id"), *c.text_key(F.col(text_col)), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     prints = source.mapInArrow(_mapper(["id", "tk1", "tk2"], "text", span, k, lengths, shared, False), f"id {kind}, tk1 long, tk2 long, {_PRINTS}")

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import decontaminate, line_dedup
+from larkspur.llm import decontaminate, line_dedup, minhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.query,
     "op3_line_dedup": line_dedup.query,
+    "op6_minhash": minhash.query,
 }
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontaminate.ORACLE,
