@@ -1,6 +1,7 @@
 """Line dedup over levelled sorted runs of line hashes. DataFrame functions only.
 
-A run is a table of line hashes with the number of documents that hold each one, bucketed and sorted by hash. Documents
+A run is a table of line hashes with the number of documents that hold each one, bucketed by hash over as many buckets
+as the session shuffles to, and sorted. Documents
 come in batches. Each batch merge-anti-joins the settled runs (lines known to be frequent, which need no more
 counting), and adds its own run at level 0; two runs of a level are merged into one of the next level by a full outer
 merge join over their common buckets, without a shuffle, and lines that reach the threshold move to a settled run.
@@ -29,7 +30,7 @@ from larkspur.session import work_dir
 
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_CHARS, MIN_DOCS = 1, 10
-BATCHES, BUCKETS = 4, 16
+BATCHES = 4
 
 
 def lines(text: Column) -> Column:
@@ -46,23 +47,25 @@ def line_hashes(text: Column, min_chars: int) -> Column:
 
 
 class LineRuns:
-    """Levels of sorted runs (h, n, first) and the settled runs; every table lies in the shared folder."""
+    """Levels of sorted runs and the settled runs, all in the shared folder.
 
-    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, buckets: int = BUCKETS):
-        self.spark, self.min_docs, self.buckets = spark, min_docs, buckets
+    A run holds h and n, and the columns `batch` and `id` of the first document where batches bring them.
+    """
+
+    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, buckets: int | None = None):
+        self.spark, self.min_docs = spark, min_docs
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: dict[int, str] = {}
         self.settled: list[str] = []
-        self.names: list[str] = []
 
     def _write(self, df: DataFrame) -> str:
         name = f"larkspur_run_{uuid.uuid4().hex}"
-        (df.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").option("compression", "zstd")
+        (df.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h")
          .option("path", f"{work_dir(self.spark, 'lines')}/{name}").saveAsTable(name))
-        self.names.append(name)
         return name
 
     def add(self, batch: DataFrame) -> None:
-        """batch: (h, n, first), a row for each line hash of the batch."""
+        """A row for each line hash of the batch, later than all that were added before."""
         for name in self.settled:
             batch = batch.join(self.spark.table(name).select("h"), "h", "left_anti")
         run, level = self._write(batch), 0
@@ -70,54 +73,54 @@ class LineRuns:
             run, level = self._merge(self.levels.pop(level), run), level + 1
         self.levels[level] = run
 
-    def _merge(self, a: str, b: str) -> str:
-        x, y = self.spark.table(a), self.spark.table(b)
-        both = (x.alias("x").join(y.alias("y"), F.col("x.h") == F.col("y.h"), "full_outer")
-                .select(F.coalesce("x.h", "y.h").alias("h"), (F.coalesce("x.n", F.lit(0)) + F.coalesce("y.n", F.lit(0))).alias("n"),
-                        F.least("x.first", "y.first").alias("first")))
+    def _merge(self, earlier: str, later: str) -> str:
+        x, y = self.spark.table(earlier).alias("x"), self.spark.table(later).alias("y")
+        first = [F.when(F.col("x.h").isNull(), F.col(f"y.{k}")).otherwise(F.col(f"x.{k}")).alias(k) for k in self.spark.table(earlier).columns if k not in ("h", "n")]
+        both = (x.join(y, F.col("x.h") == F.col("y.h"), "full_outer")
+                .select(F.coalesce("x.h", "y.h").alias("h"), (F.coalesce("x.n", F.lit(0)) + F.coalesce("y.n", F.lit(0))).alias("n"), *first))
         merged = self.spark.table(self._write(both))
         self.settled.append(self._write(merged.where(F.col("n") >= self.min_docs)))
         return self._write(merged.where(F.col("n") < self.min_docs))
 
     def frequent(self) -> DataFrame:
-        """(h, n, first) of every line in at least `min_docs` documents; n and first as of the batch that settled it."""
+        """Every line in at least `min_docs` documents; n as of the batch that settled it."""
         while len(self.levels) > 1:
             low, high = sorted(self.levels)[:2]
             self.levels[high] = self._merge(self.levels.pop(high), self.levels.pop(low))
-        tables = [self.spark.table(n) for n in self.settled] + [self.spark.table(n).where(F.col("n") >= self.min_docs) for n in self.levels.values()]
-        found = tables[0]
-        for t in tables[1:]:
-            found = found.unionByName(t)
+        found = self.spark.table(next(iter(self.levels.values()))).where(F.col("n") >= self.min_docs)
+        for name in self.settled:
+            found = found.unionByName(self.spark.table(name))
         return found
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS,
-                keep_first: bool = False, batches: int = BATCHES, buckets: int = BUCKETS) -> DataFrame:
+                keep_first: bool = False, batches: int = BATCHES, buckets: int | None = None) -> DataFrame:
     """The documents with columns n_lines, n_dropped and kept (the text that stays) added under a struct `line_dedup`."""
     spark = docs.sparkSession
     keys = c.row_key(id_col, text_col)
     batch = F.pmod(F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col)), F.lit(batches)).cast("int")
-    place = F.struct(batch.alias("batch"), F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"))
     path = f"{work_dir(spark, 'line-hashes')}-{uuid.uuid4().hex[:8]}"
-    hashed = docs.select(*keys, place.alias("place"), line_hashes(F.col(text_col), min_chars).alias("hashes"), batch.alias("batch"))
+    hashed = docs.select(*keys, F.col(id_col).alias("id"), line_hashes(F.col(text_col), min_chars).alias("hashes"), batch.alias("batch"))
     hashed.write.partitionBy("batch").option("compression", "zstd").parquet(path)
     staged = spark.read.schema(hashed.schema).parquet(path)
     runs = LineRuns(spark, min_docs, buckets)
+    first = [F.first("batch").alias("batch"), F.min("id").alias("id")] if keep_first else []
     for b in range(batches):
-        own = staged.where(F.col("batch") == b).select("place", F.explode(F.array_distinct("hashes")).alias("h")).where(F.col("h").isNotNull())
-        runs.add(own.groupBy("h").agg(F.count("*").alias("n"), F.min("place").alias("first")))
+        own = staged.where(F.col("batch") == b).select("batch", "id", F.explode(F.array_distinct("hashes")).alias("h")).where(F.col("h").isNotNull())
+        runs.add(own.groupBy(F.unhex("h").alias("h")).agg(F.count("*").alias("n"), *first))
     frequent = c.materialize(runs.frequent(), "frequent")  # a plain table: both sides of the next join can be split
-    found = staged.select("rk1", "rk2", "place", F.posexplode("hashes").alias("pos", "h")).join(frequent, "h")
+    lost = staged.select("rk1", "rk2", F.col("batch").alias("own_batch"), F.col("id").alias("own_id"), F.posexplode("hashes").alias("pos", "x"))
+    lost = lost.select("*", F.unhex("x").alias("h")).join(frequent, "h")
     if keep_first:
-        found = found.where(F.col("place") != F.col("first"))
-    dropped = found.groupBy("rk1", "rk2").agg(F.collect_set("pos").alias("dropped"))
+        lost = lost.where(~(F.col("own_batch").eqNullSafe(F.col("batch")) & F.col("own_id").eqNullSafe(F.col("id"))))
+    dropped = lost.groupBy("rk1", "rk2").agg(F.collect_set("pos").alias("dropped"))
     own = F.col("row").getField(text_col)
     all_lines = lines(own)
     stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("dropped"))
     kept = (F.when(F.col("dropped").isNull(), F.coalesce(own, F.lit("")))
             .otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(all_lines, i + 1)), "\n")))
-    lost = F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped"))
-    result = F.struct(F.size(all_lines).cast("long").alias("n_lines"), lost.cast("long").alias("n_dropped"), kept.alias("kept"))
+    n_lost = F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped"))
+    result = F.struct(F.size(all_lines).cast("long").alias("n_lines"), n_lost.cast("long").alias("n_dropped"), kept.alias("kept"))
     row = F.struct(*[F.col(f"`{x}`") for x in docs.columns if x != "line_dedup"])
     return docs.select(row.alias("row"), *keys).join(dropped, ["rk1", "rk2"], "left").select("row.*", result.alias("line_dedup"))
 
