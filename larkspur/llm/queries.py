@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import decontaminate, line_dedup, minhash, substring_dedup
+from larkspur.llm import decontaminate, line_dedup, minhash, packing, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.query,
     "op3_line_dedup": line_dedup.query,
     "op6_minhash": minhash.query,
+    "op9_packing": packing.query,
     "op10_substring_dedup": substring_dedup.query,
 }
 ORACLES: dict[str, str] = {
