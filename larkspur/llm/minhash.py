@@ -5,13 +5,15 @@ candidates; the low `BITS` bits of every minimum, packed into a few longs, estim
 differing fields and correcting for fields that agree by chance. Pairs that may reach the threshold are confirmed on
 their full sets, and linked documents form components.
 
-Scale: texts are read twice, once for signatures and once for the sets of those documents that some candidate needs
+Scale: texts are read once for signatures and again for the full sets of those documents that some candidate needs
 (found by a bit set of fixed size, then an exact join). Documents with equal sets are one class before anything is
-paired, so groups of exact copies cost one row. Pairs within a bucket are never all formed: every member meets a few
-pivots of its bucket, links are contracted to components, and further pivots are taken only from members outside the
-bucket's largest component, until all members of every bucket are in one component or have met each other. That loses no
-link between members of different components and forms pivots x members rows a round. Every round is written to the
-shared folder.
+paired, so groups of exact copies cost one row. Pairs within a bucket are never all formed. Every member meets the few
+members of its bucket that share buckets with the most others, which links a family of copies to its origin in rows that
+grow with the members; links are contracted to components. Buckets that still hold several components are resolved by a
+prefix join: two sets that reach the threshold share one of their rarest shingles, where how many depends on both sizes,
+so members outside a bucket's largest component look up only those. Any common order of shingles keeps this exact; rarity
+is estimated by a count table of fixed size. No link between different components is lost, and no step needs more rows
+than members x (pivots or prefix). Every step is written to the shared folder.
 
 The chance that a pair at the threshold shares no band or fails the estimate is about `MISS`.
 
@@ -37,8 +39,10 @@ from larkspur.llm.components import components
 SHINGLE, PERCENT = 5, 80
 HASHES, BITS = 128, 2
 MISS, SIGMAS = 1e-6, 5.0
-PIVOTS = 4
-NEEDED_BITS = 27
+PIVOTS = 3
+NEEDED_BITS = 25
+RARITY_BITS = 18
+SIZE_STEP = 1.04
 _RANDOM = np.random.default_rng(20240229)
 _XOR = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _MUL = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -160,7 +164,7 @@ def floor_estimate(percent: int) -> float:
     return percent / 100 - SIGMAS * math.sqrt(p * (1 - p) / HASHES) / (1 - chance)
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes whose full sets reach the threshold."""
     a = sets.select(F.col("v").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("v").alias("b"), F.col("shingles").alias("sb"))
@@ -180,6 +184,64 @@ def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
             .select("a", "b"))
 
 
+def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Fewest common elements of sets of a and b elements that reach the threshold."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
+def _prefixes(percent: int, counts):
+    """Lookups of the rarest shingles: (token, step, v, root, probe). A probe goes to every step of sizes it can match."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = counts.value
+        log_step = np.log(SIZE_STEP)
+        for batch in batches:
+            tokens, steps, rows, probes = [], [], [], []
+            values = batch.column(3)
+            off = values.offsets.to_numpy()
+            flat = values.values.to_numpy(zero_copy_only=False)
+            probing = batch.column(2).to_numpy(zero_copy_only=False)
+            for r in range(len(batch)):
+                own = flat[off[r]:off[r + 1]]
+                n = len(own)
+                own = own[np.lexsort((own, table[own.view(np.uint64) & c.U64(len(table) - 1)]))]
+                low, high = -(-percent * n // 100), 100 * n // percent
+                keep = n - int(least_overlap(n, low, percent)) + 1
+                tokens.append(own[:keep])
+                steps.append(np.full(keep, int(np.log(n) / log_step)))
+                rows.append(np.full(keep, r))
+                probes.append(np.zeros(keep, bool))
+                if probing[r]:
+                    for step in range(int(np.log(low) / log_step), int(np.log(high) / log_step) + 1):
+                        least = max(low, int(np.floor(SIZE_STEP**step * (1 - 1e-9))))  # smallest size of the step
+                        keep = n - int(least_overlap(n, least, percent)) + 1
+                        if keep > 0:
+                            tokens.append(own[:keep])
+                            steps.append(np.full(keep, step))
+                            rows.append(np.full(keep, r))
+                            probes.append(np.ones(keep, bool))
+            if tokens:
+                at = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(steps).astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(probes))],
+                                                 ["token", "step", "v", "root", "probe"])
+
+    return run
+
+
+def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components, one of them a probe, that share a shingle early enough to reach the threshold."""
+    spark = rest.sparkSession
+    slot = F.col("token").bitwiseAND((1 << RARITY_BITS) - 1)
+    table = sets.select(F.explode("shingles").alias("token")).groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).toPandas()
+    counts = np.zeros(1 << RARITY_BITS, np.int64)
+    counts[table["slot"].to_numpy(np.int64)] = table["n"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(counts)
+    rows = rest.groupBy("v").agg(F.first("root").alias("root"), F.max(~F.col("largest")).alias("probe")).join(sets, "v").select("v", "root", "probe", "shingles")
+    found = c.materialize(rows.mapInArrow(_prefixes(percent, shared), "token long, step int, v binary, root binary, probe boolean"), "prefixes")
+    index = found.where(~F.col("probe")).select("token", "step", F.col("v").alias("w"), F.col("root").alias("w_root"))
+    return (found.where("probe").join(index, ["token", "step"]).where(F.col("root") != F.col("w_root"))
+            .select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
                     pivots: int = PIVOTS) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id it is linked with, directly or not), kept."""
@@ -188,33 +250,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands, rows = banding(percent)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), *c.row_key(id_col, text_col), F.col(text_col).alias("text"))
+    texts = source.select("rk1", "rk2", "text")
     signed = c.materialize(source.mapInArrow(_signatures(shingle, bands, rows), f"id {kind}, rk1 long, rk2 long, n long, v binary, bands array<long>, sig array<long>"), "signatures")
     classes = c.materialize(signed.where(F.col("v").isNotNull()).groupBy("v").agg(
         F.min(F.struct("rk1", "rk2")).alias("rk"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
-    members = classes.select("v", F.explode("bands").alias("bucket"))
-    order = Window.partitionBy("bucket").orderBy("v")
-    first = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots).select("bucket", F.col("v").alias("a"))
-    found = members.join(first, "bucket").where(F.col("a") < F.col("v")).select("a", F.col("v").alias("b"))
+    every = classes.select("v", F.explode("bands").alias("bucket"))
+    sizes = every.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+    members = c.materialize(every.join(sizes, "bucket"), "members")
+    central = members.groupBy("v").agg(F.sum("size").alias("meets"))
+    order = Window.partitionBy("bucket").orderBy(F.desc("meets"), "v")
+    ranked = members.join(central, "v").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots)
+    first = c.materialize(ranked.select("bucket", F.col("v").alias("p")), "pivots")
+    found = members.join(first, "bucket").where(F.col("p") != F.col("v")).select(F.least("p", "v").alias("a"), F.greatest("p", "v").alias("b"))
     tested = c.materialize(_candidates(found, classes, percent), "pairs")
-    sets = _sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), classes, tested, shingle)
-    links = c.materialize(_confirm(tested, classes, sets, percent), "links")
+    links = c.materialize(_confirm(tested, _sets(texts, classes, tested.select(F.col("a").alias("v")).union(tested.select("b")), shingle), percent), "links")
     roots = components(links)
-    rest = members.join(first.select("bucket", F.col("a").alias("v")), ["bucket", "v"], "left_anti")
-    while True:
-        pivots *= 4
-        rest = c.materialize(_unsettled(rest, roots), "rest")
-        if rest.isEmpty():
-            break
-        chosen = (rest.where(~F.col("largest")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots)
-                  .select("bucket", F.col("v").alias("p"), F.col("root").alias("p_root")))
-        found = (rest.join(chosen, "bucket").where(F.col("root") != F.col("p_root"))
-                 .select(F.least("p", "v").alias("a"), F.greatest("p", "v").alias("b")))
-        fresh = c.materialize(_candidates(found, classes, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
-        sets = _sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), classes, fresh, shingle)
-        links = c.materialize(links.union(_confirm(fresh, classes, sets, percent)), "links")
-        tested = tested.union(fresh)
-        roots = components(links)
-        rest = rest.join(chosen.select("bucket", F.col("p").alias("v")), ["bucket", "v"], "left_anti").select("bucket", "v")
+    rest = c.materialize(_unsettled(members.where(F.col("size") > pivots + 1), roots), "rest")
+    sets = _sets(texts, classes, rest.select("v"), shingle)
+    more = c.materialize(_candidates(_prefix_pairs(rest, sets, percent), classes, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+    late = c.materialize(_confirm(more, sets, percent), "links")
+    if not late.isEmpty():
+        roots = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).union(late))
     placed = signed.select("id", "n", "v").join(roots, "v", "left").select("id", "n", F.coalesce("root", "v").alias("root"))
     lowest = placed.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("low"))
     return (placed.join(lowest, "root", "left")
@@ -231,14 +287,11 @@ def _unsettled(rest: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(several, "bucket").select("bucket", "v", "root", (F.col("root") == F.col("top")).alias("largest"))
 
 
-def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """(v, shingles) of every class that occurs in the pairs, from one document of the class."""
-    spark = docs.sparkSession
-    used = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
-    wanted = c.materialize(classes.join(used, "v", "left_semi").select("v", "rk.rk1", "rk.rk2"), "wanted")
-    bits = spark.sparkContext.broadcast(c.bit_set(wanted, "rk1", NEEDED_BITS))
-    source = docs.select(*c.row_key("id", "text"), "text")
-    some = source.mapInArrow(_needed_sets(shingle, bits), "rk1 long, rk2 long, shingles array<long>")
+def _sets(texts: DataFrame, classes: DataFrame, used: DataFrame, shingle: int) -> DataFrame:
+    """(v, shingles) of the used classes, from one document of each."""
+    wanted = c.materialize(classes.join(used.distinct(), "v", "left_semi").select("v", "rk.rk1", "rk.rk2"), "wanted")
+    bits = texts.sparkSession.sparkContext.broadcast(c.bit_set(wanted, "rk1", NEEDED_BITS))
+    some = texts.mapInArrow(_needed_sets(shingle, bits), "rk1 long, rk2 long, shingles array<long>")
     return c.materialize(some.join(wanted, ["rk1", "rk2"]).select("v", "shingles").dropDuplicates(["v"]), "sets")
 
 

@@ -33,7 +33,7 @@ from larkspur.llm import common as c
 
 LENGTH, GRAM = 200, 16
 BLOCK = 4 << 20
-SHARED_BITS = 27
+SHARED_BITS = 26
 
 
 # --- segments -----------------------------------------------------------------------------------------------------
