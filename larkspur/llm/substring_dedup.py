@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import common as c
 
-LENGTH, GRAM = 200, 16
-BLOCK = 4 << 20
-SHARED_BITS = 26
+LENGTH, GRAM = 200, 48  # a shorter gram is more often common by chance, a longer one gives more segments
+BLOCK = 1 << 20
+SHARED_BITS = 25
 
 
 # --- segments -----------------------------------------------------------------------------------------------------
