@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import decontaminate, language, line_dedup, minhash, packing, quality, substring_dedup
+from larkspur.llm import chat, decontaminate, language, line_dedup, minhash, packing, quality, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.query,
     "op2_language": language.query,
     "op3_line_dedup": line_dedup.query,
     "op4_quality": quality.query,
+    "op5_chat": chat.query,
     "op6_minhash": minhash.query,
     "op9_packing": packing.query,
     "op10_substring_dedup": substring_dedup.query,
@@ -20,4 +21,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontaminate.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
+    "op5_chat": chat.ORACLE,
 }
