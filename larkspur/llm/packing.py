@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from larkspur.llm import common as c
 
 CAPACITY, END_ID = 4096, 2
-OPEN, WORDS = 2048, 300_000
+OPEN, WORDS = 2048, 600_000
 VOCABULARY = "word_bpe_49k.json"
 _WORDS: dict = {}
 
@@ -69,11 +69,18 @@ class WordIds:
             words.older = dict(words)
             words.clear()
         older = words.older
-        fresh = list({w for ws in split for w in ws if w not in words and w not in older})
-        for i in range(0, len(fresh), 10_000):
-            part = fresh[i:i + 10_000]
+        fresh = {w for ws in split for w in ws if w not in words and w not in older}
+        # a full stop or comma after a letter is always a piece of its own
+        ends = [w for w in fresh if w[-1] in b".," and 97 <= w[-2:][0] <= 122]
+        fresh.difference_update(ends)
+        fresh.update(w for e in ends for w in (e[:-1], e[-1:]) if w not in words and w not in older)
+        todo = list(fresh)
+        for i in range(0, len(todo), 10_000):
+            part = todo[i:i + 10_000]
             for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
                 words[w] = np.array(e.ids, "<u4").tobytes()
+        for w in ends:
+            words[w] = words[w[:-1]] + words[w[-1:]]
         return [b"".join(map(words.__getitem__, ws)) for ws in split]
 
 
