@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import chat, decontaminate, language, line_dedup, minhash, packing, quality, substring_dedup
+from larkspur.llm import chat, decontaminate, language, line_dedup, minhash, packing, pii, quality, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": quality.query,
     "op5_chat": chat.query,
     "op6_minhash": minhash.query,
+    "op7_pii": pii.query,
     "op9_packing": packing.query,
     "op10_substring_dedup": substring_dedup.query,
 }
