@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import chat, decontaminate, language, line_dedup, minhash, packing, pii, quality, substring_dedup
+from larkspur.llm import chat, decontaminate, language, line_dedup, minhash, packing, pii, quality, sentence_dedup, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat": chat.query,
     "op6_minhash": minhash.query,
     "op7_pii": pii.query,
+    "op8_sentence_dedup": sentence_dedup.query,
     "op9_packing": packing.query,
     "op10_substring_dedup": substring_dedup.query,
 }
