@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.llm import common as c
 
@@ -140,26 +141,30 @@ def hit_spans(docs: DataFrame, bench: DataFrame, k: int = K) -> DataFrame:
             .select("tk1", "tk2", (F.col("pos") - F.col("left")).alias("lo"), (F.col("pos") + F.col("size") + F.col("right")).alias("hi"), "items"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
-                  item_text: str = "text", span: int = SPAN, k: int = K, bits: int = FILTER_BITS) -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, items (sorted strings), contaminated."""
+def contaminated_texts(docs: DataFrame, items: DataFrame, carry: list[str], text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+                       span: int = SPAN, k: int = K, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """(every document: the carried columns, tk1, tk2, n_words; contaminated texts only: tk1, tk2, n_hit, items)."""
     spark = docs.sparkSession
     c.ship_package(spark)
     bench = c.materialize(benchmark_prints(items, item_id, item_text, span, k), "bench")
     lengths = tuple(sorted(r[0] for r in bench.where(F.col("need") < span).select("need").distinct().collect()))  # under `span` values
     shared = spark.sparkContext.broadcast(c.bit_set(bench, "fp", bits))
-    source = docs.select(F.col(id_col).alias("id"), *c.text_key(F.col(text_col)), F.col(text_col).alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
-    prints = source.mapInArrow(_mapper(["id", "tk1", "tk2"], "text", span, k, lengths, shared, False), f"id {kind}, tk1 long, tk2 long, {_PRINTS}")
-    prints = c.materialize(prints, "prints")
+    source = docs.select(F.struct(*[F.col(f"`{x}`") for x in carry]).alias("carry"), *c.text_key(F.col(f"`{text_col}`")), F.col(text_col).alias("text"))
+    schema = T.StructType([*source.schema.fields[:3], *T._parse_datatype_string(_PRINTS).fields])
+    prints = c.materialize(source.mapInArrow(_mapper(["carry", "tk1", "tk2"], "text", span, k, lengths, shared, False), schema), "prints")
     hits = hit_spans(prints, bench, k)
     covered = (hits.select("tk1", "tk2", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("word")).distinct()
                .groupBy("tk1", "tk2").agg(F.count("*").alias("n_hit")))
     names = (hits.select("tk1", "tk2", F.explode("items").alias("item")).distinct()
              .groupBy("tk1", "tk2").agg(F.sort_array(F.collect_list("item")).alias("items")))
-    per_text = covered.join(names, ["tk1", "tk2"])
-    return (prints.select("id", "tk1", "tk2", "n_words").join(per_text, ["tk1", "tk2"], "left")
-            .select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+    return prints.select("carry", "tk1", "tk2", "n_words"), covered.join(names, ["tk1", "tk2"])
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per document: id, n_words, n_hit, n_items, items (sorted strings), contaminated."""
+    every, found = contaminated_texts(docs, items, [id_col], text_col, **options)
+    return (every.join(found, ["tk1", "tk2"], "left")
+            .select(F.col("carry").getField(id_col).alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
                     F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
                     F.coalesce("items", F.array().cast("array<string>")).alias("items"),
                     F.col("n_hit").isNotNull().alias("contaminated")))

@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.llm import common as c
 
@@ -192,35 +193,33 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model(langs, sorted(fitted, key=lambda r: (r["level"], r["a"], r["b"])))
 
 
-def _predict(model, keep: list[str]):
+def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.value
         for batch in batches:
-            k = len(keep)
-            letters = batch.column(k + 1).to_numpy(zero_copy_only=False)
-            for lo, hi, buf, off in c.blocks(batch.column(k)):
+            letters = batch.column(3).to_numpy(zero_copy_only=False)
+            for lo, hi, buf, off in c.blocks(batch.column(2)):
                 lang, score = np.full(hi - lo, UNKNOWN, object), np.zeros(hi - lo)
                 at = np.flatnonzero(letters[lo:hi])
                 if len(at) and known.langs:
                     lang[at], score[at] = (v[at] for v in known.predict(features(buf, off)))
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(k)), pa.array(lang, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(score)], ["carry", "held_out", "lang_pred", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
-    """One row per document: rk1, rk2 (its key), id, held_out, lang_pred, score."""
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, carry: list[str] | None = None) -> DataFrame:
+    """One row per document: a struct `carry` of the named columns (the id by default), held_out, lang_pred, score."""
     spark = docs.sparkSession
     c.ship_package(spark)
     model = spark.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col, sample))
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    source = docs.select(*c.row_key(id_col, text_col), F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"), letters.alias("letters"))
-    kind = source.schema["id"].dataType.simpleString()
-    keep = ["rk1", "rk2", "id", "held_out"]
-    return source.mapInArrow(_predict(model, keep), f"rk1 long, rk2 long, id {kind}, held_out boolean, lang_pred string, score double")
+    source = docs.select(F.struct(*[F.col(f"`{x}`") for x in carry or [id_col]]).alias("carry"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"), letters.alias("letters"))
+    schema = T.StructType([*source.schema.fields[:2], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return source.mapInArrow(_predict(model), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: `identify` over whole documents."""
-    return identify(c.table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score")
+    return identify(c.table(spark, sf_dir, "documents")).select("carry.doc_id", "held_out", "lang_pred", "score")

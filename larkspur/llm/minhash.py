@@ -242,9 +242,8 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
-                    pivots: int = PIVOTS) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id it is linked with, directly or not), kept."""
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, pivots: int = PIVOTS) -> DataFrame:
+    """A row per document: rk1, rk2 (its key), id, n (shingles) and root, equal for linked documents and null for an empty set."""
     spark = docs.sparkSession
     c.ship_package(spark)
     bands, rows = banding(percent)
@@ -271,13 +270,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     late = c.materialize(_confirm(more, sets, percent), "links")
     if not late.isEmpty():
         roots = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).union(late))
-    placed = signed.select("id", "n", "v").join(roots, "v", "left").select("id", "n", F.coalesce("root", "v").alias("root"))
+    return signed.select("rk1", "rk2", "id", "n", "v").join(roots, "v", "left").select("rk1", "rk2", "id", "n", F.coalesce("root", "v").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (smallest id it is linked with, directly or not), kept."""
+    placed = classify(docs, id_col, text_col, shingle, percent)
     lowest = placed.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("id").alias("low"))
     return (placed.join(lowest, "root", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("low")).alias("component_id"))
             .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))
 
 
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The documents without near duplicates: of each component the one with the smallest id (null last), one row of it."""
+    placed = classify(docs, id_col, text_col, shingle, percent)
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "rk1", "rk2")
+    lowest = placed.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(place).alias("low")).select("low.rk1", "low.rk2")
+    stay = lowest.union(placed.where(F.col("root").isNull()).select("rk1", "rk2").distinct())
+    row = F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row")
+    return docs.select(row, *c.row_key(id_col, text_col)).join(stay, ["rk1", "rk2"], "left_semi").groupBy("rk1", "rk2").agg(F.first("row").alias("row")).select("row.*")
+
+
 def _unsettled(rest: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of buckets that still hold several components; `largest` marks the component with the most members."""
     placed = rest.select("bucket", "v").join(roots, "v", "left").select("bucket", "v", F.coalesce("root", "v").alias("root"))
