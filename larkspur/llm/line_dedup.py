@@ -113,16 +113,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lost = lost.select("*", F.unhex("x").alias("h")).join(frequent, "h")
     if keep_first:
         lost = lost.where(~(F.col("own_batch").eqNullSafe(F.col("batch")) & F.col("own_id").eqNullSafe(F.col("id"))))
-    dropped = lost.groupBy("rk1", "rk2").agg(F.collect_set("pos").alias("dropped"))
-    own = F.col("row").getField(text_col)
+    dropped = lost.groupBy("rk1", "rk2").agg(F.collect_set("pos").alias("__dropped"))
+    own = F.col("__row").getField(text_col)
     all_lines = lines(own)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("dropped"))
-    kept = (F.when(F.col("dropped").isNull(), F.coalesce(own, F.lit("")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("__dropped"))
+    kept = (F.when(F.col("__dropped").isNull(), F.coalesce(own, F.lit("")))
             .otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(all_lines, i + 1)), "\n")))
-    n_lost = F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped"))
+    n_lost = F.when(F.col("__dropped").isNull(), 0).otherwise(F.size("__dropped"))
     result = F.struct(F.size(all_lines).cast("long").alias("n_lines"), n_lost.cast("long").alias("n_dropped"), kept.alias("kept"))
     row = F.struct(*[F.col(f"`{x}`") for x in docs.columns if x != "line_dedup"])
-    return docs.select(row.alias("row"), *keys).join(dropped, ["rk1", "rk2"], "left").select("row.*", result.alias("line_dedup"))
+    return docs.select(row.alias("__row"), *keys).join(dropped, ["rk1", "rk2"], "left").select("__row.*", result.alias("line_dedup"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -288,8 +288,8 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "rk1", "rk2")
     lowest = placed.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(place).alias("low")).select("low.rk1", "low.rk2")
     stay = lowest.union(placed.where(F.col("root").isNull()).select("rk1", "rk2").distinct())
-    row = F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row")
-    return docs.select(row, *c.row_key(id_col, text_col)).join(stay, ["rk1", "rk2"], "left_semi").groupBy("rk1", "rk2").agg(F.first("row").alias("row")).select("row.*")
+    row = F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("__row")
+    return docs.select(row, *c.row_key(id_col, text_col)).join(stay, ["rk1", "rk2"], "left_semi").groupBy("rk1", "rk2").agg(F.first("__row").alias("__row")).select("__row.*")
 
 
 def _unsettled(rest: DataFrame, roots: DataFrame) -> DataFrame:

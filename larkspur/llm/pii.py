@@ -223,19 +223,19 @@ def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Dat
     text = F.col(text_col)
     worth = F.coalesce(text.rlike("[0-9@]|(?i:password|passwd|secret|token|api_?key)"), F.lit(False))
     found = F.when(worth, F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda v: _finding(v, key)))
-    kinds = F.transform("_found", lambda x: x["kind"])
+    kinds = F.transform("__found", lambda x: x["kind"])
     count = lambda k: F.coalesce(F.size(F.filter(kinds, lambda x: x == k)), F.lit(0)).cast("long")
     columns = [x for x in docs.columns if x != "pii"]
-    staged = docs.select(F.struct(*[F.col(f"`{x}`") for x in columns]).alias("row"), F.inline(F.array(F.struct(found.alias("_found")))))
-    own = F.col("row").getField(text_col)
+    staged = docs.select(F.struct(*[F.col(f"`{x}`") for x in columns]).alias("__row"), F.inline(F.array(F.struct(found.alias("__found")))))
+    own = F.col("__row").getField(text_col)
     return staged.select(
-        *[F.when(F.col("_found").isNotNull() & (F.size("_found") > 0), _rebuild(own)).otherwise(own).alias(x) if x == text_col else F.col("row").getField(x).alias(x) for x in columns],
+        *[F.when(F.col("__found").isNotNull() & (F.size("__found") > 0), _rebuild(own)).otherwise(own).alias(x) if x == text_col else F.col("__row").getField(x).alias(x) for x in columns],
         F.struct(*[count(k).alias(k) for k in FORMS]).alias("pii"))
 
 
 def _rebuild(text: Column) -> Column:
     between = F.split(text, PATTERN, -1)
-    return F.array_join(F.zip_with(between, F.transform("_found", lambda x: x["text"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.array_join(F.zip_with(between, F.transform("__found", lambda x: x["text"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -86,9 +86,9 @@ def test_iban_check_digits_and_key(spark):
 
 
 def test_no_python_and_empty(spark):
-    df = spark.createDataFrame([], "id long, text string, row string, _found int")
+    df = spark.createDataFrame([], "id long, text string, row string, __found int")
     got = pii.pseudonymize(df)
-    assert got.columns == ["id", "text", "row", "_found", "pii"] and got.count() == 0
+    assert got.columns == ["id", "text", "row", "__found", "pii"] and got.count() == 0
     assert "Python" not in got._jdf.queryExecution().toString()
 
 
