@@ -37,11 +37,12 @@ from larkspur.llm import common as c
 from larkspur.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
-HASHES, BITS = 128, 2
+HASHES, BITS = 512, 2
+BAND_HASHES = 128  # the first of them make the bands
 MISS, SIGMAS = 1e-6, 5.0
 PIVOTS = 3
 NEEDED_BITS = 25
-RARITY_BITS = 18
+RARITY_BITS = 20
 SIZE_STEP = 1.04
 _RANDOM = np.random.default_rng(20240229)
 _XOR = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -49,7 +50,7 @@ _MUL = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _FIELDS = 64 // BITS
 
 
-def banding(percent: int, hashes: int = HASHES, miss: float = MISS) -> tuple[int, int]:
+def banding(percent: int, hashes: int = BAND_HASHES, miss: float = MISS) -> tuple[int, int]:
     """(bands, rows of a band): the longest bands that miss a pair at the threshold with at most the given chance."""
     best = None
     for rows in range(1, hashes + 1):
@@ -180,7 +181,7 @@ def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     a = classes.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("sig").alias("ga"))
     b = classes.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("gb"))
     return (pairs.join(a, "a").join(b, "b")
-            .where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (estimate(F.col("ga"), F.col("gb")) >= floor_estimate(percent)))
+            .where(_possible("na", "nb", "ga", "gb", percent))
             .select("a", "b"))
 
 
@@ -190,7 +191,7 @@ def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _prefixes(percent: int, counts):
-    """Lookups of the rarest shingles: (token, step, v, root, probe). A probe goes to every step of sizes it can match."""
+    """Lookups of the rarest shingles: (token, step, v, root, n, sig, probe). A probe goes to every step of sizes it can match."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
         log_step = np.log(SIZE_STEP)
@@ -221,25 +222,33 @@ def _prefixes(percent: int, counts):
                             probes.append(np.ones(keep, bool))
             if tokens:
                 at = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(steps).astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(probes))],
-                                                 ["token", "step", "v", "root", "probe"])
+                own = [batch.column(i).take(at) for i in (0, 1, 4, 5)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(steps).astype(np.int32)), *own, pa.array(np.concatenate(probes))],
+                                                 ["token", "step", "v", "root", "n", "sig", "probe"])
 
     return run
 
 
-def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components, one of them a probe, that share a shingle early enough to reach the threshold."""
+def _possible(na: str, nb: str, ga: str, gb: str, percent: int) -> Column:
+    """Sizes and estimate allow the threshold."""
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (estimate(F.col(ga), F.col(gb)) >= floor_estimate(percent))
+
+
+def _prefix_pairs(rest: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of different components, one of them a probe, that share a shingle early enough to reach the
+    threshold and whose estimate allows it."""
     spark = rest.sparkSession
     slot = F.col("token").bitwiseAND((1 << RARITY_BITS) - 1)
     table = sets.select(F.explode("shingles").alias("token")).groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).toPandas()
-    counts = np.zeros(1 << RARITY_BITS, np.int64)
-    counts[table["slot"].to_numpy(np.int64)] = table["n"].to_numpy(np.int64)
+    counts = np.zeros(1 << RARITY_BITS, np.int32)
+    counts[table["slot"].to_numpy(np.int64)] = table["n"].clip(upper=(1 << 31) - 1).to_numpy(np.int32)
     shared = spark.sparkContext.broadcast(counts)
-    rows = rest.groupBy("v").agg(F.first("root").alias("root"), F.max(~F.col("largest")).alias("probe")).join(sets, "v").select("v", "root", "probe", "shingles")
-    found = c.materialize(rows.mapInArrow(_prefixes(percent, shared), "token long, step int, v binary, root binary, probe boolean"), "prefixes")
-    index = found.where(~F.col("probe")).select("token", "step", F.col("v").alias("w"), F.col("root").alias("w_root"))
-    return (found.where("probe").join(index, ["token", "step"]).where(F.col("root") != F.col("w_root"))
-            .select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")))
+    rows = (rest.groupBy("v").agg(F.first("root").alias("root"), F.max(~F.col("largest")).alias("probe")).join(sets, "v")
+            .join(classes.select("v", "n", "sig"), "v").select("v", "root", "probe", "shingles", "n", "sig"))
+    found = c.materialize(rows.mapInArrow(_prefixes(percent, shared), "token long, step int, v binary, root binary, n long, sig array<long>, probe boolean"), "prefixes")
+    index = found.where(~F.col("probe")).select("token", "step", *[F.col(x).alias(f"w_{x}") for x in ("v", "root", "n", "sig")])
+    return (found.where("probe").join(index, ["token", "step"]).where((F.col("root") != F.col("w_root")) & _possible("n", "w_n", "sig", "w_sig", percent))
+            .select(F.least("v", "w_v").alias("a"), F.greatest("v", "w_v").alias("b")).distinct())
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, pivots: int = PIVOTS) -> DataFrame:
@@ -266,7 +275,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     roots = components(links)
     rest = c.materialize(_unsettled(members.where(F.col("size") > pivots + 1), roots), "rest")
     sets = _sets(texts, classes, rest.select("v"), shingle)
-    more = c.materialize(_candidates(_prefix_pairs(rest, sets, percent), classes, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+    more = c.materialize(_prefix_pairs(rest, classes, sets, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
     late = c.materialize(_confirm(more, sets, percent), "links")
     if not late.isEmpty():
         roots = components(roots.select(F.col("v").alias("a"), F.col("root").alias("b")).union(late))
