@@ -150,7 +150,7 @@ def clean_description(c: Column, native: bool = False) -> Column:
 
 
 def user_agent_label(c: Column) -> Column:
-    s = F.substring(c, 1, 200)
+    s = c
     chrome = F.regexp_extract(s, r"Chrome/(\d+)", 1)
     safari = F.regexp_extract(s, r"Version/(\d+).*Safari", 1)
     firefox = F.regexp_extract(s, r"Firefox/(\d+)", 1)
@@ -187,4 +187,4 @@ def error_label(c: Column) -> Column:
     for terms, label in rules:
         cond = contains_any(s, terms)
         expr = F.when(cond, label) if expr is None else expr.when(cond, label)
-    return expr.otherwise(F.coalesce(F.nullif(F.substring(F.trim(c), 1, 140), F.lit("")), F.lit("unknown-fetch-error")))
+    return expr.otherwise(F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("unknown-fetch-error")))

@@ -50,7 +50,6 @@ CATEGORIES = [Category(n, p, _NEGATIVE.get(n, [])) for n, p in _POSITIVE.items()
 # Weight of each evidence source.
 SOURCE_WEIGHTS = {"breadcrumb": 3.0, "title": 2.0, "url_path": 1.5, "enrichment_product_type": 2.5, "facet": 1.0,
                   "description": 0.5}
-DESCRIPTION_CHARS = 500
 
 
 def _lexicon(categories: list[Category]) -> Column:
@@ -79,7 +78,7 @@ def _hits(text: Column, source: str, lexicon: Column, strict: bool, categories:
 
 
 def build_evidence(items: DataFrame, categories: list[Category] | None = None,
-                   description_chars: int | None = DESCRIPTION_CHARS) -> DataFrame:
+                   description_chars: int | None = None) -> DataFrame:
     """Add `evidence`: (source, weight, category, tokens) for every source that hits.
 
     Reads the columns title, breadcrumb_text, url_path, product_type, facet_texts

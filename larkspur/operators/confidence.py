@@ -149,12 +149,13 @@ def score_summary(scores: DataFrame) -> DataFrame:
 
 def query_scores(scores: DataFrame, time_window: str = "30d", item_ids: list[int] | None = None,
                  band: str | None = None, limit: int = 50) -> DataFrame:
-    """Best scores of one window; the limit is at most 100 and applies before the band filter."""
+    """Best scores of one window, of one band if it is given."""
     out = scores.where(F.col("time_window") == time_window)
     if item_ids:
         out = out.where(F.col("item_id").isin(item_ids))
-    out = out.orderBy(F.desc("score"), "item_id").limit(min(limit, 100))
-    return out.where(F.col("band") == band) if band else out
+    if band:
+        out = out.where(F.col("band") == band)
+    return out.orderBy(F.desc("score"), "item_id").limit(limit)
 
 
 def product_scores(scores: DataFrame, item_id: int) -> DataFrame:

@@ -19,11 +19,12 @@ from larkspur.functions.staging import pin
 from larkspur.operators.quality import completeness
 
 SCRIPT = r"(?is)<script[^>]*>(.*?)</script>"
+STATE_SCRIPT = r"(?is)<script(?![^>]*ld\+json)[^>]*>(.*?)</script>"
 LD_JSON = r"(?is)<script[^>]*ld\+json[^>]*>(.*?)</script>"
 NEXT_DATA = r'(?is)<script[^>]*id="__NEXT_DATA__"[^>]*>\s*(\{.*?\})\s*</script>'
 WINDOW_STATE = r"(?s)window\.(?:__INITIAL_STATE__|__NUXT__|__PRELOADED_STATE__)\s*=\s*(\{.+?\});\s*(?:</script>|$)"
 WINDOW_PARSE = r"(?s)window\.INITIAL_DATA\s*=\s*JSON\.parse\(\s*'(.+?)'\s*\)"
-MAX_EMBEDDED, WALK_DEPTH, ARRAY_DEPTH = 8, 8, 6
+WALK_DEPTH, ARRAY_DEPTH = 8, 6
 
 
 def _all(html: Column, pattern: str, group: int = 1) -> Column:
@@ -98,15 +99,16 @@ def parse_all(texts: Column) -> Column:
     return F.array_compact(F.transform(texts, lambda t: F.try_parse_json(t)))
 
 
-def with_blocks(pages: DataFrame) -> DataFrame:
-    """Add `ld` (parsed JSON-LD blocks) and `embedded` (at most eight parsed state objects)."""
+def with_blocks(pages: DataFrame, min_script_chars: int = 0, max_embedded: int | None = None) -> DataFrame:
+    """Add `ld` (parsed JSON-LD blocks) and `embedded` (parsed state objects, all of them by default)."""
     html = F.col("html")
     unescaped = F.transform(_all(html, WINDOW_PARSE), lambda t: F.replace(F.replace(F.replace(
         t, F.lit("\\'"), F.lit("'")), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\")))
-    large = F.filter(F.transform(_all(html, SCRIPT), F.trim), lambda t: (F.length(t) >= 2000) & F.rlike(t, F.lit(r"^[\{\[]"))
+    large = F.filter(F.transform(_all(html, STATE_SCRIPT), F.trim), lambda t: (F.length(t) >= min_script_chars) & F.rlike(t, F.lit(r"^[\{\[]"))
                      & F.rlike(F.lower(t), F.lit("price|product|images|sku|variant|name")))
     state = F.concat(_all(html, NEXT_DATA), unescaped, _all(html, WINDOW_STATE), large)
-    return pin(pages, ld=parse_all(_all(html, LD_JSON)), embedded=F.slice(parse_all(F.array_distinct(state)), 1, MAX_EMBEDDED))
+    parsed = parse_all(F.array_distinct(state))
+    return pin(pages, ld=parse_all(_all(html, LD_JSON)), embedded=parsed if max_embedded is None else F.slice(parsed, 1, max_embedded))
 
 
 def embedded_json(pages: DataFrame) -> DataFrame:
@@ -230,15 +232,15 @@ ARRAY_KEYS = [(3, ("name", "title", "displayname", "productname", "product_name"
 def state_products(pages: DataFrame) -> DataFrame:
     """One row per product of the best product array in the page state (listing pages).
 
-    Arrays need three or more elements, at least 70 % objects; the score looks
-    at the first ten elements, all elements of the winner are emitted.
+    Arrays need three or more elements, at least 70 % objects; the score counts
+    all elements, and all elements of the winner are emitted.
     """
     blocks = pages if "embedded" in pages.columns else with_blocks(pages)
     nodes = walk(blocks, "embedded", "_nodes", ARRAY_DEPTH)
     arrays = pin(nodes, _a=F.filter(F.array_compact(F.transform("_nodes", lambda n: F.try_variant_get(n, "$", "array<variant>"))),
                                     lambda a: (F.size(a) >= 3) & (F.size(F.filter(a, lambda x: keys_of(x).isNotNull())) >= F.size(a) * 0.7)))
     points = lambda x: sum((F.when(has_key(x, *names), p).otherwise(0) for p, names in ARRAY_KEYS), F.lit(0))
-    scored = pin(arrays, _s=F.transform("_a", lambda a: F.aggregate(F.slice(a, 1, 10), F.lit(0), lambda acc, x: acc + points(x))))
+    scored = pin(arrays, _s=F.transform("_a", lambda a: F.aggregate(a, F.lit(0), lambda acc, x: acc + points(x))))
     best = F.try_element_at("_a", F.array_position("_s", F.array_max("_s")).cast("int"))
     rows = scored.where(F.array_max("_s") > 0).select("page_id", "url", F.posexplode(best).alias("position", "v"))
     return pin(rows, p=embedded_fields(F.col("v"))).where(F.col("p.title").isNotNull()).select("page_id", "url", "position", "p.*")
@@ -284,9 +286,11 @@ def spec_pairs(pages: DataFrame) -> DataFrame:
         "page_id", F.posexplode("d.pairs").alias("position", "p")).select("page_id", "position", "p.key", "p.value")
 
 
-def facets(pairs: DataFrame) -> DataFrame:
-    """Facet map per page; the last value of a repeated key wins. Keys shorter than 50, values shorter than 200."""
-    kept = pairs.where((F.length("key") < 50) & (F.length("value") < 200))
+def facets(pairs: DataFrame, key_chars: int | None = None, value_chars: int | None = None) -> DataFrame:
+    """Facet map per page; the last value of a repeated key wins. Limits leave out longer keys and values."""
+    kept = pairs
+    for column, limit in (("key", key_chars), ("value", value_chars)):
+        kept = kept if limit is None else kept.where(F.length(column) < limit)
     last = kept.groupBy("page_id", "key").agg(F.max_by("value", "position").alias("value"))
     return last.groupBy("page_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("facets"))
 
@@ -317,7 +321,7 @@ def rich_specs(pairs: DataFrame) -> DataFrame:
         if field.endswith("_cm"):
             value = P.dim_cm(F.col("value"))
         else:
-            value = usable.get(field, F.substring("value", 1, 100))
+            value = usable.get(field, F.col("value"))
         aggs.append(F.min_by(value, F.when(hit & value.isNotNull(), F.col("position"))).alias(field))
     return pairs.groupBy("page_id").agg(*aggs)
 

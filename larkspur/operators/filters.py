@@ -120,7 +120,7 @@ def onboarding_filter(candidates: DataFrame, profiles: DataFrame, swipes: DataFr
         (F.col("stage") == "soft") | (seats & modular & small & ((F.col("stage") != "hard") | budget)))
 
 
-def description_matches(title: Column, description: Column, head: int | None = 300) -> Column:
+def description_matches(title: Column, description: Column, head: int | None = None) -> Column:
     """Some title word of more than three letters occurs in the description; untestable rows pass.
 
     `head` limits the test to the first characters; None reads the whole text.

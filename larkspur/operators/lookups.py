@@ -93,11 +93,12 @@ def stale_items(items: DataFrame, seen_urls: DataFrame) -> DataFrame:
         "deactivated_reason", F.lit("missing_in_latest_crawl"))
 
 
-def comments_with_users(comments: DataFrame, users: DataFrame, room_id=None, limit: int = 100) -> DataFrame:
+def comments_with_users(comments: DataFrame, users: DataFrame, room_id=None, limit: int | None = None) -> DataFrame:
     """Comments with author names; unknown authors are Anonymous. One room's list is newest first."""
     rows = comments
     if room_id is not None:
-        rows = rows.where(F.col("room_id") == room_id).orderBy(F.desc("ts"), "comment_id").limit(limit)
+        rows = rows.where(F.col("room_id") == room_id).orderBy(F.desc("ts"), "comment_id")
+        rows = rows if limit is None else rows.limit(limit)
     return rows.join(users, "user_id", "left").withColumn(
         "display_name", F.coalesce("display_name", F.lit("Anonymous")))
 

@@ -79,7 +79,7 @@ def normalize_feed(mapped: DataFrame, source_id: Column, native_entities: bool =
     number = lambda name: F.col(name).try_cast("double")
     w, h, d = number("width"), number("height"), number("depth")
     url = F.trim("url")
-    title = F.substring(F.coalesce(T.clean_title(F.col("title"), native_entities), F.lit("Untitled")), 1, 500)
+    title = F.coalesce(T.clean_title(F.col("title"), native_entities), F.lit("Untitled"))
     image = F.trim("image_url")
     staged = mapped.withColumns({
         "_price": P.price_amount(F.col("price")), "_url": url, "_title": title, "_canonical": U.canonical_url(url)})
@@ -97,7 +97,7 @@ def normalize_feed(mapped: DataFrame, source_id: Column, native_entities: bool =
         F.coalesce(T.canon(F.col("material"), L.MATERIALS, "mixed"), F.lit("mixed")).alias("material"),
         F.coalesce(T.canon(F.col("color"), L.COLORS, "multi"), F.lit("multi")).alias("color_family"),
         new_used(F.col("new_used")).alias("new_used"),
-        F.when(image != "", F.array(F.struct(image.alias("url"), F.substring(F.col("_title"), 1, 200).alias("alt"))))
+        F.when(image != "", F.array(F.struct(image.alias("url"), F.col("_title").alias("alt"))))
         .otherwise(F.array().cast("array<struct<url:string,alt:string>>")).alias("images"),
         F.array().cast("array<string>").alias("style_tags"), F.array().cast("array<string>").alias("eco_tags"),
         F.lit("medium").alias("delivery_complexity"), F.lit("in_stock").alias("availability"),
@@ -115,13 +115,13 @@ def _blob(df: DataFrame, *names: str) -> Column:
     return T.text_blob(*[F.col(n) for n in names if n in df.columns])
 
 
-def derive_tags(items: DataFrame) -> DataFrame:
-    """style_tags (at most 8) and eco_tags (at most 6) with keyword tags added."""
+def derive_tags(items: DataFrame, style_cap: int = 8, eco_cap: int = 6) -> DataFrame:
+    """style_tags and eco_tags, at most so many, with keyword tags added."""
     style = T.tags_of(_blob(items, "title", "description", "product_type", "breadcrumb_text", "facet_text"), L.STYLES)
     eco = T.tags_of(_blob(items, "title", "description", "material", "cover_material", "frame_material"), L.ECO)
     return items.withColumns({
-        "style_tags": merged_tags(col_or_null(items, "style_tags", "array<string>"), style, 8),
-        "eco_tags": merged_tags(col_or_null(items, "eco_tags", "array<string>"), eco, 6),
+        "style_tags": merged_tags(col_or_null(items, "style_tags", "array<string>"), style, style_cap),
+        "eco_tags": merged_tags(col_or_null(items, "eco_tags", "array<string>"), eco, eco_cap),
     })
 
 

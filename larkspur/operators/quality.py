@@ -169,7 +169,7 @@ def image_health(items: DataFrame, samples: int = 3) -> DataFrame:
         F.count("*").alias("total_items"), count("valid").alias("valid_image"), count("none").alias("no_image"),
         count("broken").alias("likely_broken"))
     w = Window.partitionBy("source_id").orderBy("item_id")
-    picks = (tagged.where("_status = 'broken'").select("source_id", "item_id", F.substring("title", 1, 50).alias("title"))
+    picks = (tagged.where("_status = 'broken'").select("source_id", "item_id", "title")
              .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= samples)
              .groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("_rn", "title"))).alias("_s")))
     return stats.join(picks, "source_id", "left").select(

@@ -10,7 +10,6 @@ from larkspur.functions.numbers import js_round
 from larkspur.functions.staging import by_key, pin
 from larkspur.functions.text import norm_token, norm_tokens
 from larkspur.functions.url import path, path_key
-from larkspur.operators.scoring import MAX_PROFILES, level_counts, load_profiles, top_profiles
 from larkspur.operators.preferences import PRICE_BOUNDS, feature_keys, item_profiles, prefixed
 
 
@@ -18,18 +17,20 @@ def profile_scores(weights: DataFrame, profiled: DataFrame, normalize: bool = Tr
     """Score of each (session, feature profile) that share a non-zero key.
 
     Items with equal features have equal scores, so weights meet distinct
-    profiles rather than items. Weights are laid out by session first: when the
-    profile keys are small enough to broadcast, the sums and the ranking that
+    profiles rather than items; a profile is known by its first item, which also
+    breaks ties. Weights are laid out by session first: when the profile keys
+    are small enough for the planner to broadcast, the sums and the ranking that
     follow need no further shuffle; when they are not, the join shuffles on the
-    key and skew splitting applies. Sums are exact decimals.
+    key and skew splitting applies. Weights travel as integer hundredths, so
+    sums are exact and their order does not matter.
     """
-    keys = profiled.select("profile_id", "keys").dropDuplicates(["profile_id"]).select(
-        "profile_id", F.explode("keys").alias("key"))
-    live = weights.where(F.col("weight") != 0).repartition("session_id")
-    sums = live.join(keys, "key").groupBy("session_id", "profile_id").agg(
-        F.sum("weight").cast("double").alias("total"), F.count("*").alias("signals"))
-    score = F.col("total") / F.sqrt(F.col("signals").cast("double")) if normalize else F.col("total")
-    return sums.select("session_id", "profile_id", score.alias("score"), "signals")
+    profiles = profiled.groupBy("profile_id").agg(F.min("item_id").alias("first_item"), F.first("keys").alias("keys"))
+    keys = profiles.select("profile_id", "first_item", F.explode("keys").alias("key"))
+    live = weights.where(F.col("weight") != 0).select("session_id", "key", (F.col("weight") * 100).cast("bigint").alias("cents")).repartition("session_id")
+    sums = live.join(keys, "key").groupBy("session_id", "first_item", "profile_id").agg(F.sum("cents").alias("cents"), F.count("*").alias("signals"))
+    total = F.col("cents").cast("double") / 100.0
+    score = total / F.sqrt(F.col("signals").cast("double")) if normalize else total
+    return sums.select("session_id", "profile_id", "first_item", score.alias("score"), "signals")
 
 
 def top_members(profiled: DataFrame, k: int) -> DataFrame:
@@ -39,29 +40,21 @@ def top_members(profiled: DataFrame, k: int) -> DataFrame:
 
 
 def preference_topk(weights: DataFrame, items: DataFrame, k: int, bounds=PRICE_BOUNDS, families: set[str] | None = None,
-                    normalize: bool = True, positive_only: bool = False, max_profiles: int = MAX_PROFILES) -> DataFrame:
+                    normalize: bool = True, positive_only: bool = False) -> DataFrame:
     """Best k items per session by preference score, ties by item id; exact over the whole catalog.
 
-    Sessions are scored in blocks against the distinct profiles while these are
-    few enough to broadcast (their number is checked), else by a keyed join.
-
-    Each session keeps its best k profiles, every kept profile offers its first
+    One plan at every size: weights meet the keys of distinct profiles, sums are
+    combined, and each session keeps its best k profiles, every kept profile offers its first
     k items, and the final cut is taken among those. Items that share no
     weighted key with the session are not listed.
     """
     profiled = item_profiles(items, bounds, families)
     members = top_members(profiled, k)
-    table = load_profiles(profiled, max_profiles)
-    if table is not None:
-        kept = top_profiles(weights, table, k, normalize, positive_only)
-    else:
-        first_item = profiled.groupBy("profile_id").agg(F.min("item_id").alias("first_item"))
-        scored = profile_scores(weights, profiled, normalize)
-        if positive_only:
-            scored = scored.where(F.col("score") > 0)
-        by_profile = Window.partitionBy("session_id").orderBy(F.desc("score"), "first_item")
-        kept = scored.join(first_item, "profile_id").withColumn("_r", F.row_number().over(by_profile)).where(
-            F.col("_r") <= k).drop("_r", "first_item")
+    scored = profile_scores(weights, profiled, normalize)
+    if positive_only:
+        scored = scored.where(F.col("score") > 0)
+    by_profile = Window.partitionBy("session_id").orderBy(F.desc("score"), "first_item")
+    kept = scored.withColumn("_r", F.row_number().over(by_profile)).where(F.col("_r") <= k).drop("_r", "first_item")
     by_item = Window.partitionBy("session_id").orderBy(F.desc("score"), "item_id")
     return (kept.join(members, "profile_id").withColumn("rank", F.row_number().over(by_item))
             .where(F.col("rank") <= k).select("session_id", "item_id", "score", "signals", "rank"))
@@ -101,7 +94,7 @@ def overlap_points(key: Column) -> Column:
     return F.when(starts(OVERLAP_TWO) | ~F.contains(key, F.lit(":")), 2).when(starts(OVERLAP_ONE), 1).otherwise(0)
 
 
-def overlap_histogram(preferred: DataFrame, items: DataFrame, bounds=PRICE_BOUNDS, max_profiles: int = MAX_PROFILES) -> DataFrame:
+def overlap_histogram(preferred: DataFrame, items: DataFrame, bounds=PRICE_BOUNDS) -> DataFrame:
     """Per session: number of items at each overlap level above zero.
 
     Profiles carry their item count, so the catalog is never multiplied by the
@@ -109,9 +102,6 @@ def overlap_histogram(preferred: DataFrame, items: DataFrame, bounds=PRICE_BOUND
     """
     profiled = item_profiles(items, bounds)
     keyed = preferred.select("session_id", "key").withColumn("points", overlap_points(F.col("key")))
-    table = load_profiles(profiled, max_profiles)
-    if table is not None:
-        return level_counts(keyed, table)
     sizes = profiled.groupBy("profile_id").agg(F.first("keys").alias("keys"), F.count("*").alias("items"))
     hits = keyed.where(F.col("points") > 0).repartition("session_id").join(
         sizes.select("profile_id", "items", F.explode("keys").alias("key")), "key")
@@ -165,10 +155,11 @@ def interleave(lists: DataFrame, n: int, part: str | None = None) -> DataFrame:
 
 
 def recent_pool(promoted: DataFrame, catalog: DataFrame, n: int, order: list[Column], bounds=PRICE_BOUNDS) -> DataFrame:
-    """The two recency lists interleaved and cut to n: the retrieval pool shared by all sessions.
+    """The two recency lists, whole up to their fetch limit n, and the retrieval pool: both interleaved and cut to n.
 
-    Both lists are cut to n by top-k selection before they are ranked, so the
-    unpartitioned ranks below run over at most 2n rows.
+    A row per item with its rank in each list (null where it is not listed) and its position in the pool (null beyond
+    the cut). Both lists are cut to n by top-k selection before they are ranked, so the unpartitioned ranks below run
+    over at most 2n rows.
     """
     def head(df, index):
         top = df.orderBy(*order).limit(n)
@@ -176,9 +167,11 @@ def recent_pool(promoted: DataFrame, catalog: DataFrame, n: int, order: list[Col
         return top.select("item_id", feature_keys(df, bounds).alias("keys"), F.lit(index).alias("list_index"),
                           F.row_number().over(w).alias("rank"))
     both = head(promoted, 0).unionByName(head(catalog, 1))
-    once = both.groupBy("item_id").agg(F.min_by(F.struct("keys", "list_index", "rank"), F.struct("rank", "list_index")).alias("b"))
-    return once.select("item_id", "b.*").orderBy("rank", "list_index").limit(n).withColumn(
-        "position", F.row_number().over(Window.orderBy("rank", "list_index")))
+    in_list = lambda i: F.min(F.when(F.col("list_index") == i, F.col("rank")))
+    once = both.groupBy("item_id").agg(F.first("keys").alias("keys"), in_list(0).alias("promoted_rank"), in_list(1).alias("catalog_rank"),
+                                       F.min(F.struct("rank", "list_index")).alias("place"))
+    position = F.row_number().over(Window.orderBy("place"))
+    return once.withColumn("position", position).select("item_id", "keys", "promoted_rank", "catalog_rank", F.when(F.col("position") <= n, F.col("position")).alias("position"))
 
 
 def retrieval_queues(sessions: DataFrame, pool: DataFrame, persona: DataFrame | None = None, salt: str = "") -> DataFrame:
@@ -189,25 +182,26 @@ def retrieval_queues(sessions: DataFrame, pool: DataFrame, persona: DataFrame |
     session builds its queues inside its own row: no join, no shuffle.
     persona: (session_id, item_id, rank).
     """
-    size = pool.agg(F.count("*")).scalar()
-    listed = pool.agg(F.array_sort(F.collect_list(F.struct("position", "item_id", "list_index", "keys")))).scalar()
+    size = pool.agg(F.count("position")).scalar()
+    listed = pool.agg(F.array_sort(F.collect_list(F.struct("item_id", "position", "promoted_rank", "catalog_rank", "keys")))).scalar()
     cuts = by_key(sessions, "session_id").select("session_id", "preferred", listed.alias("pool"), size.alias("n"))
     scored = cuts.select("session_id", "n", F.transform("pool", lambda p: F.struct(
-        p["position"].alias("position"), p["item_id"].alias("item_id"), p["list_index"].alias("list_index"),
+        p["position"].alias("position"), p["item_id"].alias("item_id"), p["promoted_rank"].alias("promoted_rank"), p["catalog_rank"].alias("catalog_rank"),
         F.aggregate(F.filter(p["keys"], lambda k: F.array_contains("preferred", k)), F.lit(0),
                     lambda acc, k: acc + overlap_points(k)).alias("overlap"))).alias("pool"))
     pick = lambda cond, key: F.transform(F.array_sort(F.transform(
         F.filter("pool", cond), lambda p: F.struct(key(p).alias("k"), p["position"].alias("position"), p["item_id"].alias("item_id")))),
         lambda s: s["item_id"])
     zero = lambda p: F.lit(0)
+    pooled = lambda p: p["position"].isNotNull()
     seed = lambda p: F.abs(string_hash32(F.concat(F.lit(salt), F.col("session_id").cast("string"), F.lit(":"), p["item_id"].cast("string"))))
     start = F.floor(F.col("n") * LONG_TAIL_START)
     queues = {
-        "preference_match": pick(lambda p: p["overlap"] > 0, lambda p: -p["overlap"]),
-        "fresh_promoted": pick(lambda p: p["list_index"] == 0, zero),
-        "fresh_catalog": pick(lambda p: p["list_index"] == 1, zero),
+        "preference_match": pick(lambda p: pooled(p) & (p["overlap"] > 0), lambda p: -p["overlap"]),
+        "fresh_promoted": pick(lambda p: p["promoted_rank"].isNotNull(), lambda p: p["promoted_rank"]),
+        "fresh_catalog": pick(lambda p: p["catalog_rank"].isNotNull(), lambda p: p["catalog_rank"]),
         "long_tail": pick(lambda p: p["position"] > start, zero),
-        "serendipity": pick(lambda p: p["overlap"] == 0, seed),
+        "serendipity": pick(lambda p: pooled(p) & (p["overlap"] == 0), seed),
     }
     lists = scored.select("session_id", F.inline(F.array(*[
         F.struct(F.lit(q).alias("queue"), arr.alias("ids")) for q, arr in queues.items()])))

@@ -69,12 +69,12 @@ def calibrate(labels: DataFrame, default_accept: float = 0.60, default_reject: f
 STOPWORDS = "och med for utan the and som att this that from till hos www se".split()
 
 
-def training_tokens(pieces: Column, cap: int = 40) -> Column:
-    """Distinct tokens of 3 to 24 letters over the text pieces, stop-words removed, first `cap` kept."""
+def training_tokens(pieces: Column, cap: int | None = None) -> Column:
+    """Distinct tokens of 3 to 24 letters over the text pieces, stop-words removed; with `cap` only the first."""
     words = F.flatten(F.transform(pieces, lambda p: F.split(
         F.trim(F.regexp_replace(F.lower(F.coalesce(p, F.lit(""))), "[^a-z0-9åäö]+", " ")), " ")))
     kept = F.filter(words, lambda w: (F.length(w) >= 3) & (F.length(w) <= 24) & ~w.isin(*STOPWORDS))
-    return F.slice(F.array_distinct(kept), 1, cap)
+    return F.array_distinct(kept) if cap is None else F.slice(F.array_distinct(kept), 1, cap)
 
 
 TRAIN_BUCKETS = 8

@@ -13,7 +13,7 @@ from larkspur.plans.q_joins import as_of
 from larkspur.plans.q_preferences import WEIGHTS, weights
 from larkspur.plans.q_quality import r4, sql_r4
 from larkspur.plans.registry import query
-from larkspur.session import work_dir
+from larkspur.session import unique_dir
 from larkspur.sources import sinks
 
 TODAY = "DATE '1999-06-15'"
@@ -177,7 +177,7 @@ def rpt_campaign(t):
       {_R2('CASE WHEN sp > 0 THEN CAST(oc AS DOUBLE) / CAST(sp AS DOUBLE) ELSE 0 END * 10000.0::DOUBLE')} AS cp_score FROM u""", _CV)
 def rpt_campaign_csv(t):
     """Report lines written as CSV and read back."""
-    path = work_dir(t.spark, "campaign_csv")
+    path = unique_dir(t.spark, "campaign_csv")
     rows = C.report_rows(totals(t))
     sinks.write_csv_report(rows, path)
     return t.spark.read.option("header", True).schema(rows.schema).csv(path)

@@ -228,7 +228,7 @@ def cls_split(t):
 
 
 _STOP = ", ".join(f"'{w}'" for w in R.STOPWORDS)
-_TOK = f"""(SELECT list_filter(l, lambda x, i: list_position(l, x) = i)[1:40] FROM (SELECT list_filter(string_split(trim(regexp_replace(lower(title), '[^a-z0-9åäö]+', ' ', 'g')), ' '),
+_TOK = f"""(SELECT list_filter(l, lambda x, i: list_position(l, x) = i) FROM (SELECT list_filter(string_split(trim(regexp_replace(lower(title), '[^a-z0-9åäö]+', ' ', 'g')), ' '),
     lambda w: length(w) BETWEEN 3 AND 24 AND w NOT IN ({_STOP})) AS l))"""
 
 

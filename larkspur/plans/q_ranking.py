@@ -69,7 +69,7 @@ def rnk_overlap(t):
     return R.overlap_histogram(P.top_keys(weights(t)), t.items_b, BOUNDS)
 
 
-POOL_N, CAP = 60, 40
+POOL_N, CAP = 360, 240  # as in the deck job
 _POOL = f"""lst AS (SELECT item_id, 0 AS li, row_number() OVER (ORDER BY updated_day DESC, item_id DESC) AS rk FROM items_b WHERE is_active AND item_id % 3 = 0
       UNION ALL SELECT item_id, 1, row_number() OVER (ORDER BY updated_day DESC, item_id DESC) FROM items_b WHERE is_active),
     one AS (SELECT item_id, arg_min(li, rk * 2 + li) AS li, min(rk * 2 + li) AS o FROM lst WHERE rk <= {POOL_N} GROUP BY item_id),
@@ -86,8 +86,8 @@ _QUEUES = f"""{WEIGHTS}, {TOP14}, {_POOL}, {PERSONA}, ses AS (SELECT DISTINCT se
       WHEN regexp_matches(f.key, '^(size|brand|price_bucket):') THEN 1 ELSE 0 END) FILTER (WHERE t.key IS NOT NULL), 0) AS overlap
       FROM ses s CROSS JOIN pool p JOIN feat f USING (item_id) LEFT JOIN t14 t ON t.session_id = s.session_id AND t.key = f.key GROUP BY 1, 2, 3, 4),
     q AS (SELECT session_id, 'preference_match' AS queue, row_number() OVER (PARTITION BY session_id ORDER BY overlap DESC, pos) AS rank, item_id FROM ov WHERE overlap > 0
-      UNION ALL SELECT session_id, 'fresh_promoted', row_number() OVER (PARTITION BY session_id ORDER BY pos), item_id FROM ov WHERE li = 0
-      UNION ALL SELECT session_id, 'fresh_catalog', row_number() OVER (PARTITION BY session_id ORDER BY pos), item_id FROM ov WHERE li = 1
+      UNION ALL SELECT session_id, 'fresh_promoted', rk, item_id FROM ses CROSS JOIN lst WHERE li = 0 AND rk <= {POOL_N}
+      UNION ALL SELECT session_id, 'fresh_catalog', rk, item_id FROM ses CROSS JOIN lst WHERE li = 1 AND rk <= {POOL_N}
       UNION ALL SELECT session_id, 'long_tail', row_number() OVER (PARTITION BY session_id ORDER BY pos), item_id FROM ov WHERE pos > floor((SELECT count(*) FROM pool) * 0.35)
       UNION ALL SELECT session_id, 'serendipity', row_number() OVER (PARTITION BY session_id ORDER BY {sql_hash("session_id || ':' || item_id")}, pos), item_id FROM ov WHERE overlap = 0
       UNION ALL SELECT k.session_id, 'persona_similar', p.rank, p.item_id FROM picks k JOIN per p USING (pick_hash) WHERE k.session_id IN (SELECT session_id FROM ses))"""
@@ -110,14 +110,6 @@ def rnk_retrieval_queues(t):
     return queue_inputs(t)[1].withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def _targets_sql() -> str:
-    rows = []
-    for pref in (True, False):
-        for per in (True, False):
-            rows += [f"({str(pref).lower()}, {str(per).lower()}, '{q}', {n})" for q, n in R.queue_quota(CAP, pref, per).items()]
-    return f"tg(hp, hs, queue, quota) AS (VALUES {', '.join(rows)})"
-
-
 # Quotas written out: ratios .22 .18 .30 .20 .07 .03 (known) or .24 .33 .27 .28 .15 (new) over their sum, floor, remainder in queue order.
 _RATIO = """rt(queue, o, known, fresh) AS (VALUES ('preference_match', 0, 0.30::DOUBLE, 0.0::DOUBLE), ('persona_similar', 1, 0.20, 0.27), ('fresh_promoted', 2, 0.22, 0.24),
     ('fresh_catalog', 3, 0.18, 0.33), ('long_tail', 4, 0.07, 0.28), ('serendipity', 5, 0.03, 0.15)),
@@ -136,12 +128,14 @@ def rnk_queue_targets(t):
     return R.queue_targets(flags, 97).withColumn("quota", F.col("quota").cast("bigint"))
 
 
-@query("rnk_quota_merge", f"""WITH {_QUEUES}, {_targets_sql()},
+_QUOTAS = "fl AS (SELECT s.session_id, s.session_id IN (SELECT session_id FROM t14) AS hp, s.session_id IN (SELECT session_id FROM q WHERE queue = 'persona_similar') AS hs FROM ses s), " + _RATIO.format(cap=CAP)
+
+
+@query("rnk_quota_merge", f"""WITH {_QUEUES}, {_QUOTAS},
     od(queue, o, bo) AS (VALUES {', '.join(f"('{x}', {i}, {R.BACKFILL_ORDER.index(x)})" for i, x in enumerate(R.QUEUE_ORDER))}),
-    fl AS (SELECT s.session_id, s.session_id IN (SELECT session_id FROM t14) AS hp, s.session_id IN (SELECT session_id FROM q WHERE queue = 'persona_similar') AS hs FROM ses s),
     bst AS (SELECT session_id, item_id, arg_min(queue, rank * 10 + o) AS queue, min(rank) AS rank FROM q JOIN od USING (queue) GROUP BY 1, 2),
     qr AS (SELECT b.*, od.o, od.bo, row_number() OVER (PARTITION BY b.session_id, b.queue ORDER BY b.rank, b.item_id) AS qrank FROM bst b JOIN od USING (queue)),
-    z AS (SELECT r.*, r.qrank <= tg.quota AS in_quota FROM qr r JOIN fl USING (session_id) JOIN tg ON tg.hp = fl.hp AND tg.hs = fl.hs AND tg.queue = r.queue),
+    z AS (SELECT r.*, r.qrank <= tg.quota AS in_quota FROM qr r JOIN tgt tg ON tg.session_id = r.session_id AND tg.queue = r.queue),
     p AS (SELECT session_id, item_id, queue, in_quota, row_number() OVER (PARTITION BY session_id ORDER BY in_quota DESC, CASE WHEN in_quota THEN qrank ELSE bo END, CASE WHEN in_quota THEN o ELSE qrank END, item_id) AS position FROM z)
     SELECT * FROM p WHERE position <= {CAP}""", _QV)
 def rnk_quota_merge(t):

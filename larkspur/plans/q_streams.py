@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
 from larkspur.plans.q_preferences import BOUNDS, WEIGHTS
 from larkspur.plans.q_quality import _ERROR
 from larkspur.plans.registry import query
-from larkspur.session import work_dir
+from larkspur.session import unique_dir
 from larkspur.sources.bindings import SPARK, VIEWS
 from larkspur.streaming import jobs as S
 
@@ -24,7 +23,7 @@ def stream_view(t, view: str, raw: str):
 
 
 def drain(t, name: str, df, mode: str, sink=None) -> str:
-    base = work_dir(t.spark, f"{name}-{uuid.uuid4().hex[:8]}")
+    base = unique_dir(t.spark, name)
     S.start(df, f"{base}/checkpoint", sink(base) if sink else S.batch_folder(f"{base}/out"), mode).awaitTermination()
     return base
 

@@ -204,8 +204,8 @@ def top_recent_items(t):
 
 def _written(t, name: str, write) -> str:
     """Folder of a feed file derived from the item table for a source query."""
-    from larkspur.session import work_dir
-    path = work_dir(t.spark, name)
+    from larkspur.session import unique_dir
+    path = unique_dir(t.spark, name)
     write(path)
     return path
 

@@ -24,6 +24,7 @@ def get_spark(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> Spa
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.codegen.cache.maxEntries", "500")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))  # one machine: any folder is shared
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -31,15 +32,30 @@ def get_spark(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> Spa
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """Folder for intermediate tables, under the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/larkspur-{spark.sparkContext.applicationId}/{name}"
+    """Folder for intermediate tables, under the shared checkpoint folder; it goes when the application ends."""
+    root = f"{checkpoint_dir(spark)}/larkspur-{spark.sparkContext.applicationId}"
+    if not hasattr(spark, "_larkspur_root"):
+        jvm = spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        spark._larkspur_root = root
+    return f"{root}/{name}"
+
+
+def unique_dir(spark: SparkSession, name: str) -> str:
+    """A folder of its own for one run under `work_dir`."""
+    return f"{work_dir(spark, name)}-{uuid.uuid4().hex[:8]}"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster; a private one only where none is set."""
+    """Shared checkpoint folder named by the session. Only a local session may go without."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not hasattr(spark, "_larkspur_ckpt"):
         spark._larkspur_ckpt = tempfile.mkdtemp(prefix="spark-")
     return spark._larkspur_ckpt
@@ -51,7 +67,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     It cuts lineage without depending on any executor: a lost task re-reads the
     files instead of recomputing the whole chain.
     """
-    path = f"{work_dir(df.sparkSession, name)}-{uuid.uuid4().hex[:8]}"
+    path = unique_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -75,13 +75,10 @@ def active_items(items: DataFrame) -> DataFrame:
     return items.where(F.col("is_active"))
 
 
-MAX_LOOKUP_IDS = 20
-
-
-def items_by_ids(items: DataFrame, ids: list) -> DataFrame:
-    """Lookup of at most 20 ids; the list becomes a pushed-down IN filter."""
-    if len(ids) > MAX_LOOKUP_IDS:
-        raise ValueError(f"at most {MAX_LOOKUP_IDS} ids per lookup")
+def items_by_ids(items: DataFrame, ids: list | DataFrame) -> DataFrame:
+    """Lookup by ids: a list becomes a pushed-down IN filter, a table with `item_id` a semi join."""
+    if isinstance(ids, DataFrame):
+        return items.join(ids.select("item_id"), "item_id", "left_semi")
     return items.where(F.col("item_id").isin(ids))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.session import materialize
+
 
 def _storable(df: DataFrame, c: str) -> Column:
     """NaN and infinities are stored as null."""
@@ -29,20 +31,43 @@ def upsert(target: DataFrame, updates: DataFrame, key: str, now: Column, timesta
         F.coalesce(F.col(f"u.{c}"), F.col(f"t.{c}")).alias(c) if c in present else F.col(f"t.{c}") for c in cols])
 
 
-def merge_events(events: DataFrame, key: str = "event_id", arrival: str = "arrival") -> DataFrame:
+def merge_events(events: DataFrame, key: str = "event_id", arrival: str = "arrival", keep_arrival: bool = False) -> DataFrame:
     """One row per event id; for every field the latest non-null value wins."""
     fields = [c for c in events.columns if c not in (key, arrival)]
+    last = [F.max(arrival).alias(arrival)] if keep_arrival else []
     return events.groupBy(key).agg(*[
-        F.max_by(c, F.when(F.col(c).isNotNull(), F.col(arrival))).alias(c) for c in fields])
+        F.max_by(c, F.when(F.col(c).isNotNull(), F.col(arrival))).alias(c) for c in fields], *last)
 
 
-def write_events(events: DataFrame, path: str, ts: str = "ts") -> None:
-    """Event table partitioned by day; rebalancing splits a heavy day over several files."""
-    dated = events.withColumn("dt", F.to_date(ts))
-    (dated.hint("rebalance", "dt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+def _stored_days(df: DataFrame, path: str) -> DataFrame | None:
+    """Rows of a dated table for the days that df touches; None where the table does not exist yet."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    # an equi join on the partition column prunes the days at run time
+    return spark.read.schema(df.schema).parquet(path).join(df.select("dt").distinct(), "dt", "left_semi").select(*df.columns)
+
+
+def _replace_days(df: DataFrame, path: str) -> None:
+    """Writes the merged days back. They are staged first, as a job cannot overwrite what it reads."""
+    staged = materialize(df, "days")
+    (staged.hint("rebalance", "dt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("dt").parquet(path))
 
 
+def write_events(events: DataFrame, path: str, key: str = "event_id", arrival: str = "arrival", ts: str = "ts") -> None:
+    """Keyed merge into an event table partitioned by day; only touched days are read and written.
+
+    An event id keeps its day (`ts` is the client's and does not change when an event is sent again). `arrival` stays
+    in the table, so later batches can be compared. Rebalancing splits a heavy day over several files.
+    """
+    dated = events.withColumn("dt", F.to_date(ts))
+    stored = _stored_days(dated, path)
+    both = dated if stored is None else stored.unionByName(dated)
+    _replace_days(merge_events(both, key, arrival, keep_arrival=True), path)
+
+
 def snapshot_hash(columns: list[str]) -> Column:
     """SHA-256 of the JSON of the named columns in sorted key order."""
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
@@ -61,9 +86,9 @@ def upsert_metrics(current: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
-    """Replaces only the days present in df."""
-    (df.repartition("dt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("dt").parquet(path))
+    """Keyed merge by (source_id, dt) into a table partitioned by day; only touched days are read and written."""
+    stored = _stored_days(df, path)
+    _replace_days(df if stored is None else upsert_metrics(stored, df).select(*df.columns), path)
 
 
 def write_csv_report(report: DataFrame, path: str) -> None:

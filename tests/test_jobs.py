@@ -100,7 +100,18 @@ def test_metrics_table_replaces_only_its_days(spark, tmp_path):
     a = spark.createDataFrame([("s", "2024-01-01", 1.0), ("s", "2024-01-02", 2.0)], "source_id string, dt string, v double")
     sinks.write_metrics(a, path)
     sinks.write_metrics(a.where("dt = '2024-01-02'").withColumn("v", F.lit(9.0)), path)
-    assert {str(r.dt): r.v for r in spark.read.parquet(path).collect()} == {"2024-01-01": 1.0, "2024-01-02": 9.0}
+    sinks.write_metrics(a.where("dt = '2024-01-02'").withColumns({"source_id": F.lit("t"), "v": F.lit(5.0)}), path)
+    assert {(r.source_id, str(r.dt)): r.v for r in spark.read.parquet(path).collect()} == {("s", "2024-01-01"): 1.0, ("s", "2024-01-02"): 9.0, ("t", "2024-01-02"): 5.0}
+
+
+def test_event_table_keeps_earlier_batches(spark, tmp_path):
+    path = str(tmp_path / "e")
+    def batch(*rows):
+        return spark.createDataFrame([(*r[:3], dt.datetime(2024, 1, r[3], 12), r[4]) for r in rows], "event_id string, name string, v double, ts timestamp, arrival long")
+    sinks.write_events(batch(("a", "x", 1.0, 1, 1), ("c", "z", 3.0, 2, 1)), path)
+    sinks.write_events(batch(("b", "y", None, 1, 2), ("a", None, 7.0, 1, 2)), path)
+    got = {r.event_id: (r["name"], r.v, str(r.dt)) for r in spark.read.parquet(path).collect()}
+    assert got == {"a": ("x", 7.0, "2024-01-01"), "b": ("y", None, "2024-01-01"), "c": ("z", 3.0, "2024-01-02")}
 
 
 def test_latest_batch_wins(spark, tmp_path):

@@ -40,21 +40,27 @@ def brute_topk(items, weights, k):
     return out
 
 
-@pytest.mark.parametrize("bound", [200_000, 0])
-def test_preference_topk_matches_brute_force(catalog, bound):
-    """Both plans: broadcast block scoring, and the keyed join beyond the size bound."""
+def test_preference_topk_matches_brute_force(catalog):
     items, weights, raw_items, raw_weights = catalog
     got = {}
-    for r in R.preference_topk(weights, items, 10, max_profiles=bound).orderBy("session_id", "rank").collect():
+    for r in R.preference_topk(weights, items, 10).orderBy("session_id", "rank").collect():
         got.setdefault(r.session_id, []).append(r.item_id)
     assert got == brute_topk(raw_items, raw_weights, 10)
 
 
-def test_overlap_plans_agree(catalog):
-    items, weights, _, _ = catalog
-    top = P.top_keys(weights)
-    rows = lambda b: sorted(map(tuple, R.overlap_histogram(top, items, max_profiles=b).collect()))
-    assert rows(200_000) == rows(0)
+def test_overlap_histogram_counts_items(catalog):
+    items, weights, raw_items, _ = catalog
+    preferred = [tuple(r) for r in P.top_keys(weights).select("session_id", "key").collect()]
+    want = Counter()
+    for s in {s for s, _ in preferred}:
+        own = {k for t, k in preferred if t == s}
+        for _, tags, mat, price in raw_items:
+            keys = set(tags) | ({f"material:{mat}"} if mat else set()) | {"price_bucket:" + ("budget" if price <= 3000 else "affordable" if price <= 8000 else "premium")}
+            points = sum(1 if k.startswith("price_bucket:") else 2 for k in keys & own)
+            if points:
+                want[s, points] += 1
+    got = {(r.session_id, r.overlap): r["items"] for r in R.overlap_histogram(P.top_keys(weights), items).collect()}
+    assert got == dict(want)
 
 
 def test_mmr_order():
