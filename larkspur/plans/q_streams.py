@@ -59,10 +59,13 @@ def str_quality(t):
     return S.latest(t.spark, f"{base}/out", ["as_of"])
 
 
-@query("str_runs")
+@query("str_runs", """SELECT source_id, run_id, seq, status, previous FROM (SELECT source_id, candidate_urls AS run_id, run_id AS seq, status,
+      lag(status) OVER (PARTITION BY source_id, candidate_urls ORDER BY started_at, run_id) AS previous FROM runs_b) WHERE status IS DISTINCT FROM previous""", "runs_b")
 def str_runs(t):
-    base = drain(t, "runs", S.stream_runs(stream_view(t, "runs_b", "orders")), "append")
-    return t.spark.read.parquet(f"{base}/out").select("source_id", "run_id", "status", "previous")
+    """Several status rows of each run: the runs of the table are dealt to run ids by a column with repeats."""
+    runs = stream_view(t, "runs_b", "orders").selectExpr("source_id", "candidate_urls AS run_id", "run_id AS seq", "started_at", "status")
+    base = drain(t, "runs", runs, "append", S.runs_sink)
+    return t.spark.read.parquet(f"{base}/out").select("source_id", "run_id", "seq", "status", "previous")
 
 
 @query("str_likes", "SELECT session_id, item_id, count(*) % 2 = 1 AS liked FROM swipes_b WHERE direction = 'right' GROUP BY ALL", "swipes_b")

@@ -7,13 +7,11 @@ server time; the watermark is a parameter and later rows go to the rejects.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from larkspur.operators.events import validate_events
@@ -92,25 +90,30 @@ def stream_likes(toggles: DataFrame) -> DataFrame:
     return toggles.groupBy("session_id", "item_id").agg((F.count("*") % 2 == 1).alias("liked"), F.max("ts").alias("changed_at"))
 
 
-RUN_OUTPUT = "source_id string, run_id bigint, status string, previous string"
+def runs_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """Status changes of each run, keyed by run id, in the order of (started_at, seq) within a batch.
 
+    A batch is compared with the last status of each run before it, which the batch before left in path/state; both
+    outputs of a batch are folders of its own, so a batch that runs again replaces them. A batch's rows are later than
+    the state; only the newest state folder is read.
+    """
+    keys = ["source_id", "run_id"]
 
-def emit_changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Status changes of one source in start order; only the last status is kept as state."""
-    last = state.get[0] if state.exists else None
-    for rows in frames:
-        out = []
-        for r in rows.sort_values(["started_at", "run_id"]).itertuples():
-            if r.status != last:
-                out.append((key[0], r.run_id, r.status, last))
-                last = r.status
-        if out:
-            yield pd.DataFrame(out, columns=["source_id", "run_id", "status", "previous"])
-    if last is not None:
-        state.update((last,))
-
+    def write(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(*keys, "status", F.struct(F.lit(1).alias("new"), "started_at", "seq").alias("place"))
+        if n:
+            before = spark.read.parquet(f"{path}/state/batch={n - 1}").select(
+                *keys, "status", F.struct(F.lit(0).alias("new"), F.col("started_at"), F.col("seq")).alias("place"))
+            rows = before.unionByName(rows)
+        rows = rows.persist()
+        try:
+            previous = F.lag("status").over(Window.partitionBy(*keys).orderBy("place"))
+            changes = rows.withColumn("previous", previous).where((F.col("place.new") == 1) & ~F.col("status").eqNullSafe(F.col("previous")))
+            changes.select(*keys, "place.started_at", "place.seq", "status", "previous").write.mode("overwrite").parquet(f"{path}/out/batch={n}")
+            last = rows.groupBy(*keys).agg(F.max_by(F.struct("status", "place.started_at", "place.seq"), "place").alias("l"))
+            last.select(*keys, "l.*").write.mode("overwrite").parquet(f"{path}/state/batch={n}")
+        finally:
+            rows.unpersist()
 
-def stream_runs(runs: DataFrame) -> DataFrame:
-    """Latest run state per source, emitted on change only."""
-    return runs.groupBy("source_id").applyInPandasWithState(
-        emit_changes, RUN_OUTPUT, "status string", "append", GroupStateTimeout.NoTimeout)
+    return write

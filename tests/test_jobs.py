@@ -13,7 +13,7 @@ from larkspur.operators import extract as X
 from larkspur.operators import lookups as J
 from larkspur.operators import review as R
 from larkspur.sources import sinks
-from larkspur.streaming.jobs import latest
+from larkspur.streaming.jobs import latest, runs_sink
 
 
 def test_classifier_default_lexicons(spark):
@@ -119,3 +119,16 @@ def test_latest_batch_wins(spark, tmp_path):
     for n, v in ((0, 1), (1, 5)):
         spark.createDataFrame([("k", v)], "key string, v int").write.parquet(f"{path}/batch={n}")
     assert [tuple(r) for r in latest(spark, path, ["key"]).collect()] == [("k", 5)]
+
+
+def test_run_changes_go_on_over_batches(spark, tmp_path):
+    write = runs_sink(str(tmp_path))
+    def batch(*rows):
+        return spark.createDataFrame(rows, "source_id string, run_id int, seq int, started_at int, status string")
+    write(batch(("s", 1, 3, 3, "done"), ("s", 1, 1, 1, "run"), ("s", 2, 2, 2, "run"), ("s", 1, 2, 2, "run")), 0)
+    write(batch(("s", 1, 4, 4, "done"), ("s", 2, 5, 5, "failed"), ("t", 1, 6, 6, "run")), 1)
+    write(batch(("s", 2, 7, 7, "run")), 2)
+    write(batch(("s", 2, 7, 7, "run")), 2)
+    got = {(r.source_id, r.run_id, r.seq, r.status, r.previous) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {("s", 1, 1, "run", None), ("s", 1, 3, "done", "run"), ("s", 2, 2, "run", None), ("s", 2, 5, "failed", "run"),
+                   ("t", 1, 6, "run", None), ("s", 2, 7, "run", "failed")}
