@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from larkspur.llm import common as c
 
 CAPACITY, END_ID = 4096, 2
-OPEN, WORDS = 2048, 600_000
+OPEN, HOT, WORDS = 2048, 20_000, 600_000
 VOCABULARY = "word_bpe_49k.json"
+MARK = "\u00a7"
 _WORDS: dict = {}
 
 
@@ -40,48 +41,95 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class _Words(dict):
-    """Words in use; one that is only in the older generation moves over when it is looked up."""
-
-    def __init__(self):
-        self.older: dict[bytes, bytes] = {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        self[word] = found = self.older[word]
-        return found
-
-
 class WordIds:
-    """Ids (little-endian unsigned 32-bit) of texts, by words. A worker keeps two generations of at most `limit` words."""
+    """Ids (little-endian unsigned 32-bit) of texts, by words. A worker keeps some common words and two generations of about `limit` words."""
 
     def __init__(self, path: str | None, limit: int = WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path or vocabulary_path()), limit
-        self.words = _WORDS.setdefault((path or "", limit), _Words())
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        # bytes split at ASCII white space and fold A-Z only; a special token is matched as it is written
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        words = self.words
-        if len(words) > self.limit:
-            words.older = dict(words)
-            words.clear()
-        older = words.older
-        fresh = {w for ws in split for w in ws if w not in words and w not in older}
+        self.tables: list[dict[bytes, bytes]] = _WORDS.setdefault((path or "", limit), [{}, {}, {}])  # common, younger, older
+        vocabulary = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a piece
+        self.closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _grouped(self, words: list[str], joint: str, ends) -> list[bytes]:
+        """Many words are encoded as one text and cut where `ends` says; if that does not fit, one by one."""
+        groups = [words[i:i + 500] for i in range(0, len(words), 500)]
+        out: list[bytes] = []
+        for group, e in zip(groups, self.tokenizer.encode_batch([joint.join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            starts, stops = ends(ids)
+            if len(stops) != len(group):
+                out += self._each(group)
+                continue
+            data = ids.tobytes()
+            out += [data[x:y] for x, y in zip((4 * starts).tolist(), (4 * stops).tolist())]
+        return out
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Words of letters are one piece each, so there are as many ends of pieces as words."""
+        def ends(ids):
+            stops = np.flatnonzero(self.closing[ids]) + 1
+            return np.concatenate(([0], stops[:-1])), stops
+
+        return self._grouped(words, " ", ends)
+
+    def _others(self, words: list[str]) -> list[bytes]:
+        """Other words are set apart by a mark of one id; a word that holds the mark makes the count differ."""
+        def ends(ids):
+            marks = np.flatnonzero(ids == self.mark)
+            return np.concatenate(([0], marks + 1)), np.append(marks, len(ids))
+
+        return self._grouped(words, f" {MARK} ", ends) if self.mark is not None else self._each(words)
+
+    def _learn(self, fresh: set[bytes], words: dict, older: dict) -> None:
         # a full stop or comma after a letter is always a piece of its own
         ends = [w for w in fresh if w[-1] in b".," and 97 <= w[-2:][0] <= 122]
         fresh.difference_update(ends)
-        fresh.update(w for e in ends for w in (e[:-1], e[-1:]) if w not in words and w not in older)
-        todo = list(fresh)
-        for i in range(0, len(todo), 10_000):
-            part = todo[i:i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                words[w] = np.array(e.ids, "<u4").tobytes()
+        fresh.update(w for e in ends for w in (e[:-1], e[-1:]) if w not in words)
+        letters, others = [], []
+        for w in fresh:
+            text = w.decode("utf-8", "replace")
+            (letters if text.isalpha() else others).append((w, text))
+        for kind, encode in ((letters, self._letters), (others, self._others)):
+            words.update(zip((w for w, _ in kind), encode([text for _, text in kind])))
         for w in ends:
             words[w] = words[w[:-1]] + words[w[-1:]]
-        return [b"".join(map(words.__getitem__, ws)) for ws in split]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.tables[1]) > self.limit:
+            self.tables[1:] = {}, self.tables[1]
+        hot, words, older = self.tables
+        fresh: set[bytes] = set()
+        rows = []
+        for text in texts:
+            # bytes split at ASCII white space and fold A-Z only; a special token is matched as it is written
+            split = (text if b"<|" in text else text.lower()).split()
+            row = list(map(hot.get, split))
+            rare = [w for w, ids in zip(split, row) if ids is None]
+            for w in set(rare):
+                if w not in words:
+                    if w in older:
+                        words[w] = older[w]
+                    else:
+                        fresh.add(w)
+            rows.append((row, rare))
+        learned = set(fresh)
+        self._learn(fresh, words, older)
+        out = []
+        for row, rare in rows:
+            ids_of = map(words.__getitem__, rare)
+            out.append(b"".join([next(ids_of) if ids is None else ids for ids in row]))
+        if len(hot) < HOT:  # the words met first are mostly the common ones; this table stays in the processor's cache
+            hot.update((w, words[w]) for w in learned)
+        return out
 
 
 class Packer:
