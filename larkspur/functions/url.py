@@ -144,12 +144,14 @@ def append_utm(c: Column, content: Column | None = None, source: str = "discover
 
 
 # Signals that a url serves an image rather than a page.
-IMAGE_EXT = ".jpg .jpeg .png .webp .gif .avif .svg .bmp .tiff .tif .ico".split()
-IMAGE_PATHS = ("/images/ /image/ /img/ /media/ /bilder/ /foto/ /photos/ /pics/ /product-images/ /product_images/ "
-               "/thumbnails/ /thumb/ /cdn-cgi/image/ /pimg/").split()
-IMAGE_HOSTS = "cdn. media. img. images. assets. static. mcdn. imgix. cloudinary.".split()
-IMAGE_CDN = ".cdn- .cdn. cloudinary.com imgix.net shopify.com/cdn".split()
-IMAGE_QUERY = "w= h= width= height= format= quality= scale= fit= crop=".split()
+IMAGE_EXT = [".jpg", ".jpeg", ".png", ".webp", ".gif", ".avif", ".svg", ".bmp", ".tiff", ".tif", ".ico"]
+IMAGE_PATHS = [
+    "/images/", "/image/", "/img/", "/media/", "/bilder/", "/foto/", "/photos/", "/pics/", "/product-images/",
+    "/product_images/", "/thumbnails/", "/thumb/", "/cdn-cgi/image/", "/pimg/",
+]
+IMAGE_HOSTS = ["cdn.", "media.", "img.", "images.", "assets.", "static.", "mcdn.", "imgix.", "cloudinary."]
+IMAGE_CDN = [".cdn-", ".cdn.", "cloudinary.com", "imgix.net", "shopify.com/cdn"]
+IMAGE_QUERY = ["w=", "h=", "width=", "height=", "format=", "quality=", "scale=", "fit=", "crop="]
 
 
 def _alternatives(terms) -> str:

@@ -11,7 +11,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions.lexicons import parse
 from larkspur.functions.numbers import js_round
 from larkspur.functions.staging import pin
 from larkspur.functions.text import contains_any, first_match
@@ -25,27 +24,35 @@ class Category:
 
 
 # Positive and negative title words per category, in priority order.
-_POSITIVE = parse("""
-sofa: soffa, soffor, sofa, sofas, couch, divansoffa, hörnsoffa, modulsoffa, u-soffa, l-soffa, bäddsoffa, bäddsoffor, sleeper sofa, sofa bed, sov-soffa, 3-sits, 2-sits, 4-sits, 3-seater, 2-seater, 4-seater
-armchair: fåtölj, fåtöljer, armchair, armchairs, karmstol, öronlappsfåtölj, snurrstol
-dining_table: matbord, dining table, köksbord
-coffee_table: soffbord, coffee table, vardagsrumsbord
-bed: säng, sängar, bed, beds, ramsäng, kontinentalsäng
-chair: stol, stolar, chair, chairs, matstol, pinnstol, barstol
-rug: matta, mattor, rug, rugs, carpet
-lamp: lampa, lampor, lamp, light, lighting, taklampa, bordslampa, golvlampa
-storage: förvaring, byrå, skänk, sideboard, bokhylla, hyllsystem, tv-bänk, vitrinskåp
-desk: skrivbord, desk, kontorsbord, arbetsbord
-decor: inredning, dekoration, decor, vas, ljusstake, spegel, tavla, konst
-textile: textil, kudde, pläd, gardin, curtain, cushion, throw
-""")
-_NEGATIVE = parse("""
-sofa: soffbord, soffkudde, sofftäcke, sofa table, sofa cushion, dynset, sittdyna, ryggdyna, dyna soffa, soffdyna, sofföverdrag, överdrag soffa, sofa cover, klädsel
-dining_table: matbordslampa, matbordsstol
-bed: bäddset, sängkläder, sängbord, bedside, bed frame
-chair: stolsdyna
-""")
-CATEGORIES = [Category(n, p, _NEGATIVE.get(n, [])) for n, p in _POSITIVE.items()]
+CATEGORIES = [
+    Category("sofa", [
+        "soffa", "soffor", "sofa", "sofas", "couch", "divansoffa", "hörnsoffa", "modulsoffa", "u-soffa", "l-soffa",
+        "bäddsoffa", "bäddsoffor", "sleeper sofa", "sofa bed", "sov-soffa", "3-sits", "2-sits", "4-sits", "3-seater",
+        "2-seater", "4-seater",
+    ], [
+        "soffbord", "soffkudde", "sofftäcke", "sofa table", "sofa cushion", "dynset", "sittdyna", "ryggdyna",
+        "dyna soffa", "soffdyna", "sofföverdrag", "överdrag soffa", "sofa cover", "klädsel",
+    ]),
+    Category("armchair", [
+        "fåtölj", "fåtöljer", "armchair", "armchairs", "karmstol", "öronlappsfåtölj", "snurrstol",
+    ]),
+    Category("dining_table", ["matbord", "dining table", "köksbord"], [
+        "matbordslampa", "matbordsstol",
+    ]),
+    Category("coffee_table", ["soffbord", "coffee table", "vardagsrumsbord"]),
+    Category("bed", ["säng", "sängar", "bed", "beds", "ramsäng", "kontinentalsäng"], [
+        "bäddset", "sängkläder", "sängbord", "bedside", "bed frame",
+    ]),
+    Category("chair", ["stol", "stolar", "chair", "chairs", "matstol", "pinnstol", "barstol"], ["stolsdyna"]),
+    Category("rug", ["matta", "mattor", "rug", "rugs", "carpet"]),
+    Category("lamp", ["lampa", "lampor", "lamp", "light", "lighting", "taklampa", "bordslampa", "golvlampa"]),
+    Category("storage", [
+        "förvaring", "byrå", "skänk", "sideboard", "bokhylla", "hyllsystem", "tv-bänk", "vitrinskåp",
+    ]),
+    Category("desk", ["skrivbord", "desk", "kontorsbord", "arbetsbord"]),
+    Category("decor", ["inredning", "dekoration", "decor", "vas", "ljusstake", "spegel", "tavla", "konst"]),
+    Category("textile", ["textil", "kudde", "pläd", "gardin", "curtain", "cushion", "throw"]),
+]
 
 # Weight of each evidence source.
 SOURCE_WEIGHTS = {"breadcrumb": 3.0, "title": 2.0, "url_path": 1.5, "enrichment_product_type": 2.5, "facet": 1.0,
@@ -145,32 +152,49 @@ def top_categories(scored: DataFrame) -> DataFrame:
 
 
 # Sofa shape, function, seat, room and environment words; first match wins except for rooms.
-SHAPES = parse("""
-u_shaped: u-soffa, u formad soffa, u-formad soffa, u-shaped sofa, u shaped sofa, u shape sofa
-corner: hörnsoffa, hörnsoffor, corner sofa, l-soffa, l formad, l-formad, esquina
-chaise: divansoffa, divan soffa, chaise longue, chaise lounge, schäslong, med schäslong, chaselong, c/chaise
-modular: modulsoffa, modulsoffor, modular sofa, sektionssoffa, byggsoffa, sectional
-""")
-FUNCTIONS = parse("sleeper: bäddsoffa, bäddsoffor, sleeper sofa, sofa bed, sov-soffa, sofá-cama, sofá cama, futon, daybed, dagbädd")
-SEATS = parse("""
-2: 2-sits, 2 sits, 2-sitssoffa, 2-seater, 2 seater, tvåsits, loveseat
-3: 3-sits, 3 sits, 3-sitssoffa, 3-seater, 3 seater, tresits
-4_plus: 4-sits, 4 sits, 4-sitssoffa, 4-seater, 4 seater, 5-sits, 6-sits, 5-seater, 6-seater
-""")
+SHAPES = {
+    "u_shaped": ["u-soffa", "u formad soffa", "u-formad soffa", "u-shaped sofa", "u shaped sofa", "u shape sofa"],
+    "corner": ["hörnsoffa", "hörnsoffor", "corner sofa", "l-soffa", "l formad", "l-formad", "esquina"],
+    "chaise": [
+        "divansoffa", "divan soffa", "chaise longue", "chaise lounge", "schäslong", "med schäslong", "chaselong",
+        "c/chaise",
+    ],
+    "modular": ["modulsoffa", "modulsoffor", "modular sofa", "sektionssoffa", "byggsoffa", "sectional"],
+}
+FUNCTIONS = {
+    "sleeper": [
+        "bäddsoffa", "bäddsoffor", "sleeper sofa", "sofa bed", "sov-soffa", "sofá-cama", "sofá cama", "futon",
+        "daybed", "dagbädd",
+    ],
+}
+SEATS = {
+    "2": ["2-sits", "2 sits", "2-sitssoffa", "2-seater", "2 seater", "tvåsits", "loveseat"],
+    "3": ["3-sits", "3 sits", "3-sitssoffa", "3-seater", "3 seater", "tresits"],
+    "4_plus": ["4-sits", "4 sits", "4-sitssoffa", "4-seater", "4 seater", "5-sits", "6-sits", "5-seater", "6-seater"],
+}
 SEAT_PATTERNS = [("4_plus", r"\b([4-9]|[1-9]\d)\s*[- ]?(sits|seater|seat)\b"), ("3", r"\b3\s*[- ]?(sits|seater|seat)\b"),
                  ("2", r"\b2\s*[- ]?(sits|seater|seat)\b")]
-ROOMS = parse("""
-living_room: vardagsrum, living room, living-room, lounge, vardagsrumssoffa, tv-rum
-bedroom: sovrum, bedroom, sängkammare
-outdoor: utomhus, outdoor, trädgård, balkong, altan, utesoffa, utemöbel, garden, patio, terrace, terrass
-office: kontor, office, arbetsrum, hemmakontor, home office
-hallway: hall, entré, hallway, entrance, foajé
-kids_room: barnrum, kids room, barnsoffa, kids, children
-""")
-ENVIRONMENTS = parse("""
-outdoor: utomhus, outdoor, trädgård, garden, balkong, patio, terrace, terrass, altan, utesoffa, utemöbel, utegrupp
-indoor: indoor, inomhus, vardagsrum, living room, lounge, tv-rum, sovrum, bedroom, kontor, office, hall, hallway
-""")
+ROOMS = {
+    "living_room": ["vardagsrum", "living room", "living-room", "lounge", "vardagsrumssoffa", "tv-rum"],
+    "bedroom": ["sovrum", "bedroom", "sängkammare"],
+    "outdoor": [
+        "utomhus", "outdoor", "trädgård", "balkong", "altan", "utesoffa", "utemöbel", "garden", "patio", "terrace",
+        "terrass",
+    ],
+    "office": ["kontor", "office", "arbetsrum", "hemmakontor", "home office"],
+    "hallway": ["hall", "entré", "hallway", "entrance", "foajé"],
+    "kids_room": ["barnrum", "kids room", "barnsoffa", "kids", "children"],
+}
+ENVIRONMENTS = {
+    "outdoor": [
+        "utomhus", "outdoor", "trädgård", "garden", "balkong", "patio", "terrace", "terrass", "altan", "utesoffa",
+        "utemöbel", "utegrupp",
+    ],
+    "indoor": [
+        "indoor", "inomhus", "vardagsrum", "living room", "lounge", "tv-rum", "sovrum", "bedroom", "kontor",
+        "office", "hall", "hallway",
+    ],
+}
 
 
 def derive_profile(items: DataFrame, sofa: str = "sofa") -> DataFrame:

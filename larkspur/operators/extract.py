@@ -296,17 +296,17 @@ def facets(pairs: DataFrame, key_chars: int | None = None, value_chars: int | No
 
 
 # Folded spec labels by field.
-SPEC_LABELS = L.parse("""
-seat_height_cm: sitthojd, seatheight
-seat_depth_cm: sittdjup, seatdepth
-seat_width_cm: sittbredd, seatwidth
-seat_count: antalsitsar, antalsittplatser, seats, numberofseats, sitsar
-weight_kg: vikt, weight, totalvikt
-frame_material: stomme, frame, stommaterial, framematerial
-cover_material: kladsel, kladselmaterial, cover, upholstery, tygkladsel, tyg
-leg_material: ben, legs, fotter, feet, benmaterial, legmaterial
-cushion_filling: kuddfyllning, fyllning, filling, cushion, sittfyllning
-""")
+SPEC_LABELS = {
+    "seat_height_cm": ["sitthojd", "seatheight"],
+    "seat_depth_cm": ["sittdjup", "seatdepth"],
+    "seat_width_cm": ["sittbredd", "seatwidth"],
+    "seat_count": ["antalsitsar", "antalsittplatser", "seats", "numberofseats", "sitsar"],
+    "weight_kg": ["vikt", "weight", "totalvikt"],
+    "frame_material": ["stomme", "frame", "stommaterial", "framematerial"],
+    "cover_material": ["kladsel", "kladselmaterial", "cover", "upholstery", "tygkladsel", "tyg"],
+    "leg_material": ["ben", "legs", "fotter", "feet", "benmaterial", "legmaterial"],
+    "cushion_filling": ["kuddfyllning", "fyllning", "filling", "cushion", "sittfyllning"],
+}
 
 
 def rich_specs(pairs: DataFrame) -> DataFrame:

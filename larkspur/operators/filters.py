@@ -56,7 +56,10 @@ def included(flag: Column) -> Column:
 
 
 # Title words of the sofa surface and of accessories, and its categories.
-SURFACE_TITLE = ("soffa soffor sofa sofás sofá couch divansoffa hörnsoffa modulsoffa bäddsoffa 2-sits 3-sits 4-sits chaise").split()
+SURFACE_TITLE = [
+    "soffa", "soffor", "sofa", "sofás", "sofá", "couch", "divansoffa", "hörnsoffa", "modulsoffa", "bäddsoffa",
+    "2-sits", "3-sits", "4-sits", "chaise",
+]
 SURFACE_NOISE = [
     "dynset", "sittdyna", "ryggdyna", "soffdyna", "dyna soffa", "soffbord", "soffkudde", "sofftäcke", "sofföverdrag",
     "överdrag", "klädsel", "cover for", "slipcover", "sofa table", "sofa cushion", "sofa cover", "cover",

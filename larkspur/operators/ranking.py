@@ -388,13 +388,22 @@ def score_stats(ranked: DataFrame) -> DataFrame:
 # ---- item keys -------------------------------------------------------------------------------------------------
 
 # Title words that name a colour or a variant rather than a model.
-TITLE_COLORS = ("beige cream white offwhite ivory black grey gray charcoal brown green blue red yellow orange pink purple navy "
-                "sand stone taupe natural oak walnut ash graphite multi gra graa svart vit vitra beigefargad brun gron bla").split()
-TITLE_NOISE = ("sofa soffa couch set module modular left right chaise corner sectional seat seater sits sit with and the for new "
-               "inkl inklusive pack cm m l xl bed sleeper daybed daybeds sofabed futon baddsoffa baddsoffor sovsoffa sangsoffa "
-               "hornbaddsoffa divanbaddsoffa langsbaddad").split()
-PATH_NOISE = "produkt product products produkter vara artikel item model p html".split()
-PATH_CATEGORIES = ("category kategori collections collection campaign kampanj inspiration guide blog sale erbjudanden sortiment").split()
+TITLE_COLORS = [
+    "beige", "cream", "white", "offwhite", "ivory", "black", "grey", "gray", "charcoal", "brown", "green", "blue",
+    "red", "yellow", "orange", "pink", "purple", "navy", "sand", "stone", "taupe", "natural", "oak", "walnut", "ash",
+    "graphite", "multi", "gra", "graa", "svart", "vit", "vitra", "beigefargad", "brun", "gron", "bla",
+]
+TITLE_NOISE = [
+    "sofa", "soffa", "couch", "set", "module", "modular", "left", "right", "chaise", "corner", "sectional", "seat",
+    "seater", "sits", "sit", "with", "and", "the", "for", "new", "inkl", "inklusive", "pack", "cm", "m", "l", "xl",
+    "bed", "sleeper", "daybed", "daybeds", "sofabed", "futon", "baddsoffa", "baddsoffor", "sovsoffa", "sangsoffa",
+    "hornbaddsoffa", "divanbaddsoffa", "langsbaddad",
+]
+PATH_NOISE = ["produkt", "product", "products", "produkter", "vara", "artikel", "item", "model", "p", "html"]
+PATH_CATEGORIES = [
+    "category", "kategori", "collections", "collection", "campaign", "kampanj", "inspiration", "guide", "blog",
+    "sale", "erbjudanden", "sortiment",
+]
 TOKEN_ALIASES = {"knobb": "knob"}
 
 

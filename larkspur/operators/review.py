@@ -66,7 +66,9 @@ def calibrate(labels: DataFrame, default_accept: float = 0.60, default_reject: f
 
 
 # Words ignored by rule mining.
-STOPWORDS = "och med for utan the and som att this that from till hos www se".split()
+STOPWORDS = [
+    "och", "med", "for", "utan", "the", "and", "som", "att", "this", "that", "from", "till", "hos", "www", "se",
+]
 
 
 def training_tokens(pieces: Column, cap: int | None = None) -> Column:
