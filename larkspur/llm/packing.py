@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,9 @@ from pyspark.sql import functions as F
 from larkspur.llm import common as c
 
 CAPACITY, END_ID = 4096, 2
-OPEN, HOT, WORDS = 2048, 20_000, 600_000
+OPEN, HOT, WORDS = 2048, 20_000, 250_000
 VOCABULARY = "word_bpe_49k.json"
 MARK = "\u00a7"
-_WORDS: dict = {}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -49,7 +49,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path or vocabulary_path()), limit
-        self.tables: list[dict[bytes, bytes]] = _WORDS.setdefault((path or "", limit), [{}, {}, {}])  # common, younger, older
+        self.tables: list[dict[bytes, bytes]] = [{}, {}, {}]  # common, younger, older
         vocabulary = self.tokenizer.get_vocab()
         self.closing = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a piece
         self.closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -132,6 +132,12 @@ class WordIds:
         return out
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str | None) -> WordIds:
+    """The worker's own: tokenizer and words serve its later tasks too."""
+    return WordIds(path)
+
+
 class Packer:
     """Sum-of-squares packing. A piece is (row, start, ids); closed sequences are lists of pieces."""
 
@@ -234,7 +240,7 @@ class Packer:
 
 def _pack(kind: pa.DataType, path: str | None, capacity: int, end_id: int, open_limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, packer = WordIds(path), Packer(capacity, open_limit)
+        coder, packer = word_ids(path), Packer(capacity, open_limit)
         end = np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 32
 
