@@ -42,7 +42,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class WordIds:
-    """Ids (little-endian unsigned 32-bit) of texts, by words. A worker keeps some common words and two generations of about `limit` words."""
+    """Ids (little-endian unsigned 32-bit) of texts, by words: some common ones and two generations of about `limit` are kept."""
 
     def __init__(self, path: str | None, limit: int = WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
