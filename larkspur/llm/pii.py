@@ -9,9 +9,14 @@ Numbers use a Feistel network over Z_a x Z_b with addition, whose product is exa
 value falls outside. Texts use one over their two halves, each character shifted within its class by the digest of the
 other half.
 
-Scale: one projection, no shuffle and no state. Texts without a digit are not searched; there is no Python.
+A match that fails its validation consumes nothing: its shorter forms are tried (a card up to each separator, an IBAN at
+the length of its country), then the other forms at its place, then the text from its next character on.
 
-Defined cases: a null text stays null and has no findings; what fails validation stays as it is; values are found from
+Scale: one projection, no shuffle and no state. Texts without a digit are not searched; there is no Python. One regular
+expression finds all values of a text; only texts where one of them fails validation are searched step by step, in pieces
+that no value crosses.
+
+Defined cases: a null text stays null and has no findings; what fails validation in every form and length stays as it is; values are found from
 left to right and never overlap; an e-mail address keeps its domain; columns of other names pass through, one called
 `pii` is replaced; repeated rows are changed alike.
 """
@@ -37,6 +42,13 @@ FORMS = {
     "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
 }
 PATTERN = "|".join(f"(?:{x})" for x in FORMS.values())
+# Places that no form crosses: after a character that no form holds, or after a line end that is not in an assignment.
+PIECES = r"(?<=[,;!?<>\[\]{}|&*#$^~`])|(?<=\n)(?<![=:]\s{1,3})(?!\s{0,2}[=:])"
+# Lengths of account numbers by country.
+IBAN_LENGTHS = {n: lands.split() for n, lands in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL OM SO", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items()}
 _CENTURIES = "1800-01-01"  # 400 years from here are 146 097 days = 189 x 773
 
 
@@ -218,18 +230,88 @@ def _finding(v: Column, key: str) -> Column:
     return out
 
 
+def _prefixes(v: Column) -> Column:
+    """The value and its beginnings before a separator, longest first."""
+    ends = F.filter(F.sequence(F.length(v), F.lit(1), F.lit(-1)), lambda i: (i == F.length(v)) | F.substr(v, i + 1, F.lit(1)).isin(" ", "-"))
+    return F.transform(ends, lambda i: F.substr(v, F.lit(1), i))
+
+
+def _first(values: Column, test) -> Column:
+    return F.coalesce(F.try_element_at(F.filter(values, test), F.lit(1)), F.lit(""))
+
+
+def _shorter_card(v: Column, key: str) -> Column:
+    return let(_prefixes(v), lambda all_: _first(all_, lambda x: (F.length(_digits(x)) >= 13) & _card(x, key)[0]))
+
+
+def _shorter_iban(v: Column, key: str) -> Column:
+    """At its country's length, else whole; of a country without a known length, the longest that is valid."""
+    land, flat = F.substr(v, F.lit(1), F.lit(2)), lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    known = F.coalesce(*[F.when(land.isin(*lands), F.lit(n)) for n, lands in IBAN_LENGTHS.items()], F.lit(0))
+    valid = lambda x: (F.length(flat(x)) >= 15) & _iban(x, key)[0]
+    return let(known, lambda n: let(_prefixes(v), lambda all_: F.coalesce(
+        F.nullif(_first(all_, lambda x: (F.length(flat(x)) == n) & valid(x)), F.lit("")),
+        _first(all_, lambda x: ((n == 0) | (x == v)) & valid(x)))))
+
+
+_SHORTER = {"card": _shorter_card, "iban": _shorter_iban}
+
+
+def _value_at(place: Column, key: str) -> Column:
+    """Struct (kind, text, size) of the first form that is valid after the first character, which is context only; else null."""
+    def tried(name: str) -> Column:
+        seen = F.regexp_extract(place, f"^(?s:.)({FORMS[name]})", 1)
+
+        def checked(v: Column) -> Column:
+            valid, changed = _CHANGE[name](v, key)
+            return F.when((v != "") & valid, F.struct(F.lit(name).alias("kind"), changed.alias("text"), F.length(v).alias("size")))
+
+        shorter = _SHORTER.get(name)
+        return let(seen, lambda v: let(F.when(v == "", v).otherwise(shorter(v, key)), checked) if shorter else checked(v))
+
+    return F.coalesce(*[tried(name) for name in FORMS])
+
+
+def _search(piece: Column, key: str) -> Column:
+    """Array of structs (kind, text) that make up the piece; the kind is null for what stays."""
+    part = lambda kind, text: F.struct(kind.alias("kind"), text.alias("text"))
+    plain = lambda text: part(F.lit(None).cast("string"), text)
+    state = lambda parts, rest: F.struct(parts.alias("parts"), rest.alias("rest"))
+
+    def at_place(own: Column, before: Column, place: Column) -> Column:
+        done = F.concat(own["parts"], F.array(plain(F.substr(before, F.lit(2)))))
+        return let(_value_at(place, key), lambda v: F.when(
+            v.isNull(), state(F.concat(done, F.array(plain(F.substr(place, F.lit(2), F.lit(1))))), F.substr(place, F.lit(2)))).otherwise(
+            state(F.concat(done, F.array(part(v["kind"], v["text"]))), F.substr(place, v["size"] + 1))))
+
+    def step(own: Column, _: Column) -> Column:
+        before = F.regexp_extract(own["rest"], f"(?s)^(.+?)(?={PATTERN})", 1)
+        found = let(before, lambda b: F.when(
+            b == "", state(F.concat(own["parts"], F.array(plain(F.substr(own["rest"], F.lit(2))))), F.lit(""))).otherwise(
+            let(F.substr(own["rest"], F.length(b)), lambda place: at_place(own, b, place))))
+        return F.when(own["rest"] == "", own).otherwise(found)
+
+    none = F.array().cast("array<struct<kind:string,text:string>>")
+    steps = F.sequence(F.lit(0), F.length(piece))  # each step but the last goes on by a character at least
+    return F.aggregate(steps, state(none, F.concat(F.lit("\n"), piece)), step, lambda own: own["parts"])
+
+
 def pseudonymize(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
     """The documents with personal data in their text replaced, and a struct `pii` of the findings by kind."""
     text = F.col(text_col)
     worth = F.coalesce(text.rlike("[0-9@]|(?i:password|passwd|secret|token|api_?key)"), F.lit(False))
     found = F.when(worth, F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda v: _finding(v, key)))
-    kinds = F.transform("__found", lambda x: x["kind"])
-    count = lambda k: F.coalesce(F.size(F.filter(kinds, lambda x: x == k)), F.lit(0)).cast("long")
     columns = [x for x in docs.columns if x != "pii"]
     staged = docs.select(F.struct(*[F.col(f"`{x}`") for x in columns]).alias("__row"), F.inline(F.array(F.struct(found.alias("__found")))))
     own = F.col("__row").getField(text_col)
+    parts = F.when(F.exists("__found", lambda x: x["kind"].isNull()), F.flatten(F.transform(F.split(own, PIECES, -1), lambda piece: _search(piece, key))))
+    staged = staged.select("__row", "__found", F.inline(F.array(F.struct(parts.alias("__parts")))))
+    kinds = F.transform(F.coalesce("__parts", "__found"), lambda x: x["kind"])
+    count = lambda k: F.coalesce(F.size(F.filter(kinds, lambda x: x == k)), F.lit(0)).cast("long")
+    changed = F.when(F.col("__parts").isNotNull(), F.array_join(F.transform("__parts", lambda x: x["text"]), "")).when(
+        F.col("__found").isNotNull() & (F.size("__found") > 0), _rebuild(own)).otherwise(own)
     return staged.select(
-        *[F.when(F.col("__found").isNotNull() & (F.size("__found") > 0), _rebuild(own)).otherwise(own).alias(x) if x == text_col else F.col("__row").getField(x).alias(x) for x in columns],
+        *[changed.alias(x) if x == text_col else F.col("__row").getField(x).alias(x) for x in columns],
         F.struct(*[count(k).alias(k) for k in FORMS]).alias("pii"))
 
 
