@@ -300,7 +300,9 @@ def cls_sample_diverse(t):
 
 @query("cls_sample_target")
 def cls_sample_target(t):
-    items = t.labels_b.selectExpr("item_id", "source_id", "predicted AS category", "contains(lower(title), 'the') AS is_hint")
+    """The hint is looked for in the whole text, before the join, so that no text is shuffled."""
+    texts = t.documents.selectExpr("doc_id", "source AS source_id", "lang AS category", "contains(lower(text), 'the') AS is_hint")
+    items = t.labels.select("doc_id").join(texts, "doc_id").withColumnRenamed("doc_id", "item_id")
     return R.target_sample(items, "en", 40, checkpoint=lambda df: materialize(df, "sample"))
 
 
