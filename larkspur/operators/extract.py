@@ -24,7 +24,6 @@ LD_JSON = r"(?is)<script[^>]*ld\+json[^>]*>(.*?)</script>"
 NEXT_DATA = r'(?is)<script[^>]*id="__NEXT_DATA__"[^>]*>\s*(\{.*?\})\s*</script>'
 WINDOW_STATE = r"(?s)window\.(?:__INITIAL_STATE__|__NUXT__|__PRELOADED_STATE__)\s*=\s*(\{.+?\});\s*(?:</script>|$)"
 WINDOW_PARSE = r"(?s)window\.INITIAL_DATA\s*=\s*JSON\.parse\(\s*'(.+?)'\s*\)"
-WALK_DEPTH, ARRAY_DEPTH = 8, 6
 
 
 def _all(html: Column, pattern: str, group: int = 1) -> Column:
@@ -77,14 +76,22 @@ def _children(v: Column) -> Column:
                       F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), empty)
 
 
-def walk(df: DataFrame, roots: str, out: str, depth: int) -> DataFrame:
-    """Add every node under the roots down to `depth` levels, level by level, as one array."""
-    cur, levels = df.withColumn("_l0", F.col(roots)), ["_l0"]
-    for i in range(depth):
-        nxt = f"_l{i + 1}"
-        cur = pin(cur, **{nxt: F.flatten(F.transform(levels[-1], _children))})
-        levels.append(nxt)
-    return pin(cur, **{out: F.concat(*levels)}).drop(*levels)
+def walk(df: DataFrame, roots: str, out: str) -> DataFrame:
+    """Add every node under the roots, level by level, as one array.
+
+    The levels of a page are walked inside its row until one is empty. No state nests deeper than its text has
+    opening brackets, so their number bounds the steps; steps after the last level do nothing.
+    """
+    def step(state: Column, _: Column) -> Column:
+        below = F.flatten(F.transform(state["level"], _children))
+        return F.when(F.size(state["level"]) == 0, state).otherwise(
+            F.struct(F.concat(state["nodes"], state["level"]).alias("nodes"), below.alias("level")))
+
+    empty = F.array().cast("array<variant>")
+    brackets = F.transform(roots, lambda v: F.length(F.regexp_replace(F.to_json(v), r"[^\[{]+", "")))
+    start = F.struct(empty.alias("nodes"), F.coalesce(roots, empty).alias("level"))
+    steps = F.sequence(F.lit(0), F.coalesce(F.array_max(brackets), F.lit(0)) + 1)
+    return pin(df, **{out: F.aggregate(steps, start, step, lambda state: state["nodes"])})
 
 
 def keys_of(v: Column) -> Column:
@@ -208,7 +215,7 @@ def embedded_fields(v: Column) -> Column:
 def embedded_product(pages: DataFrame) -> DataFrame:
     """Add `node`: the best product-like node of the embedded state (title 2, images 1.5, price 1.5, identity 0.5)."""
     blocks = pages if "embedded" in pages.columns else with_blocks(pages)
-    nodes = walk(blocks, "embedded", "_nodes", WALK_DEPTH)
+    nodes = walk(blocks, "embedded", "_nodes")
     like = pin(nodes, _c=F.filter("_nodes", lambda n: has_key(n, "name", "title", "productname")
                                   & has_key(n, "price", "priceamount", "offers", "currentprice", "saleprice")
                                   & (F.length(F.coalesce(get(n, "name", "title", "productName"), F.lit(""))) >= 3)))
@@ -236,7 +243,7 @@ def state_products(pages: DataFrame) -> DataFrame:
     all elements, and all elements of the winner are emitted.
     """
     blocks = pages if "embedded" in pages.columns else with_blocks(pages)
-    nodes = walk(blocks, "embedded", "_nodes", ARRAY_DEPTH)
+    nodes = walk(blocks, "embedded", "_nodes")
     arrays = pin(nodes, _a=F.filter(F.array_compact(F.transform("_nodes", lambda n: F.try_variant_get(n, "$", "array<variant>"))),
                                     lambda a: (F.size(a) >= 3) & (F.size(F.filter(a, lambda x: keys_of(x).isNotNull())) >= F.size(a) * 0.7)))
     points = lambda x: sum((F.when(has_key(x, *names), p).otherwise(0) for p, names in ARRAY_KEYS), F.lit(0))
