@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import chat, decontaminate, language, line_dedup, minhash, packing, pii, quality, sentence_dedup, substring_dedup
+from larkspur.llm import chat, decontaminate, interactions, language, line_dedup, minhash, packing, pii, quality, sentence_dedup, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.query,
@@ -19,9 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentence_dedup": sentence_dedup.query,
     "op9_packing": packing.query,
     "op10_substring_dedup": substring_dedup.query,
+    "op11_filter_audit": interactions.query,
 }
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontaminate.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
     "op5_chat": chat.ORACLE,
+    "op11_filter_audit": interactions.ORACLE,
 }
