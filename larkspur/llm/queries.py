@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import alignment, chat, decontaminate, interactions, language, line_dedup, minhash, packing, pii, quality, sentence_dedup, substring_dedup
+from larkspur.llm import alignment, chat, decontaminate, interactions, language, line_dedup, minhash, packing, pages, pii, quality, sentence_dedup, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": substring_dedup.query,
     "op11_filter_audit": interactions.query,
     "op12_alignment": alignment.query,
+    "op13_html_extraction": pages.query,
 }
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontaminate.ORACLE,
