@@ -1,11 +1,10 @@
 """Line dedup over levelled sorted runs of line hashes. DataFrame functions only.
 
 A run is a table of line hashes with the number of documents that hold each one, bucketed by hash over as many buckets
-as the session shuffles to, and sorted. Documents
-come in batches. Each batch merge-anti-joins the settled runs (lines known to be frequent, which need no more
-counting), and adds its own run at level 0; two runs of a level are merged into one of the next level by a full outer
-merge join over their common buckets, without a shuffle, and lines that reach the threshold move to a settled run.
-A store outlives one call: `LineRuns.add` takes further batches.
+as the session shuffles to, and sorted. Documents come in batches. Each batch merge-anti-joins the settled lines of the
+runs (known to be frequent, they need no more counting), and adds its own run at level 0; two runs of a level are merged
+into one of the next level by a full outer merge join over their common buckets, without a shuffle, and the two go.
+A store outlives one call: `LineRuns.add` takes further batches until `frequent` closes it.
 
 Scale: a text is split and hashed once; the hashes (16 bytes of entropy a line, zstd) go to the shared folder by batch.
 Counting combines before the shuffle, so a line in a third of all documents is one row per task. Settled lines meet the
@@ -47,16 +46,17 @@ def line_hashes(text: Column, min_chars: int) -> Column:
 
 
 class LineRuns:
-    """Levels of sorted runs and the settled runs, all in the shared folder.
+    """Levels of sorted runs in the shared folder.
 
-    A run holds h and n, and the columns `batch` and `id` of the first document where batches bring them.
+    A run holds h and n, and the columns `batch` and `id` of the first document where batches bring them. Its rows with
+    n >= min_docs are settled: later batches leave these lines out. They stay in the run and are merged with it, so they
+    are levelled and compacted like the others, and a line is settled once.
     """
 
     def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, buckets: int | None = None):
         self.spark, self.min_docs = spark, min_docs
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: dict[int, str] = {}
-        self.settled: list[str] = []
 
     def _write(self, df: DataFrame) -> str:
         name = f"larkspur_run_{uuid.uuid4().hex}"
@@ -64,10 +64,14 @@ class LineRuns:
          .option("path", f"{work_dir(self.spark, 'lines')}/{name}").saveAsTable(name))
         return name
 
+    def _forget(self, *names: str) -> None:
+        for name in names:
+            self.spark.sql(f"drop table if exists {name}")
+
     def add(self, batch: DataFrame) -> None:
         """A row for each line hash of the batch, later than all that were added before."""
-        for name in self.settled:
-            batch = batch.join(self.spark.table(name).select("h"), "h", "left_anti")
+        for name in self.levels.values():
+            batch = batch.join(self.spark.table(name).where(F.col("n") >= self.min_docs).select("h"), "h", "left_anti")
         run, level = self._write(batch), 0
         while level in self.levels:
             run, level = self._merge(self.levels.pop(level), run), level + 1
@@ -78,18 +82,18 @@ class LineRuns:
         first = [F.when(F.col("x.h").isNull(), F.col(f"y.{k}")).otherwise(F.col(f"x.{k}")).alias(k) for k in self.spark.table(earlier).columns if k not in ("h", "n")]
         both = (x.join(y, F.col("x.h") == F.col("y.h"), "full_outer")
                 .select(F.coalesce("x.h", "y.h").alias("h"), (F.coalesce("x.n", F.lit(0)) + F.coalesce("y.n", F.lit(0))).alias("n"), *first))
-        merged = self.spark.table(self._write(both))
-        self.settled.append(self._write(merged.where(F.col("n") >= self.min_docs)))
-        return self._write(merged.where(F.col("n") < self.min_docs))
+        merged = self._write(both)
+        self._forget(earlier, later)
+        return merged
 
     def frequent(self) -> DataFrame:
-        """Every line in at least `min_docs` documents; n as of the batch that settled it."""
+        """Every line in at least `min_docs` documents, written out; n as of the batch that settled it. The runs go."""
         while len(self.levels) > 1:
             low, high = sorted(self.levels)[:2]
             self.levels[high] = self._merge(self.levels.pop(high), self.levels.pop(low))
-        found = self.spark.table(next(iter(self.levels.values()))).where(F.col("n") >= self.min_docs)
-        for name in self.settled:
-            found = found.unionByName(self.spark.table(name))
+        last = self.levels.popitem()[1]
+        found = c.materialize(self.spark.table(last).where(F.col("n") >= self.min_docs), "frequent")
+        self._forget(last)
         return found
 
 
@@ -108,7 +112,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for b in range(batches):
         own = staged.where(F.col("batch") == b).select("batch", "id", F.explode(F.array_distinct("hashes")).alias("h")).where(F.col("h").isNotNull())
         runs.add(own.groupBy(F.unhex("h").alias("h")).agg(F.count("*").alias("n"), *first))
-    frequent = c.materialize(runs.frequent(), "frequent")  # a plain table: both sides of the next join can be split
+    frequent = runs.frequent()  # a plain table: both sides of the next join can be split
     lost = staged.select("rk1", "rk2", F.col("batch").alias("own_batch"), F.col("id").alias("own_id"), F.posexplode("hashes").alias("pos", "x"))
     lost = lost.select("*", F.unhex("x").alias("h")).join(frequent, "h")
     if keep_first:
