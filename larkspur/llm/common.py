@@ -54,12 +54,14 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0]:off[-1]], off - off[0]
 
 
-def blocks(texts: pa.Array, size: int = _BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of rows of about `size` bytes (a longer row is a run of its own): first row, end row, bytes, offsets."""
+def blocks(texts: pa.Array, size: int = _BLOCK, rows: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of at most `rows` rows and about `size` bytes (a longer row is a run of its own): first row, end row, bytes, offsets."""
     buf, off = raw(texts)
     row, n = 0, len(texts)
     while row < n:
         end = max(row + 1, int(np.searchsorted(off, off[row] + size, "right")) - 1)
+        if rows:
+            end = min(end, row + rows)
         yield row, end, buf[off[row]:off[end]], off[row:end + 1] - off[row]
         row = end
 

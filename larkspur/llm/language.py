@@ -4,12 +4,14 @@ Texts become hashed byte n-grams (one to three bytes, case folded, runs of other
 and normalised. Families are told apart by the same kind of machine. Each two-sided problem is fitted in a task of its
 own and its margin is calibrated on a fifth of its sample that the fit does not see.
 
-Scale: fitting takes at most `SAMPLE` labelled documents of each language, chosen by the hash of their ids among all
-labelled rows; counting and choosing read no text. The weights (problems x 16 kB, problems bounded by the pairs of
-languages of a family and of families) are broadcast, and prediction is one pass over whole texts without a shuffle.
+Scale: fitting takes about `SAMPLE` labelled documents of each language, those whose hashed ids lie below a bound that
+follows from the language's number of labelled rows, and not more than `SAMPLE` of them; so a language is ranked among
+its few candidates, not among all its rows. Texts of the sample become feature vectors of fixed size where they are
+read. The weights (problems x 16 kB, problems bounded by the pairs of languages of a family and of families) are
+broadcast, and prediction is one pass over whole texts without a shuffle, `ROWS` rows at a time at most.
 
 Defined cases: a null text or one without a letter is `und` with score 0, as is every text when no row teaches a
-language; an empty or null language does not teach; a row with a null id is not held out and does not teach; a language
+language; an empty or null language does not teach, nor does one with fewer than `LEAST` labelled rows; a row with a null id is not held out and does not teach; a language
 missing from `FAMILIES` is a family of its own; ties go to the name that sorts first; other columns are ignored.
 """
 
@@ -27,8 +29,11 @@ from pyspark.sql import types as T
 from larkspur.llm import common as c
 
 SAMPLE, WIDTH, GRAMS = 600, 4096, (1, 2, 3)
+LEAST, ROWS = 5, 512
+LOST = 0.001  # share of the sample below the score at whose half a text is taken to be in none of the languages
 HELD_OUT_OF, HELD_OUT = 3, 1
 UNKNOWN = "und"
+# Families of languages
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "is", "nb", "nl", "nn", "no", "sv"),
     "romance": ("ca", "es", "fr", "gl", "it", "oc", "pt", "ro"),
@@ -106,10 +111,9 @@ def calibrate(margin: np.ndarray, y: np.ndarray) -> float:
 
 
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
-    """One problem: texts of side 1 against side -1."""
+    """One problem: features of side 1 against side -1."""
     rows = rows.sort_values("order", kind="stable")
-    parts = [features(buf, off) for _, _, buf, off in c.blocks(pa.array(rows["text"], pa.string()))]
-    x, y = np.concatenate(parts), rows["side"].to_numpy(np.float32)
+    x, y = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), WIDTH), rows["side"].to_numpy(np.float32)
     held = np.arange(len(y)) % 5 == 0
     w = fit_margin(x[~held], y[~held])
     margin = x[held] @ w[:-1] + w[-1]
@@ -130,6 +134,8 @@ def _problems(langs: list[str]) -> list[tuple[str, str, str, tuple[str, ...], tu
 class Model:
     """Fitted problems, as arrays for prediction."""
 
+    limit = 0.0
+
     def __init__(self, langs: list[str], fitted: list):
         self.langs = sorted(langs)
         self.families: dict[str, list[str]] = {}
@@ -173,24 +179,55 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(HELD_OUT_OF)) == HELD_OUT, F.lit(False))
 
 
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, buf, off in c.blocks(batch.column(2), rows=ROWS):
+            part = batch.slice(lo, hi - lo)
+            vectors = pa.array([x.tobytes() for x in features(buf, off)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), vectors], ["lang", "order", "x"])
+
+
+def _scores(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), ROWS):
+                x = np.frombuffer(b"".join(batch.column(0).slice(lo, ROWS).to_pylist()), np.float32).reshape(-1, WIDTH)
+                yield pa.RecordBatch.from_arrays([pa.array(model.value.predict(x)[1])], ["score"])
+
+    return run
+
+
+def sample_of(labelled: DataFrame, sample: int) -> DataFrame:
+    """labelled: (lang, order, rk1, rk2). At most `sample` rows of each language, by their place in a hashed order."""
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    counts = c.materialize(counts, "languages")
+    share = F.lit(sample + 8 * sample ** 0.5 + 20) / F.col("n")  # a few more than asked for lie below the bound
+    bound = F.when(share < 1, (share * 2.0 ** 64 - 2.0 ** 63).cast("long"))
+    near = labelled.join(counts.select("lang", bound.alias("bound")), "lang").where(F.col("bound").isNull() | (F.col("order") < F.col("bound")))
+    order = Window.partitionBy("lang").orderBy("order", "rk1", "rk2")
+    return near.select("lang", "order", "rk1", "rk2").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).drop("rank")
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Model from labelled rows that are not held out."""
     keys = c.row_key(id_col, text_col)
     labelled = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col) & (F.col(lang_col) != "") & F.col(text_col).rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy("order", "rk1", "rk2")
-    chosen = (labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit(7), F.col(id_col)).alias("order"), *keys)
-              .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).drop("rank"))
-    chosen = c.materialize(chosen.distinct(), "sample")  # `sample` rows a language
+    labelled = c.materialize(labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit(7), F.col(id_col)).alias("order"), *keys), "labelled")
+    chosen = c.materialize(sample_of(labelled, sample).distinct(), "sample")  # `sample` rows a language
     langs = [r[0] for r in chosen.select("lang").distinct().collect()]
-    texts = docs.select(*keys, F.col(text_col).alias("text")).join(chosen, ["rk1", "rk2"]).select("lang", "order", "text")
     problems = _problems(langs)
     if not problems:
         return Model(langs, [])
+    texts = docs.select(*keys, F.col(text_col).alias("text")).join(chosen, ["rk1", "rk2"]).select("lang", "order", "text")
+    vectors = c.materialize(texts.mapInArrow(_vectors, "lang string, order long, x binary"), "sample-vectors")
     sides = [(level, a, b, lang, side) for level, a, b, left, right in problems for side, group in ((1, left), (-1, right)) for lang in group]
     table = docs.sparkSession.createDataFrame(sides, "level string, a string, b string, lang string, side int")
-    fitted = (c.materialize(texts, "sample-texts").join(table, "lang").groupBy("level", "a", "b")
+    fitted = (vectors.join(table, "lang").groupBy("level", "a", "b")
               .applyInPandas(_fit, "level string, a string, b string, slope double, weights binary").collect())
-    return Model(langs, sorted(fitted, key=lambda r: (r["level"], r["a"], r["b"])))
+    model = Model(langs, sorted(fitted, key=lambda r: (r["level"], r["a"], r["b"])))
+    scores = vectors.select("x").mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model)), "score double")
+    model.limit = (scores.agg(F.percentile("score", LOST)).first()[0] or 0.0) / 2
+    return model
 
 
 def _predict(model):
@@ -198,25 +235,27 @@ def _predict(model):
         known = model.value
         for batch in batches:
             letters = batch.column(3).to_numpy(zero_copy_only=False)
-            for lo, hi, buf, off in c.blocks(batch.column(2)):
+            for lo, hi, buf, off in c.blocks(batch.column(2), rows=ROWS):
                 lang, score = np.full(hi - lo, UNKNOWN, object), np.zeros(hi - lo)
                 at = np.flatnonzero(letters[lo:hi])
                 if len(at) and known.langs:
                     lang[at], score[at] = (v[at] for v in known.predict(features(buf, off)))
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(score)], ["carry", "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(score),
+                                                  pa.array((lang != UNKNOWN) & (score >= known.limit))], ["carry", "held_out", "lang_pred", "score", "accepted"])
 
     return run
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, carry: list[str] | None = None) -> DataFrame:
-    """One row per document: a struct `carry` of the named columns (the id by default), held_out, lang_pred, score."""
+    """One row per document: a struct `carry` of the named columns (the id by default), held_out, lang_pred, score, and
+    accepted (a language was told, at half the score that all but `LOST` of the sample reach, or more)."""
     spark = docs.sparkSession
     c.ship_package(spark)
     model = spark.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col, sample))
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     source = docs.select(F.struct(*[F.col(f"`{x}`") for x in carry or [id_col]]).alias("carry"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"), letters.alias("letters"))
-    schema = T.StructType([*source.schema.fields[:2], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*source.schema.fields[:2], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
     return source.mapInArrow(_predict(model), schema)
 
 

@@ -14,7 +14,7 @@ travel; the text is shuffled once, to the positions it loses. Nothing is broadca
 Defined cases: a null or empty text is one empty line; every row is a document of its own, repeated rows included; a key
 shorter than `min_chars` is never dropped; ties do not arise, except that with `keep_first` the first document is the
 one in the earliest batch with the smallest id (null last), and it keeps all its copies; columns of any other name pass
-through (one called line_dedup is replaced), an empty table gives an empty table.
+through (one called as the result is replaced), an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -98,8 +98,8 @@ class LineRuns:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS,
-                keep_first: bool = False, batches: int = BATCHES, buckets: int | None = None) -> DataFrame:
-    """The documents with columns n_lines, n_dropped and kept (the text that stays) added under a struct `line_dedup`."""
+                keep_first: bool = False, batches: int = BATCHES, buckets: int | None = None, into: str = "line_dedup") -> DataFrame:
+    """The documents with columns n_lines, n_dropped and kept (the text that stays) added under a struct named `into`."""
     spark = docs.sparkSession
     keys = c.row_key(id_col, text_col)
     batch = F.pmod(F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col)), F.lit(batches)).cast("int")
@@ -125,8 +125,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(all_lines, i + 1)), "\n")))
     n_lost = F.when(F.col("__dropped").isNull(), 0).otherwise(F.size("__dropped"))
     result = F.struct(F.size(all_lines).cast("long").alias("n_lines"), n_lost.cast("long").alias("n_dropped"), kept.alias("kept"))
-    row = F.struct(*[F.col(f"`{x}`") for x in docs.columns if x != "line_dedup"])
-    return docs.select(row.alias("__row"), *keys).join(dropped, ["rk1", "rk2"], "left").select("__row.*", result.alias("line_dedup"))
+    row = F.struct(*[F.col(f"`{x}`") for x in docs.columns if x != into])
+    return docs.select(row.alias("__row"), *keys).join(dropped, ["rk1", "rk2"], "left").select("__row.*", result.alias(into))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
