@@ -135,6 +135,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = c.materialize(source.mapInArrow(_again(count, words, passage, bits), f"rk1 long, rk2 long, id {kind}, first long, last long, h1 long, h2 long"), "sentence-spans")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "rk1", "rk2", "first")
     firsts = spans.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("origin")).where(F.col("n") > 1)
+    firsts = c.materialize(firsts.select("h1", "h2", "origin"), "first-spans")  # a plain table: the spans of the join can be split
     covered = spans.join(firsts, ["h1", "h2"]).where(place != F.col("origin"))
     gone = covered.groupBy("rk1", "rk2").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     got = source.join(gone, ["rk1", "rk2"], "left").select("id", "text", "spans").mapInArrow(_cut, f"id {kind}, n_sentences long, n_removed long, text string")

@@ -90,7 +90,7 @@ def test_language_margin_separates():
     assert np.mean(np.sign(x @ w[:-1] + w[-1]) == y) > 0.97
 
 
-@pytest.mark.parametrize("keep_first,min_docs,batches", [(False, 10, 4), (True, 10, 3), (False, 2, 1)])
+@pytest.mark.parametrize("keep_first,min_docs,batches", [(False, 10, 4), (True, 10, 3), (False, 2, 1), (True, 10, 8), (True, 10, 16), (False, 10, 16)])
 def test_line_dedup(docs, rows, empty, keep_first, min_docs, batches):
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(FOLD)
     lines = [(r[1] or "").split("\n") for r in rows]
@@ -114,6 +114,16 @@ def test_line_dedup(docs, rows, empty, keep_first, min_docs, batches):
     assert "Python" not in line_dedup.dedup_lines(docs)._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("batches", [1, 4, 8, 16])
+def test_a_shared_line_stays_in_the_first_document(spark, batches):
+    table = spark.createDataFrame([(i, f"own {i}\nshared") for i in range(60)] + [(None, "none\nshared")], "doc_id long, text string")
+    got = {r.doc_id: (r.batch, r.kept) for r in line_dedup.dedup_lines(table, keep_first=True, batches=batches).select(
+        "doc_id", F.pmod(F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text")), F.lit(batches)).alias("batch"), "line_dedup.kept").collect()}
+    first = min((b, i is None, i or 0) for i, (b, _) in got.items())
+    assert [i for i, (_, kept) in got.items() if "shared" in kept] == [None if first[1] else first[2]]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("larkspur_run_")]
+
+
 def test_quality(spark, docs, rows, empty):
     def plain(t):
         w = SPACED.findall(t or "")
