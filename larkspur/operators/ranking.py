@@ -164,24 +164,25 @@ def interleave(lists: DataFrame, n: int, part: str | None = None) -> DataFrame:
     return lists.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
 
 
-def recent_pool(promoted: DataFrame, catalog: DataFrame, n: int, order: list[Column], bounds=PRICE_BOUNDS) -> DataFrame:
+def recent_pool(promoted: DataFrame, catalog: DataFrame, n: int, order: list[Column], bounds=PRICE_BOUNDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """The two recency lists, whole up to their fetch limit n, and the retrieval pool: both interleaved and cut to n.
 
-    A row per item with its rank in each list (null where it is not listed) and its position in the pool (null beyond
-    the cut). Both lists are cut to n by top-k selection before they are ranked, so the unpartitioned ranks below run
-    over at most 2n rows.
+    A row per item with its feature keys (or the columns to carry), its rank in each list (null where it is not listed)
+    and its position in the pool (null beyond the cut). Both lists are cut to n by top-k selection before they are
+    ranked, so the unpartitioned ranks below run over at most 2n rows.
     """
     def head(df, index):
         top = df.orderBy(*order).limit(n)
         w = Window.orderBy(*order)
-        return top.select("item_id", feature_keys(df, bounds).alias("keys"), F.lit(index).alias("list_index"),
-                          F.row_number().over(w).alias("rank"))
+        own = [F.col(c) for c in carry] or [feature_keys(df, bounds).alias("keys")]
+        return top.select("item_id", *own, F.lit(index).alias("list_index"), F.row_number().over(w).alias("rank"))
     both = head(promoted, 0).unionByName(head(catalog, 1))
     in_list = lambda i: F.min(F.when(F.col("list_index") == i, F.col("rank")))
-    once = both.groupBy("item_id").agg(F.first("keys").alias("keys"), in_list(0).alias("promoted_rank"), in_list(1).alias("catalog_rank"),
+    own = carry or ("keys",)
+    once = both.groupBy("item_id").agg(*[F.first(c).alias(c) for c in own], in_list(0).alias("promoted_rank"), in_list(1).alias("catalog_rank"),
                                        F.min(F.struct("rank", "list_index")).alias("place"))
     position = F.row_number().over(Window.orderBy("place"))
-    return once.withColumn("position", position).select("item_id", "keys", "promoted_rank", "catalog_rank", F.when(F.col("position") <= n, F.col("position")).alias("position"))
+    return once.withColumn("position", position).select("item_id", *own, "promoted_rank", "catalog_rank", F.when(F.col("position") <= n, F.col("position")).alias("position"))
 
 
 def retrieval_queues(sessions: DataFrame, pool: DataFrame, persona: DataFrame | None = None, salt: str = "") -> DataFrame:
@@ -389,6 +390,13 @@ def slate_metrics(slates: DataFrame) -> DataFrame:
         js_round(F.array_min(pairs), 4).alias("style_distance_top4_min"))
 
 
+def pool_normalized(ranked: DataFrame) -> DataFrame:
+    """Scores spread over 0 to 1 within each session's pool; 0 where they are all equal."""
+    whole = Window.partitionBy("session_id")
+    low, high = F.min("score").over(whole), F.max("score").over(whole)
+    return ranked.withColumn("relevance", F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(0.0))
+
+
 def score_stats(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("session_id").agg(
         F.count("*").alias("total"), F.count_if(F.col("score") > 0).alias("non_zero"), F.min("score").alias("min_score"),

@@ -11,7 +11,6 @@ from larkspur.operators import preferences as P
 from larkspur.operators import ranking as R
 from larkspur.operators import shaping as S
 from larkspur.operators.review import recipe_gate
-from larkspur.plans import decks as D
 from larkspur.plans.q_joins import as_of
 from larkspur.plans.q_preferences import BOUNDS, PERSONA, TOP14, WEIGHTS, personas, weights
 from larkspur.plans.q_quality import r4, sql_r4
@@ -88,7 +87,7 @@ _QUEUES = f"""{WEIGHTS}, {TOP14}, {_POOL}, {PERSONA}, ses AS (SELECT DISTINCT se
     q AS (SELECT session_id, 'preference_match' AS queue, row_number() OVER (PARTITION BY session_id ORDER BY overlap DESC, pos) AS rank, item_id FROM ov WHERE overlap > 0
       UNION ALL SELECT session_id, 'fresh_promoted', rk, item_id FROM ses CROSS JOIN lst WHERE li = 0 AND rk <= {POOL_N}
       UNION ALL SELECT session_id, 'fresh_catalog', rk, item_id FROM ses CROSS JOIN lst WHERE li = 1 AND rk <= {POOL_N}
-      UNION ALL SELECT session_id, 'long_tail', row_number() OVER (PARTITION BY session_id ORDER BY pos), item_id FROM ov WHERE pos > floor((SELECT count(*) FROM pool) * 0.35)
+      UNION ALL SELECT session_id, 'long_tail', row_number() OVER (PARTITION BY session_id ORDER BY pos), item_id FROM ov WHERE pos > floor((SELECT count(*) FROM pool) * 0.35::DOUBLE)
       UNION ALL SELECT session_id, 'serendipity', row_number() OVER (PARTITION BY session_id ORDER BY {sql_hash("session_id || ':' || item_id")}, pos), item_id FROM ov WHERE overlap = 0
       UNION ALL SELECT k.session_id, 'persona_similar', p.rank, p.item_id FROM picks k JOIN per p USING (pick_hash) WHERE k.session_id IN (SELECT session_id FROM ses))"""
 _QV = "items_b swipes_b interactions_b likes_i"
@@ -114,7 +113,7 @@ def rnk_retrieval_queues(t):
 _RATIO = """rt(queue, o, known, fresh) AS (VALUES ('preference_match', 0, 0.30::DOUBLE, 0.0::DOUBLE), ('persona_similar', 1, 0.20, 0.27), ('fresh_promoted', 2, 0.22, 0.24),
     ('fresh_catalog', 3, 0.18, 0.33), ('long_tail', 4, 0.07, 0.28), ('serendipity', 5, 0.03, 0.15)),
   rr AS (SELECT s.session_id, r.queue, r.o, CASE WHEN r.queue = 'persona_similar' AND NOT s.hs THEN 0 WHEN s.hp THEN r.known ELSE r.fresh END AS ratio FROM fl s CROSS JOIN rt r),
-  fq AS (SELECT *, CASE WHEN ratio > 0 THEN greatest(1, floor({cap} * (ratio / sum(ratio) OVER (PARTITION BY session_id)))) ELSE 0 END AS base FROM rr),
+  fq AS (SELECT *, CASE WHEN ratio > 0 THEN greatest(1, ({cap} * round(ratio * 100)::BIGINT) // sum(round(ratio * 100)::BIGINT) OVER (PARTITION BY session_id)) ELSE 0 END AS base FROM rr),
   rem AS (SELECT *, {cap} - sum(base) OVER (PARTITION BY session_id) AS left_over, sum(CASE WHEN ratio > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id) AS open,
      row_number() OVER (PARTITION BY session_id, ratio > 0 ORDER BY o) - 1 AS idx FROM fq),
   tgt AS (SELECT session_id, queue, CAST(base + CASE WHEN ratio > 0 AND left_over > 0 THEN floor(left_over / open) + CASE WHEN idx < left_over % open THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS quota FROM rem)"""
@@ -219,33 +218,6 @@ def rnk_model_cap(t):
     return R.key_cap(rows, "model_key", 1, 6).select("session_id", "item_id", "deferred", F.col("position").cast("bigint").alias("position"))
 
 
-def slate_source(t, k: int = 60):
-    attrs = D.slate_attributes(t.items_b).join(
-        t.items_b.select("item_id", F.concat(F.lit("https://shop.example/"), "title", F.lit("/"), (F.col("item_id") % 400).cast("string")).alias("canonical_url")), "item_id")
-    return ranked(t, k).join(attrs, "item_id").withColumn("featured", F.col("item_id") % 5 == 0)
-
-
-@query("rnk_mmr")
-def rnk_mmr(t):
-    rows = ranked(t, 60).join(t.items_b.select("item_id", R.style_tokens(t.items_b, R.MMR_FAMILIES).alias("tokens")), "item_id")
-    return S.unpack(S.apply_mmr(S.slate_rows(rows), 0.7, 40))
-
-
-@query("rnk_near_duplicates")
-def rnk_near_duplicates(t):
-    return S.unpack(S.apply_near_duplicates(S.slate_rows(slate_source(t))))
-
-
-@query("rnk_featured_slots")
-def rnk_featured_slots(t):
-    return S.unpack(S.apply_featured(S.slate_rows(slate_source(t)), S.ShapeOptions(featured_every=5, retailer_cooldown=2)))
-
-
-@query("rnk_accept_dedupe")
-def rnk_accept_dedupe(t):
-    return S.unpack(S.apply_accept_dedupe(S.slate_rows(slate_source(t)), 40, min_distance=0.4))
-
-
 @query("rnk_slate_metrics", f"""WITH {topk_sql(8)}, x AS (SELECT t.*, i.retailer || '::' || i.title AS fam, CAST(i.source_id % 4 AS VARCHAR) AS src,
       list_filter(['style:' || word2, 'style:' || type_tag, 'material:' || material, 'color:' || color_family], lambda z: z IS NOT NULL) AS tk FROM top t JOIN items_b i USING (item_id)),
     c AS (SELECT session_id, src, count(*) AS n FROM x GROUP BY 1, 2), pr AS (SELECT a.session_id, min(1.0::DOUBLE - len(list_intersect(a.tk, b.tk)) / len(list_distinct(list_concat(a.tk, b.tk)))) AS d
@@ -259,12 +231,6 @@ def rnk_slate_metrics(t):
     return R.slate_metrics(ranked(t, 8).join(attrs, "item_id"))
 
 
-@query("rnk_build_decks")
-def rnk_build_decks(t):
-    personas_ = session_personas(t).select("session_id", "item_id", "rank")
-    return D.build_decks(weights(t), t.items_b, t.items_b.where("item_id % 3 = 0"), t.swipes_b, personas_, as_of(t), bounds=BOUNDS, keep=materialize)
-
-
 _JAC = """SELECT i.item_id, j.item_id AS other_id, list_filter(['style:' || i.word2, 'style:' || i.type_tag, 'material:' || i.material, 'color:' || i.color_family], lambda z: z IS NOT NULL) AS a,
     list_filter(['style:' || j.word2, 'style:' || j.type_tag, 'material:' || j.material, 'color:' || j.color_family], lambda z: z IS NOT NULL) AS b FROM items_b i JOIN items_b j ON j.item_id = i.item_id + 1"""
 
@@ -326,7 +292,7 @@ def evl_ranking_study(t):
     w = materialize(weights(t), "study_weights")
     tokens = t.items_b.select("item_id", R.style_tokens(t.items_b, R.MMR_FAMILIES).alias("tokens"))
     base = materialize(R.preference_topk(w, t.items_b, 80, BOUNDS), "study_base")
-    mmr = S.unpack(S.apply_mmr(S.slate_rows(base.join(tokens, "item_id")), 0.95, 80)).withColumnRenamed("position", "rank")
+    mmr = S.unpack(S.reorder(S.slate_rows(base.join(tokens, "item_id")), lambda r: S.mmr(r, 0.95, 80))).withColumnRenamed("position", "rank")
     rate = R.adaptive_rate(0.08, F.col("confidence"))
     conf = P.preference_confidence(w)
     def variant(name, df, r):

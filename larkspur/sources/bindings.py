@@ -15,6 +15,8 @@ RAW_TABLES = (
 
 
 class SparkDialect:
+    text = "STRING"
+
     def ref(self, name: str) -> str:
         return f"«{name}»"
 
@@ -40,6 +42,8 @@ class SparkDialect:
 
 
 class DuckDialect(SparkDialect):
+    text = "VARCHAR"
+
     def ref(self, name: str) -> str:
         return name
 
@@ -96,6 +100,8 @@ def with_views(body: str, *names: str) -> str:
     body = body.strip()
     if not ctes:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
@@ -149,6 +155,24 @@ def items_b(d):
     FROM {d.ref('part')}"""
 
 
+@view("items_b")
+def deck_items_b(d):
+    """Items with what the deck's gates read: catalog control, images, surface decision, scene, url, taxonomy facets."""
+    code = "concat(chr(CAST(97 + item_id % 23 AS INT)), chr(CAST(97 + (item_id * 7) % 25 AS INT)))"
+    return f"""
+    SELECT item_id, concat(word2, ' ', {code}, CASE item_id % 9 WHEN 0 THEN ' soffbord' WHEN 1 THEN ' stol' ELSE ' soffa' END) AS title, word2, {code} AS code,
+           brand, price_amount, color_family, size_class, material, style_tags, type_tag, seat_count, image_count, source_id, retailer, is_active, creative_score, updated_day,
+           CASE item_id % 13 WHEN 0 THEN false WHEN 1 THEN true END AS catalog_included,
+           CASE item_id % 19 WHEN 0 THEN {d.arr("'No-Valid-Images'")} WHEN 1 THEN {d.arr("'low-contrast'")} END AS issues,
+           item_id % 23 < 5 AS images_validated, item_id % 23 AS valid_image_count,
+           CASE item_id % 17 WHEN 0 THEN 'REJECT' WHEN 1 THEN 'ACCEPT' END AS decision, CASE item_id % 4 WHEN 0 THEN 'sofa' WHEN 1 THEN 'armchair' END AS category,
+           CASE WHEN item_id % 8 <> 0 THEN concat('https://shop.example/p/', CAST(item_id % 900 AS {d.text})) END AS canonical_url,
+           CASE item_id % 3 WHEN 0 THEN 'contextual' WHEN 1 THEN 'studio_cutout' END AS scene_type,
+           CASE item_id % 5 WHEN 0 THEN '2' WHEN 1 THEN '3' WHEN 2 THEN '4_plus' END AS seat_bucket, CASE item_id % 5 WHEN 3 THEN '2_seater' WHEN 4 THEN '3_seater' END AS sub_category,
+           item_id % 3 = 0 AS modular, item_id % 4 = 1 AS small_space
+    FROM {d.ref('items_b')}"""
+
+
 # --------------------------------------------------------------------------- interactions
 
 
@@ -172,6 +196,17 @@ def swipes_b(d):
     FROM {d.ref('interactions_b')} WHERE event_type IN ('purchase', 'error')"""
 
 
+@view("interactions_b")
+def deck_sessions_b(d):
+    """Deck requests: one row per session, with its cohort, facet wishes and onboarding constraints."""
+    return f"""
+    SELECT session_id, CASE WHEN session_id % 6 <> 5 THEN session_id % 12 END AS pick_hash, session_id % 2 = 0 AS onboarded,
+           CASE session_id % 10 WHEN 7 THEN 'small' END AS want_size_class, CASE session_id % 14 WHEN 1 THEN 'red' END AS want_color_family,
+           CASE session_id % 5 WHEN 0 THEN '2' WHEN 1 THEN '3' END AS want_seat_bucket, session_id % 8 = 3 AS modular_only, session_id % 9 = 4 AS want_small_space,
+           CASE session_id % 3 WHEN 0 THEN 920.0E0 END AS budget_min, CASE session_id % 4 WHEN 1 THEN 985.0E0 END AS budget_max
+    FROM {d.ref('interactions_b')} GROUP BY session_id"""
+
+
 @view("swipes_b")
 def likes_i(d):
     return f"""
@@ -437,9 +472,9 @@ def onboarding_b(d):
     FROM {d.ref('customer')}"""
 
 
-@view("customer")
+@view("customer", "part")
 def picks_b(d):
-    ids = [f"(c_custkey * 3 + {17 * j}) % 200" for j in range(4)]
+    ids = [f"1 + (c_custkey * 37 + {17 * j}) % (SELECT count(*) FROM {d.ref('part')})" for j in range(4)]
     return f"SELECT c_custkey AS session_id, {d.arr(*ids)} AS picked FROM {d.ref('customer')}"
 
 
