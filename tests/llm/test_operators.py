@@ -86,8 +86,8 @@ def test_language_margin_separates():
     x = rng.normal(size=(400, 6)).astype(np.float32)
     y = np.where(x[:, 0] + 0.2 * x[:, 1] > 0, 1, -1).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    w = language.fit_margin(x, y)
-    assert np.mean(np.sign(x @ w[:-1] + w[-1]) == y) > 0.97
+    x = language.with_bias(x)
+    assert np.mean(np.sign(x @ language.fit_margin(x, y)) == y) > 0.97
 
 
 @pytest.mark.parametrize("keep_first,min_docs,batches", [(False, 10, 4), (True, 10, 3), (False, 2, 1), (True, 10, 8), (True, 10, 16), (False, 10, 16)])
