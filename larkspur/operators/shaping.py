@@ -46,9 +46,8 @@ def _nothing(rows: Column) -> Column:
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """|a & b| / |a | b|, 0 where both are empty."""
-    return let(F.size(F.array_intersect(a, b)), lambda both: F.when(
-        F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) > both, both / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - both)).otherwise(0.0))
+    """|a & b| / |a | b| of distinct tokens, 0 where both are empty."""
+    return let(F.size(F.array_intersect(a, b)), lambda both: F.when(F.size(a) + F.size(b) > both, both / (F.size(a) + F.size(b) - both)).otherwise(0.0))
 
 
 def closest(tokens: Column, rows: Column) -> Column:
@@ -169,10 +168,11 @@ def accept(rows: Column, cap: int, head: int = 12, first: int = 4, min_distance:
     return let(rows, lambda all_rows: fold(all_rows, {"out": _nothing(all_rows)}, step, lambda s: s["out"]))
 
 
-def mmr(rows: Column, lam: float = 0.95, top_n: int = 80) -> Column:
+def mmr(rows: Column, lam: float = 0.95, top_n: int = 80, need: int | None = None) -> Column:
     """Maximal marginal relevance over the first `top_n` rows, scores spread over 0 to 1 among them; the tail stays.
 
-    Ties go to the more relevant row, then to the earlier one.
+    Ties go to the more relevant row, then to the earlier one. Where only the first `need` rows will be read, no more are
+    chosen and none follow.
     """
     def shape(all_rows):
         head = F.slice(all_rows, 1, max(1, top_n))
@@ -197,7 +197,10 @@ def mmr(rows: Column, lam: float = 0.95, top_n: int = 80) -> Column:
             return let(best["turn"], taken)
 
         left = let(scores, lambda v: let(F.struct(F.array_min(v).alias("low"), F.array_max(v).alias("high")), lambda b: relevant(b["low"], b["high"])))
-        return F.aggregate(head, F.struct(_nothing(all_rows).alias("out"), left.alias("left")), step, lambda s: F.concat(s["out"], F.slice(all_rows, F.lit(max(1, top_n) + 1), F.size(all_rows))))
+        start = F.struct(_nothing(all_rows).alias("out"), left.alias("left"))
+        if need is not None and need <= top_n:
+            return F.aggregate(F.slice(head, 1, need), start, step, lambda s: s["out"])
+        return F.aggregate(head, start, step, lambda s: F.concat(s["out"], F.slice(all_rows, F.lit(max(1, top_n) + 1), F.size(all_rows))))
 
     return let(rows, lambda all_rows: F.when((F.size(all_rows) > 1) & F.lit(lam < 1), shape(all_rows)).otherwise(all_rows))
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.numbers import js_round
 from larkspur.functions.text import norm_token, norm_tokens
+from larkspur.session import materialize
 
 # Size classes, region spellings, match weights and threshold.
 SIZE_CLASSES = ("small", "medium", "large", "compact")
@@ -108,37 +109,84 @@ def match_columns(p: str = "p", s: str = "s") -> dict[str, Column]:
 PROFILE_FIELDS = ("style_tags", "size_classes", "budget_min", "budget_max", "geo_region")
 
 
-def match_segments(profiles: DataFrame, segments: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
-    """(session_id, segment_id, match_score) of matching pairs, without a nested loop.
+ANY = "*"  # in place of a value that a segment does not ask for
+HOT_ROWS, SALTS = 1 << 16, 32
 
-    A required dimension must match, so every pair that can match shares the
-    segment's region, else one of its style tags, else one of its sizes; each
-    segment joins on the first of these it has. Segments that require none of
-    them (budget only, or nothing) are few by nature: they travel as one array
-    value and are tested inside the profile row.
+
+def _index(rows: DataFrame, region: Column, styles: Column, sizes: Column) -> DataFrame:
+    """A row for each (region, style, size) key of the given lists."""
+    return (rows.withColumn("_region", F.explode(region)).withColumn("_style", F.explode(styles)).withColumn("_size", F.explode(sizes)))
+
+
+def match_segments(profiles: DataFrame, segments: DataFrame, threshold: float = MATCH_THRESHOLD, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+    """(session_id, segment_id, match_score) of matching pairs, through an inverted index.
+
+    A segment stands under every key (region, style, size) that satisfies it, a dimension it does not ask for as ANY; a
+    profile looks under each of its own values and ANY. So a pair meets only where region, style and size agree, and its
+    budgets are tested inside the join; it is kept under the least of its common keys, once. Profile keys of `hot_rows`
+    rows or more are dealt over salts, and the segments under them repeated for each salt.
     """
-    s = segments.withColumns({
-        "_by": F.when(F.col("geo_region").isNotNull(), "geo").when(F.size("style_tags") > 0, "style")
-        .when(F.size("size_classes") > 0, "size").otherwise("open")})
-    pack = lambda df, key: df.select(key, F.struct(*PROFILE_FIELDS).alias("x"))
-    p_row, s_row = pack(profiles, "session_id").withColumnRenamed("x", "p"), s.select("segment_id", "_by", F.struct(*PROFILE_FIELDS).alias("s"))
-
-    def keyed(kind: str, p_keys: Column, s_keys: Column) -> DataFrame:
-        left = p_row.select("session_id", "p", F.explode(p_keys).alias("_key"))
-        right = s_row.where(F.col("_by") == kind).select("segment_id", "s", F.explode(s_keys).alias("_key"))
-        pairs = left.join(right, "_key").drop("_key")
-        return pairs if kind == "geo" else pairs.dropDuplicates(["session_id", "segment_id"])
-
-    geo = keyed("geo", F.array("p.geo_region"), F.array("s.geo_region"))
-    style = keyed("style", F.col("p.style_tags"), F.col("s.style_tags"))
-    size = keyed("size", F.col("p.size_classes"), F.col("s.size_classes"))
-    free = s_row.where(F.col("_by") == "open").agg(F.collect_list(F.struct("segment_id", "s"))).scalar()
-    rest = p_row.select("session_id", "p", F.inline(free))
-    pairs = geo.unionByName(style).unionByName(size).unionByName(rest)
+    some = lambda v: F.concat(v, F.array(F.lit(ANY)))
+    asked = lambda v: F.when(F.size(v) > 0, v).otherwise(F.array(F.lit(ANY)))
+    clean = lambda df: df.withColumns({c: F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))) for c in ("style_tags", "size_classes")})
+    pack = lambda df, key, x: df.select(key, F.struct(*PROFILE_FIELDS).alias(x))
+    p, s = pack(clean(profiles), "session_id", "p"), pack(clean(segments), "segment_id", "s")
+    left = _index(p, F.array_compact(F.array(F.col("p.geo_region"), F.lit(ANY))), some(F.col("p.style_tags")), some(F.col("p.size_classes")))
+    right = _index(s, F.array(F.coalesce("s.geo_region", F.lit(ANY))), asked(F.col("s.style_tags")), asked(F.col("s.size_classes")))
+    keys = ["_region", "_style", "_size"]
+    left = left.join(right.select(*keys).distinct(), keys, "left_semi")  # keys that some segment stands under
+    hot = left.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= hot_rows).select(*keys, F.lit(salts).alias("_salts"))
+    width = F.coalesce("_salts", F.lit(1))
+    left = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64("session_id"), width).cast("int")).drop("_salts")
+    right = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), width - 1))).drop("_salts")
+    common = lambda x: F.coalesce(F.array_min(F.array_intersect(F.col(f"p.{x}"), F.col(f"s.{x}"))), F.lit(ANY))
+    asks = F.col("s.budget_min").isNotNull() | F.col("s.budget_max").isNotNull()
+    knows = F.col("p.budget_min").isNotNull() | F.col("p.budget_max").isNotNull()
+    fits = ~asks | (knows & budget_overlap(F.col("s.budget_min"), F.col("s.budget_max"), F.col("p.budget_min"), F.col("p.budget_max")))
+    once = (F.col("l._style") == F.when(F.size("s.style_tags") > 0, common("style_tags")).otherwise(ANY)) & (
+        F.col("l._size") == F.when(F.size("s.size_classes") > 0, common("size_classes")).otherwise(ANY))
+    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*keys, "_salt"]]
+    pairs = left.alias("l").join(right.alias("r"), same[0] & same[1] & same[2] & same[3] & fits & once)
     scored = pairs.withColumns(match_columns())
     return scored.where(F.col("all_required") & (F.col("match_score") >= threshold)).select("session_id", "segment_id", "match_score")
 
 
+def prefix_counts(points: DataFrame, probes: DataFrame) -> DataFrame:
+    """(id, below): how many points of the probe's group lie below its value. points: (group, value); probes: (id, group, value).
+
+    Points and probes are sorted together over ranges of (group, value). A range counts its own points; what the ranges
+    before it hold of the same group is added from a table of one row per range and group. So one group in nearly all
+    rows is spread over all ranges.
+    """
+    both = points.select("group", "value", F.lit(1).alias("point"), F.lit(None).cast(probes.schema["id"].dataType).alias("id")).unionByName(
+        probes.select("group", "value", F.lit(0).alias("point"), "id"))
+    ranged = materialize(both.repartitionByRange("group", "value").withColumn("range", F.spark_partition_id()), "ranged-points")
+    totals = ranged.groupBy("group", "range").agg(F.sum("point").alias("n"))
+    before = totals.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("group").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.sum("point").over(Window.partitionBy("group", "range").orderBy("value", "point").rowsBetween(Window.unboundedPreceding, 0))
+    counted = ranged.withColumn("own", own).where(F.col("point") == 0)
+    return counted.join(before, ["group", "range"]).select("id", (F.col("own") + F.col("before")).alias("below"))
+
+
+def overlap_counts(profiles: DataFrame, segments: DataFrame) -> DataFrame:
+    """(session_id, overlapping): segments of the profile's region whose budget range meets its own; none, no row.
+
+    profiles: (session_id, geo_region, budget_min, budget_max); segments alike without the id. Of the region's segments
+    those that end below the profile's range and those that begin above it do not meet it, and none does both; so three
+    counts of sorted end points are enough and no pair is formed. Missing bounds are open; crossed ranges meet nothing.
+    """
+    low, high = F.coalesce("budget_min", F.lit(float("-inf"))), F.coalesce("budget_max", F.lit(float("inf")))
+    fit = lambda df: df.where(F.col("geo_region").isNotNull() & (low <= high)).select("*", low.alias("_lo"), high.alias("_hi"))
+    p, s = fit(profiles), fit(segments)
+    total = s.groupBy("geo_region").agg(F.count("*").alias("_all"))
+    points = lambda c: s.select(F.col("geo_region").alias("group"), c.alias("value"))
+    probes = lambda c: p.select(F.col("session_id").alias("id"), F.col("geo_region").alias("group"), c.alias("value"))
+    ends = prefix_counts(points(F.col("_hi")), probes(F.col("_lo"))).select(F.col("id").alias("session_id"), F.col("below").alias("_ends"))
+    begins = prefix_counts(points(-F.col("_lo")), probes(-F.col("_hi"))).select(F.col("id").alias("session_id"), F.col("below").alias("_begins"))
+    left = p.select("session_id", "geo_region").join(total, "geo_region").join(ends, "session_id").join(begins, "session_id")
+    return left.select("session_id", (F.col("_all") - F.col("_ends") - F.col("_begins")).alias("overlapping")).where(F.col("overlapping") > 0)
+
+
 def campaign_segments(campaigns: DataFrame, segments: DataFrame) -> DataFrame:
     """Criteria of each campaign: its own snapshot, else the segment table; campaigns with neither drop."""
     table = segments.select("segment_id", F.struct(*PROFILE_FIELDS).alias("_table"))

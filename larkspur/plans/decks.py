@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.folds import let
 from larkspur.functions.numbers import js_round
-from larkspur.functions.staging import pin
+from larkspur.functions.staging import by_key, pin
 from larkspur.functions.hashing import string_hash32
 from larkspur.operators import filters as G
 from larkspur.operators import ranking as R
@@ -122,40 +122,51 @@ def passes(r: Column) -> Column:
 
 
 def queue_lists(facts: DataFrame, pool: DataFrame, salt: str = "") -> DataFrame:
-    """Adds `queues`: for each queue, in the order of the quota pass, its rows that this session may be shown."""
+    """Adds `items`, the rows this session may be shown, and `queues`: for each queue, in the order of the quota pass,
+    places in them."""
     size = pool.agg(F.count("position")).scalar()
     listed = pool.agg(F.array_sort(F.collect_list(F.struct("item_id", "position", "promoted_rank", "catalog_rank", "row", "offer")))).scalar()
     points = lambda r: F.aggregate(F.filter(r["keys"], lambda k: F.array_contains("preferred", k)), F.lit(0), lambda acc, k: acc + R.overlap_points(k))
-    near = F.transform("_pool", lambda p: F.struct(*[p[x].alias(x) for x in ("item_id", "position", "promoted_rank", "catalog_rank", "row", "offer")], points(p["row"]).alias("overlap"),
-                                                  (passes(p["row"]) & p["row"]["on_surface"]).alias("ok"), passes(p["row"]).alias("fits")))
-    staged = pin(facts.select("*", listed.alias("_pool"), size.alias("_n")), _near=near).drop("_pool")
-    pooled = lambda p: p["ok"] & p["position"].isNotNull()
+    own = ("item_id", "position", "promoted_rank", "catalog_rank", "row", "offer")
+    near = F.transform(F.filter("_pool", lambda p: passes(p["row"])), lambda p: F.struct(*[p[x].alias(x) for x in own], points(p["row"]).alias("overlap")))
+    cohort = F.filter("cohort", lambda p: passes(p["row"]) & p["row"]["on_surface"])
+    staged = pin(by_key(facts, "session_id").select("*", listed.alias("_pool"), size.alias("_n")), _near=near, _own=cohort).drop("_pool")
+    shown = lambda p: p["row"]["on_surface"]
+    pooled = lambda p: shown(p) & p["position"].isNotNull()
     offered = lambda p: p["offer"]["campaign_id"].isNull() | F.coalesce(F.array_contains("segments", p["offer"]["segment_id"]), F.lit(False))
     seed = lambda p: F.abs(string_hash32(F.concat(F.lit(salt), F.col("session_id").cast("string"), F.lit(":"), p["item_id"].cast("string"))))
-    by = lambda cond, key: F.transform(F.array_sort(F.transform(F.filter("_near", cond), lambda p: F.struct(key(p).alias("by"), p["position"].alias("at"), p["item_id"].alias("item_id"), p["row"].alias("row")))), lambda s: s["row"])
+    # places in _near, by the key and then the place in the pool
+    by = lambda cond, key: F.transform(F.array_sort(F.filter(F.transform("_near", lambda p, i: F.when(cond(p), F.struct(key(p).alias("by"), p["position"].alias("at"), p["item_id"].alias("item_id"), (i + 1).alias("i")))), lambda x: x.isNotNull())), lambda s: s["i"])
     lists = {
         "preference_match": by(lambda p: pooled(p) & (p["overlap"] > 0), lambda p: -p["overlap"]),
-        "persona_similar": F.transform(F.filter("cohort", lambda p: passes(p["row"]) & p["row"]["on_surface"]), lambda p: p["row"]),
-        "fresh_promoted": by(lambda p: p["fits"] & p["promoted_rank"].isNotNull() & p["offer"].isNotNull() & offered(p), lambda p: p["promoted_rank"]),
-        "fresh_catalog": by(lambda p: p["ok"] & p["catalog_rank"].isNotNull(), lambda p: p["catalog_rank"]),
+        "persona_similar": F.transform("_own", lambda p, i: F.size("_near") + i + 1),
+        "fresh_promoted": by(lambda p: p["promoted_rank"].isNotNull() & p["offer"].isNotNull() & offered(p), lambda p: p["promoted_rank"]),
+        "fresh_catalog": by(lambda p: shown(p) & p["catalog_rank"].isNotNull(), lambda p: p["catalog_rank"]),
         "long_tail": by(lambda p: pooled(p) & (p["position"] > F.floor(F.col("_n") * R.LONG_TAIL_START)), lambda p: F.lit(0)),
         "serendipity": by(lambda p: pooled(p) & (p["overlap"] == 0), seed),
     }
-    return pin(staged, queues=F.array(*[lists[q] for q in R.QUEUE_ORDER])).drop("_near", "_n")
+    rows = F.concat(F.transform("_near", lambda p: p["row"]), F.transform("_own", lambda p: p["row"]))
+    return pin(staged, queues=F.array(*[lists[q] for q in R.QUEUE_ORDER]), items=rows).drop("_near", "_own", "_n")
+
+
+STRETCH = 16
 
 
 # ---- acceptance ---------------------------------------------------------------------------------------------
 
 
-def _moves(cap: int, head: int, quotas: bool) -> Column:
-    """What acceptance tries, in order: (list, whole rest or one row, whether the quota counts). Lists 6 to 11 hold the
-    studio cut-outs of queues 0 to 5."""
+def _moves(targets: Column, lists: Column, cap: int, head: int, quotas: bool) -> Column:
+    """What acceptance tries, in order, as numbers: list * 4 + 2 for its whole rest + 1 where the quota counts. Lists 6
+    to 11 hold the studio cut-outs of queues 0 to 5. A round leaves out queues that have met their quota or their end."""
     backfill = [R.QUEUE_ORDER.index(q) for q in R.BACKFILL_ORDER] if quotas else list(range(6))
-    rounds = max(max(R.queue_quota(cap, p, s).values()) for p in (True, False) for s in (True, False)) if quotas else 0
-    rest = lambda q: [(q, False, False)] * head + [(q, True, False)]
-    moves = [(q, False, True) for _ in range(rounds) for q in range(6)]
-    moves += [m for q in backfill for m in rest(q)] + [m for q in backfill for m in rest(q + 6)]
-    return F.array(*[F.lit(q * 4 + whole * 2 + quota) for q, whole, quota in moves])
+    rest = lambda q: [q * 4 + 2, *[q * 4] * head, q * 4 + 2]
+    tail = F.array(*[F.lit(m) for q in [*backfill, *(q + 6 for q in backfill)] for m in rest(q)])
+    if not quotas:
+        return tail
+    open_in = lambda q, r: (F.element_at(targets, q + 1) > r) & (F.size(F.element_at(lists, q + 1)) > r)
+    every = F.array(*[F.lit(q) for q in range(6)])
+    rounds = F.transform(F.sequence(F.lit(0), F.array_max(targets)), lambda r: F.transform(F.filter(every, lambda q: open_in(q, r)), lambda q: q * 4 + 1))
+    return F.concat(F.flatten(rounds), tail)
 
 
 def _targets(cap: int) -> Column:
@@ -169,8 +180,8 @@ def _targets(cap: int) -> Column:
     return out
 
 
-def acceptance(lists: Column, names: Column, targets: Column, moves: Column, o: DeckOptions) -> Column:
-    """Rows accepted from twelve lists, in order, as (queue, row).
+def acceptance(items: Column, lists: Column, names: Column, targets: Column, moves: Column, o: DeckOptions) -> Column:
+    """Rows accepted from twelve lists of places in `items`, in order, as (queue, row).
 
     One cursor a list; a row that is passed over is not offered again by its list. A url comes once; among the first
     `head` rows a family or model comes once, and the first few rows of an onboarded session keep their distance. In
@@ -183,7 +194,7 @@ def acceptance(lists: Column, names: Column, targets: Column, moves: Column, o:
         q, whole, quota = F.floor(move / 4).cast("int"), move.bitwiseAND(2) > 0, move.bitwiseAND(1) > 0
         n, cursor = F.size(s["out"]), at(s["cursors"], q)
         size = F.size(at(names, q))
-        idle = (n >= o.cap) | (cursor >= size) | (quota & (at(s["used"], q % 6) >= at(targets, q % 6)))
+        idle = (n >= o.cap) | (cursor >= size) | (whole & (n < o.head)) | (quota & (at(s["used"], q % 6) >= at(targets, q % 6)))
 
         def strict(r):
             new = ~F.array_contains(s["taken"], r["unique_key"])
@@ -192,15 +203,24 @@ def acceptance(lists: Column, names: Column, targets: Column, moves: Column, o:
             near = F.coalesce(S.closest(r["tokens"], s["out"]["row"]) < o.first_distance, F.lit(False))
             return new & ~(F.coalesce(F.col("onboarded"), F.lit(False)) & (n < o.first) & near)
 
-        def next_rows(rest):
-            keys = F.array_except(rest, s["taken"])
-            many = F.slice(keys, F.lit(1), F.when(whole, F.greatest(F.lit(0), o.cap - n)).otherwise(1))
-            place = lambda k: cursor + F.array_position(rest, k).cast("int")
-            one = F.slice(F.filter(F.sequence(cursor + 1, size), lambda i: strict(F.element_at(at(lists, q), i))), 1, 1)
-            return F.when(n < o.head, F.when(whole, F.slice(one, 1, 0)).otherwise(one)).otherwise(F.transform(many, place))
+        def found(rest):
+            """Places of the next row: of the first one that passes every test, or of the first one not taken yet."""
+            new = lambda: F.transform(F.slice(F.array_except(rest, s["taken"]), 1, 1), lambda k: cursor + F.array_position(rest, k).cast("int"))
+            tested = F.filter(F.sequence(cursor + 1, cursor + F.size(rest)), lambda i: strict(F.element_at(items, F.element_at(at(lists, q), i))))
+            return F.when(n < o.head, F.slice(tested, 1, 1)).otherwise(new())
+
+        def all_new(rest):
+            keys = F.slice(F.array_except(rest, s["taken"]), F.lit(1), F.greatest(F.lit(0), o.cap - n))
+            return F.transform(keys, lambda k: cursor + F.array_position(rest, k).cast("int"))
+
+        def next_rows():
+            """Mostly the next row is near, so a short stretch is looked at before the whole rest."""
+            rest = lambda k: F.slice(at(names, q), cursor + 1, k)
+            one = let(let(rest(F.lit(STRETCH)), found), lambda near: F.when((F.size(near) > 0) | (cursor + STRETCH >= size), near).otherwise(let(rest(size), found)))
+            return F.when(whole, let(rest(size), all_new)).otherwise(one)
 
         def moved(places):
-            rows = F.transform(places, lambda i: F.struct((q % 6).alias("queue"), F.element_at(at(lists, q), i).alias("row")))
+            rows = F.transform(places, lambda i: F.struct((q % 6).alias("queue"), F.element_at(items, F.element_at(at(lists, q), i)).alias("row")))
             return let(rows, lambda more: F.struct(
                 F.concat(s["out"], more).alias("out"), F.concat(s["taken"], more["row"]["unique_key"]).alias("taken"),
                 F.when(n < o.head, F.concat(s["families"], more["row"]["family_key"])).otherwise(s["families"]).alias("families"),
@@ -208,9 +228,9 @@ def acceptance(lists: Column, names: Column, targets: Column, moves: Column, o:
                 put(s["cursors"], q, F.when((F.size(places) == 0) | whole, size).otherwise(F.try_element_at(places, F.lit(1)))).alias("cursors"),
                 put(s["used"], q % 6, at(s["used"], q % 6) + F.size(places)).alias("used")))
 
-        return F.when(idle, s).otherwise(let(F.slice(at(names, q), cursor + 1, size), lambda rest: let(next_rows(rest), moved)))
+        return F.when(idle, s).otherwise(let(next_rows(), moved))
 
-    nothing = F.transform(F.slice(F.element_at(lists, 1), 1, 0), lambda r: F.struct(F.lit(0).alias("queue"), r.alias("row")))
+    nothing = F.transform(F.slice(items, 1, 0), lambda r: F.struct(F.lit(0).alias("queue"), r.alias("row")))
     none = F.array().cast("array<string>")
     state = F.struct(nothing.alias("out"), none.alias("taken"), none.alias("families"), none.alias("models"), F.array_repeat(F.lit(0), 12).alias("cursors"), F.array_repeat(F.lit(0), 6).alias("used"))
     return F.aggregate(moves, state, step, lambda s: s["out"])
@@ -219,18 +239,18 @@ def acceptance(lists: Column, names: Column, targets: Column, moves: Column, o:
 def accepted(queued: DataFrame, o: DeckOptions) -> DataFrame:
     """Adds `out` (rows in the order of acceptance) and `fallback`. A session that has seen all it may be shown gets it
     again; studio cut-outs wait until the other rows of all queues were tried."""
-    unseen = lambda q: F.filter(q, lambda r: ~F.array_contains("seen", r["item_id"]))
-    staged = pin(queued, _fresh=F.transform("queues", unseen))
+    it = lambda i: F.element_at(F.col("items"), i)
+    staged = pin(queued, _fresh=F.transform("queues", lambda q: F.filter(q, lambda i: ~F.array_contains("seen", it(i)["item_id"]))))
     staged = pin(staged, _again=F.forall("_fresh", lambda q: F.size(q) == 0))
-    behind = lambda r: r["cutout"] & F.lit(o.contextual_first)
-    scene = F.concat(F.transform("_fresh", lambda q: F.filter(q, lambda r: ~behind(r))), F.transform("_fresh", lambda q: F.filter(q, behind)))
+    behind = lambda i: it(i)["cutout"] & F.lit(o.contextual_first)
+    scene = F.concat(F.transform("_fresh", lambda q: F.filter(q, lambda i: ~behind(i))), F.transform("_fresh", lambda q: F.filter(q, behind)))
     again = F.concat("queues", F.transform("queues", lambda q: F.slice(q, 1, 0)))
-    staged = pin(staged, _lists=F.when(F.col("_again"), again).otherwise(scene), _targets=_targets(o.cap),
-                 _moves=F.when(F.col("_again"), _moves(o.cap, o.head, False)).otherwise(_moves(o.cap, o.head, True)))
-    staged = pin(staged, _names=F.transform("_lists", lambda q: q["unique_key"]))
-    staged = pin(staged, out=acceptance(F.col("_lists"), F.col("_names"), F.col("_targets"), F.col("_moves"), o))
+    staged = pin(staged, _lists=F.when(F.col("_again"), again).otherwise(scene), _targets=_targets(o.cap)).drop("_fresh", "queues")
+    moves = lambda quotas: _moves(F.col("_targets"), F.col("_lists"), o.cap, o.head, quotas)
+    staged = pin(staged, _names=F.transform("_lists", lambda q: F.transform(q, lambda i: it(i)["unique_key"])), _moves=F.when(F.col("_again"), moves(False)).otherwise(moves(True)))
+    staged = pin(staged, out=acceptance(F.col("items"), F.col("_lists"), F.col("_names"), F.col("_targets"), F.col("_moves"), o))
     fallback = F.when(F.size("out") == 0, "catalog_exhausted").when(F.col("_again"), "recycled_seen_items").otherwise("none")
-    return staged.withColumn("fallback", fallback).drop("_fresh", "_again", "_lists", "_targets", "_moves", "_names", "queues")
+    return staged.withColumn("fallback", fallback).drop("_again", "_lists", "_targets", "_moves", "_names", "items")
 
 
 # ---- ranking and shaping ------------------------------------------------------------------------------------
@@ -295,7 +315,7 @@ def build_slates(sessions: DataFrame, weights: DataFrame, items: DataFrame, offe
     facts = facts.withColumn("rate", R.adaptive_rate(o.exploration, F.col("confidence")) if o.exploration > 0 else F.lit(0.0))
     facts = facts.withColumn("_every", F.lit(o.shape.featured_every) if every is None else every if isinstance(every, Column) else F.lit(every))
     slates = ranked(accepted(queue_lists(facts, keep(pool, "deck_pool")), o), o)
-    slates = pin(slates, rows=S.mmr(F.col("rows"), o.mmr_lambda, o.mmr_top))
+    slates = pin(slates, rows=S.mmr(F.col("rows"), o.mmr_lambda, o.mmr_top, 2 * o.limit))
     slates = pin(slates, rows=S.explore(F.col("rows"), F.col("session_id"), F.col("rate"), o.limit, o.seed))
     slates = pin(slates, rows=S.shape_slate(F.col("rows"), o.shape, F.col("_every")))
     variant = R.variant_label(F.size("cohort") > 0, F.col("rate"))

@@ -77,10 +77,7 @@ def jn_segment_match(t):
 @query("jn_budget_overlap", """SELECT p.session_id, count(*) AS overlapping FROM profiles_b p JOIN segments_b s ON s.geo_region = p.geo_region
     AND greatest(coalesce(s.budget_min, -1e18), p.budget_min) <= least(coalesce(s.budget_max, 1e18), p.budget_max) GROUP BY 1""", _MV)
 def jn_budget_overlap(t):
-    p, s = t.profiles_b.alias("p"), t.segments_b.alias("s")
-    cond = (F.col("p.geo_region") == F.col("s.geo_region")) & T.budget_overlap(
-        F.col("s.budget_min"), F.col("s.budget_max"), F.col("p.budget_min"), F.col("p.budget_max"))
-    return p.join(s, cond).groupBy(F.col("p.session_id")).agg(F.count("*").alias("overlapping"))
+    return T.overlap_counts(t.profiles_b, t.segments_b)
 
 
 def snapshots(t):
@@ -136,16 +133,17 @@ def cmp_campaign_issues(t):
 
 
 @query("cmp_promoted_decision", f"""WITH {_MATCH}, {_ACTIVE},
-    cand AS (SELECT DISTINCT session_id, item_id, CASE WHEN item_id % 4 = 0 THEN NULL ELSE item_id % 60 END AS campaign_id FROM interactions_b),
-    cp AS (SELECT * FROM act WHERE status = 'active'), ps AS (SELECT DISTINCT l_suppkey AS campaign_id, l_partkey AS item_id FROM lineitem WHERE l_suppkey % 5 <> 0),
+    cand AS (SELECT DISTINCT session_id, item_id, CASE WHEN item_id % 4 = 0 THEN NULL ELSE 1 + item_id % (SELECT count(*) FROM supplier) END AS campaign_id FROM interactions_b),
+    cp AS (SELECT * FROM act WHERE status = 'active'), ps AS (SELECT DISTINCT l_suppkey AS campaign_id, l_partkey AS item_id FROM lineitem),
     r AS (SELECT c.*, cp.segment_id, cp.product_mode, c.campaign_id IN (SELECT campaign_id FROM ps) AS has_set, ps.item_id IS NOT NULL AS member, m.match_score
       FROM cand c LEFT JOIN cp ON cp.campaign_id = c.campaign_id LEFT JOIN ps ON ps.campaign_id = c.campaign_id AND ps.item_id = c.item_id
       LEFT JOIN (SELECT * FROM mt WHERE match_score >= 0.5) m ON m.session_id = c.session_id AND m.segment_id = cp.segment_id)
     SELECT session_id, item_id, CASE WHEN campaign_id IS NULL THEN 'legacy_promoted' WHEN segment_id IS NULL THEN 'campaign_not_found' WHEN product_mode IN ('selected', 'auto') AND has_set AND NOT member THEN 'product_set_mismatch'
       WHEN match_score IS NULL THEN 'segment_mismatch' ELSE 'eligible_campaign' END AS reason FROM r""", "profiles_b segments_b campaigns_b campaign_daily_b interactions_b")
 def cmp_promoted_decision(t):
-    cand = t.interactions_b.selectExpr("session_id", "item_id", "IF(item_id % 4 = 0, null, item_id % 60) AS campaign_id").distinct()
-    products = t.lineitem.where("l_suppkey % 5 <> 0").selectExpr("l_suppkey AS campaign_id", "l_partkey AS item_id").distinct()
+    n = t.supplier.agg(F.count("*")).scalar()
+    cand = t.interactions_b.select("session_id", "item_id", F.when(F.col("item_id") % 4 != 0, 1 + F.col("item_id") % n).alias("campaign_id")).distinct()
+    products = t.lineitem.selectExpr("l_suppkey AS campaign_id", "l_partkey AS item_id").distinct()
     out = T.promoted_decision(cand, t.campaigns_b.where("status = 'active'"), products, T.match_segments(profiles(t), segments(t)))
     return out.select("session_id", "item_id", "reason")
 

@@ -1,7 +1,6 @@
 """Ranking, shaping and targeting against brute force and invariants."""
 
 import random
-from collections import Counter
 
 import numpy as np
 import pytest
@@ -57,49 +56,14 @@ def test_overlap_plans_agree(catalog):
     assert rows(200_000) == rows(0)
 
 
-def test_mmr_order():
-    tokens = [frozenset(t) for t in (["m", "l", "b"], ["m", "l", "g"], ["v", "le", "br"], ["s", "w", "wh"], ["mi"])]
-    scores = np.array([1.0, 0.95, 0.9, 0.85, 0.2])
-    assert S.mmr_order(scores, tokens, 1.0, 4) == [0, 1, 2, 3, 4]
-    out = S.mmr_order(scores, tokens, 0.55, 4)
-    assert out[0] == 0 and out.index(2) < out.index(1) and out[4] == 4
-    assert S.mmr_order(scores, tokens, 0.5, 3)[3:] == [3, 4]
-    assert sorted(S.mmr_order(scores, tokens, 0.5, 5)) == [0, 1, 2, 3, 4]
-
-
-def test_near_duplicates_keep_head_unique_and_lose_nothing():
-    rng = random.Random(3)
-    for _ in range(50):
-        n = rng.randint(1, 60)
-        model = [rng.choice(["a", "b", "c", "d", "e", "f", "g", "h", "i", "j", None]) for _ in range(n)]
-        family = [m and f"r{rng.randint(0, 2)}::{m}" for m in model]
-        variant = [m and f"{m}::{rng.randint(0, 3)}" for m in model]
-        out = S.near_duplicate_order(list(range(n)), family, model, variant, [True] * n, [frozenset()] * n, S.ShapeOptions())
-        assert sorted(out) == list(range(n))
-        if len({m for m in model if m}) >= 8:
-            head = [model[i] for i in out[:8] if model[i]]
-            assert max(Counter(head).values(), default=0) <= 1
-
-
-def test_featured_slots():
-    n = 30
-    featured = [i % 2 == 0 for i in range(n)]
-    retailer = [f"r{i % 4}" for i in range(n)]
-    out = S.featured_order(list(range(n)), featured, retailer, S.ShapeOptions(limit=20, featured_every=5, retailer_cooldown=1))
-    assert len(out) <= 20 and len(set(out)) == len(out)
-    spots = [p for p, i in enumerate(out, 1) if featured[i]]
-    assert spots and all(p % 5 == 0 for p in spots)
-    owners = [retailer[i] for i in out if featured[i]]
-    assert all(a != b for a, b in zip(owners, owners[1:]))
-
-
 @pytest.mark.parametrize("cap,window", [(2, 5), (1, 12), (6, 3)])
 def test_native_key_cap_equals_the_scan(spark, cap, window):
     rng = random.Random(cap * 10 + window)
     keys = [rng.choice(["a", "b", "c", None]) for _ in range(40)]
     df = spark.createDataFrame([(1, i, i + 1, k) for i, k in enumerate(keys)], "session_id int, item_id int, rank int, k string")
     got = [r.item_id for r in R.key_cap(df, "k", cap, window).orderBy("position").collect()]
-    assert got == S.cap_order(list(range(40)), keys, cap, window)
+    rows = df.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("rank", "item_id", "k"))).alias("rows"))
+    assert got == [r.item_id for r in rows.select(S.cap_keys(F.col("rows"), "k", cap, window, 0).alias("rows")).first().rows]
 
 
 def test_exploration_is_seeded_and_sized(spark):
@@ -129,11 +93,38 @@ def test_segment_match_equals_nested_loop(spark):
     p = spark.createDataFrame([crit(i) for i in range(40)], f"session_id int, {fields}")
     s = spark.createDataFrame([crit(i) for i in range(30)], f"segment_id int, {fields}")
     got = {tuple(r) for r in T.match_segments(p, s).collect()}
+    assert got == {tuple(r) for r in T.match_segments(p, s, hot_rows=3, salts=4).collect()}
     pairs = p.select("session_id", F.struct(*T.PROFILE_FIELDS).alias("p")).crossJoin(s.select("segment_id", F.struct(*T.PROFILE_FIELDS).alias("s")))
     want = pairs.withColumns(T.match_columns()).where("all_required AND match_score >= 0.5").select("session_id", "segment_id", "match_score")
     assert got == {tuple(r) for r in want.collect()} and got
 
 
+def test_no_pair_of_a_region_is_formed(spark):
+    """Nine in ten profiles and segments share a region: the join's rows are those that agree in all they ask for."""
+    p = spark.range(2000).select(F.col("id").alias("session_id"), F.array(F.concat(F.lit("s"), (F.col("id") % 40).cast("string"))).alias("style_tags"), F.array(F.lit("small")).alias("size_classes"),
+                                 F.lit(0.0).alias("budget_min"), F.lit(9.0).alias("budget_max"), F.when(F.col("id") % 10 > 0, "north").otherwise("south").alias("geo_region"))
+    s = p.where("session_id < 200").withColumnRenamed("session_id", "segment_id").withColumn("budget_min", F.when(F.col("segment_id") % 2 == 0, 5.0).otherwise(50.0)).withColumn("budget_max", F.lit(None).cast("double"))
+    out = T.match_segments(p, s, hot_rows=100)
+    assert "CartesianProduct" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+    want = p.join(s, (p.geo_region == s.geo_region) & (p.style_tags == s.style_tags) & (s.budget_min < 10)).count()
+    assert out.count() == want and want < 2000 * 200 / 40
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_overlap_counts_equal_a_nested_loop(spark, hot):
+    rng = random.Random(9)
+    bound = lambda: rng.choice([None, *map(float, range(0, 12))])
+    region = lambda: "a" if hot and rng.random() < 0.9 else rng.choice(["a", "b", "c", None])
+    p = [(i, region(), bound(), bound()) for i in range(300)]
+    s = [(region(), bound(), bound()) for _ in range(200)]
+    inf = float("inf")
+    lo, hi = (lambda x: -inf if x is None else x), (lambda x: inf if x is None else x)
+    want = {i: n for i, r, a, b in p if (n := sum(r is not None and r == q and max(lo(a), lo(c)) <= min(hi(b), hi(d)) and lo(c) <= hi(d) and lo(a) <= hi(b) for q, c, d in s))}
+    got = T.overlap_counts(spark.createDataFrame(p, "session_id int, geo_region string, budget_min double, budget_max double"),
+                           spark.createDataFrame(s, "geo_region string, budget_min double, budget_max double"))
+    assert {r.session_id: r.overlapping for r in got.collect()} == want
+
+
 def test_segment_criteria_issues(spark):
     df = spark.createDataFrame([(1, ["Modern", "modern", " "], ["small", "unknown"], 9000.0, 5000.0, "SE", ["114 52", "#bad"])],
                                "segment_id int, style_tags array<string>, size_classes array<string>, budget_min double, budget_max double, geo_region string, geo_postcodes array<string>")
