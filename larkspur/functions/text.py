@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import html
+import html.entities
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+
+from larkspur.functions.folds import let
 
 
 def norm_token(c: Column) -> Column:
@@ -92,57 +93,74 @@ def fold_label(c: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(c), "åäöéè", "aaoee"), "[^a-z0-9]+", "")
 
 
-@F.pandas_udf(StringType())
-def _unescape(s: pd.Series) -> pd.Series:
-    def decode(text):
-        if text is None:
-            return None
-        for _ in range(3):
-            decoded = html.unescape(text)
-            if decoded == text:
-                break
-            text = decoded
-        return text
-
-    return s.map(decode, na_action="ignore")
+def _table(entries: dict[str, str]) -> Column:
+    """Map literal from two strings, so that the plan holds one value and not a literal an entry."""
+    cut = "\u0001"
+    return F.map_from_arrays(F.split(F.lit(cut.join(entries)), cut), F.split(F.lit(cut.join(entries.values())), cut))
 
 
-# Entities decoded natively; text with any other entity takes the Arrow path.
+# A reference is a number in either base, or a name of up to 32 characters; the closing semicolon may be missing.
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+# Numbers that do not stand for their own code point: control codes, noncharacters
+_ODD_NUMBERS = {str(n): s for n in (*range(0xA0), *range(0xFDD0, 0xFDF0), *(p * 0x10000 + 0xFFFE + i for p in range(17) for i in (0, 1)))
+                if (s := html.unescape(f"&#{n};")) != chr(n)}
+_NAMES = {name: value for name, value in html.entities.html5.items() if name.endswith(";")}
+_OPEN_NAMES = {name: value for name, value in html.entities.html5.items() if not name.endswith(";")}
+# References that are looked at before the whole table.
 COMMON_ENTITIES = {
     "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0",
     "&copy;": "©", "&middot;": "·", "&amp;": "&",
 }
 
 
-def _decode_common(c: Column) -> Column:
-    for entity, char in COMMON_ENTITIES.items():
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+def _numbered(ref: Column) -> Column:
+    digits = F.regexp_extract(ref, "([0-9a-fA-F]+);?$", 1)
+    hexed = F.rlike(ref, F.lit("^&#[xX]"))
+    short = F.regexp_replace(digits, "^0+(?=.)", "")
+    number = F.when(F.length(short) > 10, F.lit(0x110000)).when(hexed, F.conv(short, 16, 10).cast("bigint")).otherwise(short.cast("bigint"))
 
+    def character(n):
+        own = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return F.when((n > 0x10FFFF) | n.between(0xD800, 0xDFFF), "\ufffd").otherwise(F.coalesce(_table(_ODD_NUMBERS)[n.cast("string")], own))
 
-def decode_entities(c: Column, native: bool = False) -> Column:
-    """HTML entity decoding, up to three passes.
+    return let(number, character)
 
-    The default decodes every named entity with an Arrow batch function over
-    rows that contain '&' (other rows are sent as null, so nothing is copied
-    for them). native=True decodes only the common entities, inside the JVM.
-    """
-    if native:
-        return _decode_common(_decode_common(_decode_common(c)))
-    has = F.contains(c, F.lit("&"))
-    return F.when(has, _unescape(F.when(has, c))).otherwise(c)
+
+def _named(ref: Column) -> Column:
+    """The longest name that the reference begins with; without one it stays as it is."""
+    name = F.substring(ref, 2, 40)
+    prefixes = F.filter(F.transform(F.sequence(F.greatest(F.length(name) - 1, F.lit(2)), F.lit(2)), lambda n: F.substring(name, F.lit(1), n)),
+                        lambda p: F.map_contains_key(_table(_OPEN_NAMES), p))
+    longest = lambda p: F.concat(_table(_OPEN_NAMES)[p], F.substring(name, F.length(p) + 1, F.length(name)))
+    cut = F.when(F.length(name) > 2, let(F.try_element_at(prefixes, F.lit(1)), longest))
+    return F.coalesce(_table(_NAMES)[name], _table(_OPEN_NAMES)[name], cut, ref)
+
+
+def _decode_once(c: Column) -> Column:
+    def joined(parts):
+        refs, gaps = parts["refs"], parts["gaps"]
+        one = lambda r: F.coalesce(_table(COMMON_ENTITIES)[r], F.when(F.startswith(r, F.lit("&#")), _numbered(r)).otherwise(_named(r)))
+        return F.concat(F.element_at(gaps, 1), F.array_join(F.transform(refs, lambda r, i: F.concat(one(r), F.element_at(gaps, i + 2))), ""))
+
+    found = F.struct(F.regexp_extract_all(c, F.lit(_REFERENCE), 0).alias("refs"), F.split(c, _REFERENCE, -1).alias("gaps"))
+    return F.when(F.contains(c, F.lit("&")), let(found, joined)).otherwise(c)
+
+
+def decode_entities(c: Column) -> Column:
+    """HTML character references decoded exactly, up to three passes, inside the JVM; text without '&' is left alone."""
+    return let(let(_decode_once(c), _decode_once), _decode_once)
 
 
-def clean_title(c: Column, native: bool = False) -> Column:
+def clean_title(c: Column) -> Column:
     """Entities decoded, tags to spaces, whitespace collapsed; blank is null."""
-    s = decode_entities(non_blank(c), native)
+    s = decode_entities(non_blank(c))
     s = F.regexp_replace(s, r"(?s)<[^>]+>", " ")
     return F.nullif(squash(s), F.lit(""))
 
 
-def clean_description(c: Column, native: bool = False) -> Column:
+def clean_description(c: Column) -> Column:
     """Breaks to newlines, tags stripped twice, one blank line between kept lines."""
-    s = decode_entities(non_blank(c), native)
+    s = decode_entities(non_blank(c))
     s = F.regexp_replace(s, r"(?i)<\s*br\s*/?\s*>", "\n")
     s = F.regexp_replace(F.regexp_replace(s, r"(?s)<[^>]+>", " "), r"(?s)<[^>]+>", " ")
     lines = F.filter(F.transform(F.split(s, r"\r\n|\r|\n"), squash), lambda x: x != "")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions.folds import let
+from larkspur.functions.numbers import js_round
 from larkspur.functions import lexicons as L
 from larkspur.functions import price as P
 from larkspur.functions import text as T
@@ -124,11 +126,17 @@ def embedded_json(pages: DataFrame) -> DataFrame:
 
 
 def _objects(df: DataFrame) -> DataFrame:
-    """Add `objs`: JSON-LD objects of blocks, arrays and @graph lists (three levels)."""
+    """Add `objs`: JSON-LD objects of blocks and arrays, then of @graph lists, level by level to the last.
+
+    A page has no more levels than it names @graph; where a level is empty the steps left do nothing.
+    """
     cur = pin(df, _o=F.flatten(F.transform("ld", lambda b: as_list(b))))
-    for _ in range(2):
-        cur = pin(cur, _o=F.flatten(F.transform("_o", lambda o: F.concat(F.array(o), as_list(o, "$['@graph']")))))
-    return pin(cur, objs=F.col("_o")).drop("_o")
+    deeper = lambda edge: F.flatten(F.transform(edge, lambda o: as_list(o, "$['@graph']")))
+    step = lambda s, _: F.when(F.size(s["edge"]) == 0, s).otherwise(let(deeper(s["edge"]), lambda more: F.struct(
+        F.concat(s["all"], more).alias("all"), more.alias("edge"))))
+    levels = F.regexp_count("html", F.lit('"@graph"'))
+    walked = F.aggregate(F.sequence(F.lit(1), levels), F.struct(F.col("_o").alias("all"), F.col("_o").alias("edge")), step, lambda s: s["all"])
+    return pin(cur, objs=F.when(levels > 0, walked).otherwise(F.col("_o"))).drop("_o")
 
 
 def _is_type(o: Column, name: str) -> Column:
@@ -321,7 +329,7 @@ def rich_specs(pairs: DataFrame) -> DataFrame:
     label = T.fold_label(F.col("key"))
     number = F.regexp_extract("value", r"([\d.]+)", 1).try_cast("double")
     count = F.regexp_extract("value", r"(\d+)", 1).try_cast("int")
-    usable = {"seat_count": F.when(count.between(1, 20), count.cast("double")), "weight_kg": F.when((number > 0) & (number < 500), number)}
+    usable = {"seat_count": F.when(count.between(1, 20), count.cast("double")), "weight_kg": F.when((number > 0) & (number < 500), js_round(number, 1))}
     aggs = []
     for field, labels in SPEC_LABELS.items():
         hit = label.isin(*labels)
@@ -364,7 +372,7 @@ def extract_products(pages: DataFrame, recipe: dict[str, list[str]] | None = Non
     flat = base.select(
         "page_id", F.col("url").alias("product_url"), "method",
         F.coalesce(U.absolute_url(pick("url"), F.col("url")), F.col("_canonical")).alias("canonical_url"),
-        T.clean_title(title, native=True).alias("title"), U.normalize_images(F.coalesce(pick("images", "images"), F.array().cast("array<string>")), F.col("url")).alias("images"),
+        T.clean_title(title).alias("title"), U.normalize_images(F.coalesce(pick("images", "images"), F.array().cast("array<string>")), F.col("url")).alias("images"),
         pick("brand", "brand").alias("brand"), pick("description", "description").alias("description"), raw.alias("price_raw"),
         F.upper(pick("currency")).alias("_cur"), pick("material").alias("_mat"), pick("color").alias("_col"),
         *[pick(f"{d}_cm").alias(f"{d}_cm") for d in ("width", "height", "depth")], pick("availability").alias("availability"),
@@ -382,8 +390,8 @@ def enrich(p: DataFrame) -> DataFrame:
     out = p.withColumns({"price_amount": F.col("money.amount"), "price_currency": currency, "material": material, "color": color})
     flags = {"title": F.col("title").isNotNull(), "canonical": F.rlike("canonical_url", F.lit("^https?://")), "images": F.size("images") > 0,
              "price_amount": F.col("price_amount").isNotNull(), "price_currency": F.col("price_currency").isNotNull(),
-             "description": F.col("description").isNotNull(), "dimensions": size, "material": F.col("_mat").isNotNull(),
-             "color": F.col("_col").isNotNull(), "brand": F.col("brand").isNotNull()}
+             "description": F.col("description").isNotNull(), "dimensions": size, "material": F.col("material").isNotNull(),
+             "color": F.col("color").isNotNull(), "brand": F.col("brand").isNotNull()}
     warnings = F.concat(
         F.array_compact(F.array(F.when(F.size("images") == 0, "images:none_found"),
                                 F.when(F.col("_cur") != F.col("money.currency"), "price:currency_mismatch"))),

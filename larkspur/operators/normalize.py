@@ -74,12 +74,12 @@ def new_used(c: Column) -> Column:
     return F.when(T.contains_any(F.lower(c), ["used", "second", "begagnad"]), "used").otherwise("new")
 
 
-def normalize_feed(mapped: DataFrame, source_id: Column, native_entities: bool = False) -> DataFrame:
+def normalize_feed(mapped: DataFrame, source_id: Column) -> DataFrame:
     """Mapped feed rows to items; rows without a valid price or url are dropped."""
     number = lambda name: F.col(name).try_cast("double")
     w, h, d = number("width"), number("height"), number("depth")
     url = F.trim("url")
-    title = F.coalesce(T.clean_title(F.col("title"), native_entities), F.lit("Untitled"))
+    title = F.coalesce(T.clean_title(F.col("title")), F.lit("Untitled"))
     image = F.trim("image_url")
     staged = mapped.withColumns({
         "_price": P.price_amount(F.col("price")), "_url": url, "_title": title, "_canonical": U.canonical_url(url)})
@@ -88,7 +88,7 @@ def normalize_feed(mapped: DataFrame, source_id: Column, native_entities: bool =
         source_id.alias("source_id"), F.lit("feed").alias("source_type"),
         F.col("_url").alias("source_url"), F.col("_canonical").alias("canonical_url"),
         F.col("_title").alias("title"), T.non_blank(F.col("brand")).alias("brand"),
-        T.clean_description(F.col("description"), native_entities).alias("description"),
+        T.clean_description(F.col("description")).alias("description"),
         F.col("_price").alias("price_amount"), F.col("currency").alias("price_currency"),
         F.when(F.coalesce(w, h, d).isNotNull(), F.struct(
             F.coalesce(w, F.lit(0.0)).alias("w"), F.coalesce(h, F.lit(0.0)).alias("h"),
@@ -175,14 +175,14 @@ def dedupe_last(items: DataFrame, key: str, seq: str) -> DataFrame:
     return agg.select(key, "first_position", *[F.col(f"_last.{c}").alias(c) for c in others])
 
 
-def hygiene_changes(items: DataFrame, native_entities: bool = False) -> DataFrame:
+def hygiene_changes(items: DataFrame) -> DataFrame:
     """Per item: cleaned fields and the reasons to rewrite them.
 
     Needs id, title, description, price_amount (text or number) and
     price_currency; price_original and price_raw are fallbacks.
     """
-    title = F.coalesce(T.clean_title(F.col("title"), native_entities), F.lit("Untitled"))
-    desc = T.clean_description(F.col("description"), native_entities)
+    title = F.coalesce(T.clean_title(F.col("title")), F.lit("Untitled"))
+    desc = T.clean_description(F.col("description"))
     numeric = dict(items.dtypes)["price_amount"] in ("double", "float", "int", "bigint")
     candidates = {n: F.col(n) for n in ("price_amount", "price_original", "price_raw") if n in items.columns}
     base = items.withColumns({

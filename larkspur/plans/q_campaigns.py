@@ -117,6 +117,12 @@ def cmp_active_campaigns(t):
         "campaign_id", "budget_left", "daily_left", "on_pace", "in_schedule", "serving")
 
 
+@query("agg_sum_daily_map", """SELECT campaign_id, sum(CASE WHEN dt >= '1995-01-01' AND dt <= '1996-12-31' THEN spend_cents ELSE 0 END)::DOUBLE AS spend_cents FROM campaign_daily_b GROUP BY 1""", "campaign_daily_b")
+def agg_sum_daily_map(t):
+    maps = t.campaign_daily_b.groupBy("campaign_id").agg(F.map_from_entries(F.collect_list(F.struct("dt", F.col("spend_cents").cast("double")))).alias("m"))
+    return maps.select("campaign_id", C.sum_daily_map(F.col("m"), "1995-01-01", "1996-12-31").alias("spend_cents"))
+
+
 @query("cmp_frequency_cap", """SELECT retailer_id, CAST(greatest(2, least(12, min(coalesce(frequency_cap, 12)))) AS BIGINT) AS frequency_cap FROM campaigns_b GROUP BY retailer_id
     UNION ALL SELECT -1, CAST(greatest(2, least(12, min(coalesce(frequency_cap, 12)))) AS BIGINT) FROM campaigns_b""", "campaigns_b")
 def cmp_frequency_cap(t):

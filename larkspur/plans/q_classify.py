@@ -228,23 +228,23 @@ def cls_split(t):
 
 
 _STOP = ", ".join(f"'{w}'" for w in R.STOPWORDS)
-_TOK = f"""(SELECT list_filter(l, lambda x, i: list_position(l, x) = i) FROM (SELECT list_filter(string_split(trim(regexp_replace(lower(title), '[^a-z0-9åäö]+', ' ', 'g')), ' '),
+_TOK = f"""(SELECT list_filter(l, lambda x, i: list_position(l, x) = i) FROM (SELECT list_filter(string_split(trim(regexp_replace(lower(description), '[^a-z0-9åäö]+', ' ', 'g')), ' '),
     lambda w: length(w) BETWEEN 3 AND 24 AND w NOT IN ({_STOP})) AS l))"""
 
 
 @query("cls_training_tokens", f"SELECT item_id, array_to_string({_TOK}, ' ') AS tokens FROM text_b", _V)
 def cls_training_tokens(t):
-    return t.text_b.select("item_id", F.array_join(R.training_tokens(F.array("title")), " ").alias("tokens"))
+    return t.text_b.select("item_id", F.array_join(R.training_tokens(F.array("description")), " ").alias("tokens"))
 
 
 def samples(t):
     """Labelled documents with their tokens; four coarse sources, so that groups reach the support bounds."""
     return R.split_samples(t.labels_b.withColumn("source_id", F.expr("concat('s', item_id % 4)"))).withColumn(
-        "tokens", R.training_tokens(F.array("title")))
+        "tokens", R.training_tokens(F.array("description")))
 
 
 _SAMP = f"""smp AS (SELECT item_id, 's' || item_id % 4 AS source_id, predicted, is_in_category, has_images, confidence, {_HASH} < 8 AS train, {_TOK} AS tokens,
-      trim(regexp_replace(lower(title), '[^a-z0-9åäö]+', ' ', 'g')) AS txt FROM labels_b),
+      trim(regexp_replace(lower(description), '[^a-z0-9åäö]+', ' ', 'g')) AS txt FROM labels_b),
     tot AS (SELECT source_id, predicted, count(*) AS total, count(*) FILTER (WHERE NOT is_in_category) AS rejects FROM smp WHERE train GROUP BY ALL HAVING count(*) >= 8),
     tk AS (SELECT source_id, predicted, tok, count(*) AS n, count(*) FILTER (WHERE NOT is_in_category) AS rj FROM (SELECT source_id, predicted, is_in_category, unnest(tokens) AS tok FROM smp WHERE train) GROUP BY ALL HAVING count(*) >= 3),
     rk AS (SELECT *, row_number() OVER (PARTITION BY source_id, predicted ORDER BY rj / n DESC, rj DESC, tok) AS rank FROM tk WHERE rj >= 3 AND rj / n >= 0.75),
@@ -272,7 +272,7 @@ def cls_mine_rules(t):
     SELECT holdout, base_tp, base_fp, base_fn, rule_tp, rule_fp, rule_fn, base_precision, base_recall, rule_precision, rule_recall, precision_delta, recall_delta,
       CASE WHEN holdout < 40 THEN 'insufficient_holdout' WHEN precision_delta >= 0.03 AND recall_delta >= -0.08 THEN 'pass' ELSE 'precision_or_recall_regression' END AS verdict FROM d""", _L)
 def cls_rule_gate(t):
-    s = samples(t).withColumn("rule_text", F.trim(F.regexp_replace(F.lower("title"), "[^a-z0-9åäö]+", " ")))
+    s = samples(t).withColumn("rule_text", F.trim(F.regexp_replace(F.lower("description"), "[^a-z0-9åäö]+", " ")))
     train = s.where("split = 'train'")
     hold = R.rejected_by_rules(s.where("split = 'holdout'"), R.mine_rules(train), R.mine_image_rules(train), "en")
     return R.rule_gate(hold, "en").drop("base_f1", "rule_f1")
@@ -306,12 +306,12 @@ def cls_sample_target(t):
     return R.target_sample(items, "en", 40, checkpoint=lambda df: materialize(df, "sample"))
 
 
-@query("cls_apply_reviews", """WITH l AS (SELECT item_id % 300 AS id, arg_max(action, label_id) AS action, arg_max(coalesce(correct_category, '-'), label_id) AS cc FROM labels_b WHERE item_id % 9 <> 0 GROUP BY 1)
+@query("cls_apply_reviews", """WITH l AS (SELECT item_id AS id, arg_max(action, label_id) AS action, arg_max(coalesce(correct_category, '-'), label_id) AS cc FROM labels_b WHERE item_id % 9 <> 0 GROUP BY 1)
     SELECT g.item_id, g.title, CASE WHEN l.action = 'reclassify' AND l.cc <> '-' THEN l.cc ELSE g.type_tag END AS category, false AS human_verified
-    FROM items_b g LEFT JOIN l ON l.id = g.item_id WHERE g.item_id % 3 = 0 AND coalesce(l.action, '') NOT IN ('accept', 'reject')
+    FROM items_b g LEFT JOIN l ON l.id = g.item_id WHERE g.is_active AND coalesce(l.action, '') NOT IN ('accept', 'reject')
     UNION ALL SELECT i.item_id, i.title, i.type_tag, true FROM items_b i JOIN l ON l.id = i.item_id WHERE l.action = 'accept'""", "labels_b items_b")
 def cls_apply_reviews(t):
     items = t.items_b.select("item_id", "title", F.col("type_tag").alias("category"))
-    gold = items.where("item_id % 3 = 0").withColumn("human_verified", F.lit(False))
-    labels = t.labels_b.selectExpr("item_id % 300 AS item_id", "label_id", "label_id AS created_at", "action", "correct_category", "item_id % 9 = 0 AS training_only")
+    gold = items.join(t.items_b.where("is_active").select("item_id"), "item_id", "left_semi").withColumn("human_verified", F.lit(False))
+    labels = t.labels_b.selectExpr("item_id", "label_id", "label_id AS created_at", "action", "correct_category", "item_id % 9 = 0 AS training_only")
     return R.apply_reviews(gold, items, labels)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.operators import extract as E
+from larkspur.plans.q_normalize import sql_unescape
 from larkspur.plans.registry import query
 
 _BASE = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
@@ -81,12 +82,18 @@ def ext_rich_specs(t):
 _H1 = r"trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@query("ext_cascade", """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'jsonld' WHEN 1 THEN 'embedded_json' ELSE 'dom' END AS method,
+_DOM_TITLE = f"nullif({sql_unescape(_H1)}, '')"
+
+
+@query("ext_cascade", f"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'jsonld' WHEN 1 THEN 'embedded_json' ELSE 'dom' END AS method,
     CAST(CASE page_id % 3 WHEN 0 THEN 1000 WHEN 1 THEN 500 ELSE 700 END + page_id AS DOUBLE) AS price_amount,
-    CASE page_id % 3 WHEN 0 THEN 'Soffa ' || page_id WHEN 1 THEN 'Stol ' || page_id ELSE '-' END AS title FROM pages WHERE page_id % 3 <> 2 OR contains(html, '<h1>')""")
+    CASE page_id % 3 WHEN 0 THEN 'Soffa ' || page_id WHEN 1 THEN 'Stol ' || page_id ELSE {_DOM_TITLE} END AS title, CASE page_id % 3 WHEN 0 THEN 'SEK' WHEN 2 THEN 'SEK' END AS price_currency,
+    CASE WHEN page_id % 3 = 0 THEN 'Brand ' || page_id % 7 END AS brand, CASE WHEN page_id % 3 = 0 THEN 210.0::DOUBLE END AS width_cm, CASE WHEN page_id % 3 = 0 THEN 85.0::DOUBLE END AS height_cm,
+    CASE page_id % 3 WHEN 0 THEN 'in_stock' WHEN 1 THEN 'unknown' END AS availability, floor(CASE page_id % 3 WHEN 0 THEN 15 WHEN 1 THEN 10 ELSE 11 END / 17.0::DOUBLE * 10000 + 0.5) / 10000 AS completeness
+    FROM pages WHERE page_id % 3 <> 2 OR (page_id % 21 <> 20 AND {_DOM_TITLE} IS NOT NULL)""")
 def ext_cascade(t):
-    p = E.extract_products(t.pages_x)
-    return p.select("page_id", "method", "price_amount", F.when(F.col("method") == "dom", "-").otherwise(F.col("title")).alias("title"))
+    return E.extract_products(t.pages_x).select("page_id", "method", "price_amount", "title", "price_currency", "brand", "width_cm", "height_cm", "availability",
+                                                  (F.floor(F.col("completeness") * 1e4 + 0.5) / 1e4).alias("completeness"))
 
 
 @query("ext_page_links", rf"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?href\s*=\s*["'']([^"'']+)["'']', 1)) AS h FROM pages_b)
@@ -96,13 +103,28 @@ def ext_page_links(t):
     return E.page_links(t.pages_b)
 
 
+def _shells(t):
+    """Pages with what script shells and block pages hold: an empty root, a notice for browsers without scripts, a captcha."""
+    add = lambda cond, text: F.when(F.expr(cond), text).otherwise("")
+    return t.pages_b.withColumn("html", F.concat("html", add("page_id % 6 = 4", '<div id="root"> </div>'), add("page_id % 10 = 3", "<noscript>Please enable JavaScript</noscript>"),
+                                                 add("page_id % 15 = 7", "<script src='/px-captcha.js'></script>")))
+
+
 @query("ext_render_flags", rf"""WITH b AS (SELECT page_id, html, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?is)<title\b.*?</title>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS body, {_H1} AS h1 FROM pages_b),
-    f AS (SELECT page_id, octet_length(encode(body)) < 2048 AS low_text, length(h1) < 8 AS no_product_signal FROM b)
-    SELECT page_id, low_text, no_product_signal, CAST(low_text::INT + no_product_signal::INT AS BIGINT) AS score, low_text AND no_product_signal AS needs_render FROM f""", "pages_b")
+    f AS (SELECT page_id, octet_length(encode(body)) < 2048 AS low_text, length(h1) < 8 AS no_product_signal, page_id % 6 = 4 AS empty_root, page_id % 10 = 3 AS noscript_notice, page_id % 15 = 7 AS blocked FROM b)
+    SELECT page_id, blocked, low_text, empty_root, noscript_notice, no_product_signal, CAST(low_text::INT + empty_root::INT + noscript_notice::INT + no_product_signal::INT AS BIGINT) AS score,
+      blocked OR low_text::INT + empty_root::INT + noscript_notice::INT + no_product_signal::INT >= 2 AS needs_render FROM f""", "pages_b")
 def ext_render_flags(t):
-    return E.render_flags(t.pages_b).select("page_id", "low_text", "no_product_signal", "score", "needs_render")
+    return E.render_flags(_shells(t)).select("page_id", "blocked", "low_text", "empty_root", "noscript_notice", "no_product_signal", "score", "needs_render")
+
+
+@query("ext_facets", """SELECT page_id, (40 + page_id % 10) || ' cm' AS seat_height, (page_id % 600) || ' kg' AS weight, CAST(1 + page_id % 4 AS VARCHAR) AS seats, 'Sammet' AS cover, 4::BIGINT AS keys FROM pages WHERE page_id % 3 = 2""")
+def ext_facets(t):
+    f = E.facets(E.spec_pairs(t.pages_x))
+    return f.select("page_id", F.col("facets")["Sitthöjd"].alias("seat_height"), F.col("facets")["Vikt"].alias("weight"), F.col("facets")["Antal sitsar"].alias("seats"),
+                    F.col("facets")["Klädsel"].alias("cover"), F.size(F.map_keys("facets")).cast("bigint").alias("keys"))
 
 
-@query("ext_failures", """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'validate' ELSE 'parse' END AS failure_type, CAST(CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS jsonld_blocks FROM pages WHERE page_id % 5 = 0""")
+@query("ext_failures", f"""SELECT page_id, 'parse' AS failure_type, 0::BIGINT AS jsonld_blocks FROM pages WHERE page_id % 3 = 2 AND (page_id % 21 = 20 OR {_DOM_TITLE} IS NULL)""")
 def ext_failures(t):
-    return E.extraction_failures(t.pages_x, t.pages_x.where("page_id % 5 <> 0")).select("page_id", "failure_type", "jsonld_blocks")
+    return E.extraction_failures(t.pages_x, E.extract_products(t.pages_x)).select("page_id", "failure_type", "jsonld_blocks")

@@ -9,6 +9,7 @@ from larkspur.operators import lookups as J
 from larkspur.operators import normalize as N
 from larkspur.plans.q_confidence import SCORES_SQL, scores
 from larkspur.plans.registry import query
+from larkspur.session import unique_dir
 from larkspur.sources import sinks as S
 
 
@@ -163,7 +164,11 @@ def snk_events_dedup(t):
     first = t.interactions_b.selectExpr("event_id", "session_id", "item_id", "event_type", "0 AS arrival")
     resent = t.interactions_b.selectExpr(
         "event_id", "session_id", "item_id", "IF(event_id % 3 = 0, null, upper(event_type)) AS event_type", "1 AS arrival")
-    return S.merge_events(first.unionAll(resent))
+    path = unique_dir(t.spark, "event-sink")
+    days = t.interactions_b.select("event_id", "ts")
+    for batch in (first, resent, resent):  # a batch sent again changes nothing
+        S.write_events(batch.join(days, "event_id"), path)
+    return t.spark.read.parquet(path).select("event_id", "session_id", "item_id", "event_type")
 
 
 @query("snk_snapshot_hash", """SELECT item_id, sha256('{"brand":"' || brand || '","item_id":' || item_id || ',"title":"' || title || '"}') AS hash FROM items_b""", "items_b")
@@ -171,6 +176,16 @@ def snk_snapshot_hash(t):
     return t.items_b.select("item_id", S.snapshot_hash(["title", "item_id", "brand"]).alias("hash"))
 
 
+@query("snk_snapshots", """SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 2 ELSE 1 END::BIGINT AS snapshots FROM items_b""", "items_b")
+def snk_snapshots(t):
+    """Three runs, of which the last repeats the second: a snapshot is added only where its hash is new for the item."""
+    path = unique_dir(t.spark, "snapshot-sink")
+    changed = t.items_b.withColumn("title", F.when(F.col("item_id") % 4 == 0, F.upper("title")).otherwise(F.col("title")))
+    for run in (t.items_b, changed, changed):
+        S.write_snapshots(run.select("item_id", "title", "brand"), ["title", "item_id", "brand"], path, "item_id")
+    return t.spark.read.parquet(path).groupBy("item_id").agg(F.count("*").alias("snapshots"))
+
+
 @query("flt_retention", """WITH a AS (SELECT max(ts) AS m FROM interactions_b)
     SELECT 'snapshots' AS name, count(*) FILTER (WHERE ts >= m - INTERVAL 20 DAY) AS kept, count(*) AS total FROM interactions_b, a
     UNION ALL SELECT 'failures', count(*) FILTER (WHERE ts >= m - INTERVAL 7 DAY), count(*) FROM interactions_b, a

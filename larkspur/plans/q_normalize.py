@@ -8,6 +8,7 @@ from larkspur.functions import hashing as H
 from larkspur.functions import lexicons as L
 from larkspur.functions import price as P
 from larkspur.functions import text as T
+from larkspur.functions.numbers import finite
 from larkspur.operators import normalize as N
 from larkspur.plans.registry import query
 
@@ -163,7 +164,20 @@ def _sql_decode(c: str) -> str:
     return c
 
 
-@query("nrm_clean_title")
+def sql_unescape(c: str) -> str:
+    """Three passes over the references that the given pages hold, closed or not."""
+    for _ in range(3):
+        for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+            c = f"replace(replace({c}, '&{name};', chr({ord(char)})), '&{name}', chr({ord(char)}))"
+    return c
+
+
+def _title_sql(tag: str) -> str:
+    cut = f"regexp_replace({sql_unescape(f'trim(regexp_extract(html, {chr(39)}(?s)<{tag}>(.*?)</{tag}>{chr(39)}, 1))')}, '(?s)<[^>]+>', ' ', 'g')"
+    return rf"nullif(trim(regexp_replace({cut}, '[\s' || chr(160) || ']+', ' ', 'g')), '')"
+
+
+@query("nrm_clean_title", f"SELECT page_id, {_title_sql('title')} AS title, {_title_sql('footer')} AS footer FROM pages_b", "pages_b")
 def nrm_clean_title(t):
     title = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
     footer = F.regexp_extract("html", r"(?s)<footer>(.*?)</footer>", 1)
@@ -179,7 +193,14 @@ def nrm_clean_title(t):
     FROM cut""", "pages_b")
 def nrm_clean_description(t):
     article = F.expr("substr(html, locate('<article>', html))")
-    return t.pages_b.select("page_id", F.sha2(T.clean_description(article, native=True), 256).alias("description_sha"))
+    return t.pages_b.select("page_id", F.sha2(T.clean_description(article), 256).alias("description_sha"))
+
+
+@query("nrm_finite", r"""SELECT item_id, CASE WHEN isfinite(TRY_CAST(s AS DOUBLE)) THEN TRY_CAST(s AS DOUBLE) END AS number
+    FROM (SELECT item_id, CASE item_id % 5 WHEN 0 THEN 'NaN' WHEN 1 THEN 'Infinity' WHEN 2 THEN 'n/a' WHEN 3 THEN CAST(item_id * 1.5 AS VARCHAR) END AS s FROM items_b)""", "items_b")
+def nrm_finite(t):
+    s = F.expr("CASE item_id % 5 WHEN 0 THEN 'NaN' WHEN 1 THEN 'Infinity' WHEN 2 THEN 'n/a' WHEN 3 THEN cast(item_id * 1.5 AS string) END")
+    return t.items_b.select("item_id", finite(s).alias("number"))
 
 
 @query("nrm_dim_cm", r"""WITH x AS (SELECT item_id, replace(lower(dim_text), ',', '.') AS s FROM dims_b),
@@ -318,7 +339,7 @@ _CANON_FEED = """('https://' || lower(regexp_extract(url, '^https://([^/?#]+)',
       CAST(CASE WHEN trim(image_url) <> '' THEN 1 ELSE 0 END AS BIGINT) AS image_count FROM m""", "feed_b")
 def nrm_feed_item(t):
     mapped = N.map_feed_columns(t.feed_b, keep=("item_id", "source_id"))
-    items = N.normalize_feed(mapped, F.col("source_id"), native_entities=True)
+    items = N.normalize_feed(mapped, F.col("source_id"))
     return items.select("id", "source_id", "canonical_url", "title", "brand", "price_amount", "price_currency", "size_class",
                         "material", "color_family", "new_used", F.size("images").cast("bigint").alias("image_count"))
 
@@ -342,4 +363,4 @@ _HYG_VIEW = """hyg AS (SELECT c.item_id AS id, CASE WHEN c.item_id % 3 = 0 THEN
 def nrm_hygiene_backfill(t):
     sql = _HYG_VIEW.format(c="{catalog_b}", p="{prices_b}")
     items = t.spark.sql(f"WITH {sql} SELECT * FROM hyg", catalog_b=t.catalog_b, prices_b=t.prices_b)
-    return N.hygiene_stats(N.hygiene_changes(items, native_entities=True))
+    return N.hygiene_stats(N.hygiene_changes(items))

@@ -185,6 +185,11 @@ def url_normalize_images(t):
 # ---- sources ---------------------------------------------------------------------------
 
 
+@query("flt_url_category", "SELECT page_id FROM pages WHERE contains(lower(url), '/en/') OR contains(lower(url), 'blog.')")
+def flt_url_category(t):
+    return O.category_filter(t.pages, [" /EN/ ", "", "blog."]).select("page_id")
+
+
 @query("src_pages", """SELECT host, count(*) AS pages, CAST(sum(length(html)) AS BIGINT) AS chars FROM pages_b GROUP BY host""", "pages_b")
 def src_pages(t):
     pages = feeds.read_pages(t.spark, f"{t.sf_dir}/pages.parquet")

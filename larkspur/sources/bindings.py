@@ -449,7 +449,7 @@ def text_b(d):
 def labels_b(d):
     return f"""
     SELECT l.doc_id AS item_id, l.doc_id AS label_id, t.source AS source_id, t.lang AS predicted, (t.n_chars % 100) / 100.0E0 AS confidence,
-           l.quality = 1 AS is_in_category, l.toxic = 0 AS has_images, split_part(t.text, chr(10), 1) AS title,
+           l.quality = 1 AS is_in_category, l.toxic = 0 AS has_images, split_part(t.text, chr(10), 1) AS title, t.text AS description,
            CASE WHEN l.quality = 1 THEN 'accept' WHEN l.doc_id % 3 = 0 THEN 'reject' ELSE 'reclassify' END AS action,
            CASE WHEN l.quality = 1 THEN NULL WHEN l.doc_id % 3 = 1 THEN 'en' WHEN l.doc_id % 3 = 2 THEN 'fr' END AS correct_category,
            CASE l.doc_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN ' EN ' WHEN 2 THEN 'fr' END AS label_category,
@@ -590,4 +590,4 @@ def pages_x(d):
     specs = (f"""'<dl><dt>Sitthöjd</dt><dd>' || CAST(40 + page_id % 10 AS VARCHAR(9)) || ' cm</dd><dt>Vikt</dt><dd>' || CAST(page_id % 600 AS VARCHAR(9)) || ' kg</dd></dl>"""
              f"""<table class="spec"><tr><th>Antal sitsar</th><td>' || CAST(1 + page_id % 4 AS VARCHAR(9)) || '</td></tr></table><ul><li>Klädsel: Sammet</li></ul><span class="price">' || CAST(700 + page_id AS VARCHAR(12)) || ' kr</span>'""")
     return f"""
-    SELECT page_id, url, html || CASE page_id % 3 WHEN 0 THEN {ld} WHEN 1 THEN {state} ELSE {specs} END AS html FROM {d.ref('pages')}"""
+    SELECT page_id, url, CASE WHEN page_id % 21 = 20 THEN replace(replace(html, '<h1>', '<div>'), '</h1>', '</div>') ELSE html END || CASE page_id % 3 WHEN 0 THEN {ld} WHEN 1 THEN {state} ELSE {specs} END AS html FROM {d.ref('pages')}"""

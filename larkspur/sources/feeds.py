@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_feed_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def read_feed_csv(spark: SparkSession, path: str, columns: list[str] | None = None, multi_line: bool = False) -> DataFrame:
     """CSV feed with a header; every column is read as text.
 
-    With `columns` the schema is fixed and no file is opened while planning.
-    Quoted fields may span lines.
+    With `columns` the schema is fixed and no file is opened while planning. A feed whose quoted fields span lines needs
+    multi_line, which makes each file one task; other files are split.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if columns:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     return reader.csv(path)
@@ -30,11 +30,11 @@ FEED_JSON_ITEM = T.StructType([
 ])
 
 
-def read_feed_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_feed_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """JSON feed: a top-level list, or a list under `items` or `products`, or one object.
 
-    A pretty-printed document is one unsplittable record (multi_line); feeds
-    with one document per line split across tasks with multi_line=False.
+    Feeds with one document per line are split over tasks; a pretty-printed
+    document is one record, which needs multi_line and is one task a file.
     """
     schema = T.StructType(
         FEED_JSON_ITEM.fields

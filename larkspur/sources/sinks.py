@@ -42,8 +42,7 @@ def merge_events(events: DataFrame, key: str = "event_id", arrival: str = "arriv
 def _stored_days(df: DataFrame, path: str) -> DataFrame | None:
     """Rows of a dated table for the days that df touches; None where the table does not exist yet."""
     spark = df.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    if not _exists(spark, path):
         return None
     # an equi join on the partition column prunes the days at run time
     return spark.read.schema(df.schema).parquet(path).join(df.select("dt").distinct(), "dt", "left_semi").select(*df.columns)
@@ -73,9 +72,18 @@ def snapshot_hash(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
 
 
-def write_snapshots(df: DataFrame, columns: list[str], path: str) -> None:
-    (df.withColumn("snapshot_json", F.to_json(F.struct(*sorted(columns)))).withColumn("hash", F.sha2("snapshot_json", 256))
-     .write.mode("append").parquet(path))
+def _exists(spark, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def write_snapshots(df: DataFrame, columns: list[str], path: str, key: str) -> None:
+    """Adds a snapshot of each row whose hash its key does not bear yet; what is stored is read by key and hash alone."""
+    rows = df.withColumn("snapshot_json", F.to_json(F.struct(*sorted(columns)))).withColumn("hash", F.sha2("snapshot_json", 256))
+    if _exists(df.sparkSession, path):
+        stored = df.sparkSession.read.schema(rows.schema).parquet(path).select(key, "hash")
+        rows = materialize(rows.join(stored, [key, "hash"], "left_anti").select(*rows.columns), "snapshots")
+    rows.write.mode("append").parquet(path)
 
 
 def upsert_metrics(current: DataFrame, new: DataFrame) -> DataFrame:
