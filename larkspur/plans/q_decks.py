@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.operators import campaigns as C
+from larkspur.operators import evaluate as E
+from larkspur.operators import filters as _G
 from larkspur.operators import preferences as P
 from larkspur.operators import ranking as R
 from larkspur.operators import shaping as S
@@ -114,8 +116,6 @@ _KEYS = """dfeat AS (SELECT item_id, unnest(list_filter([word2, type_tag, 'mater
       'price_bucket:' || CASE WHEN price_amount <= 920 THEN 'budget' WHEN price_amount <= 940 THEN 'affordable' WHEN price_amount <= 960 THEN 'mid' WHEN price_amount <= 980 THEN 'premium' ELSE 'luxury' END,
       'seats:' || seat_count], lambda z: z IS NOT NULL)) AS key FROM deck_items_b)"""
 _TITLE = lambda words: " OR ".join(f"contains(lower(title), '{w}')" for w in words)
-from larkspur.operators import filters as _G  # noqa: E402
-
 _ITEMS = f"""di AS MATERIALIZED (SELECT *, coalesce(canonical_url, 'item:' || item_id) AS ukey,
       CASE WHEN ({_TITLE(_G.SURFACE_NOISE)}) OR coalesce(decision = 'REJECT', false) THEN false WHEN coalesce(decision = 'ACCEPT', false) THEN true WHEN coalesce(category = 'sofa', false) THEN true
         ELSE ({_TITLE(_G.SURFACE_TITLE)}) END AS surf
@@ -226,3 +226,40 @@ def rnk_build_decks(t):
     FROM se s JOIN ag USING (session_id) JOIN rates USING (session_id) LEFT JOIN dg USING (session_id) LEFT JOIN dp USING (session_id)""", _DV)
 def rnk_deck_facts(t):
     return slates(t).select("session_id", "fallback", "variant", "facts.*")
+
+
+# ---- offline study ------------------------------------------------------------------------------------------
+
+_R6 = "floor(({}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE"
+_STUDY = f"""WITH RECURSIVE {topk_sql(80)}, {_MMR_AT.replace("top60 AS", "t80 AS")},
+  {Q.mmr('m80', 't80', 0.95, 80)},
+  cfd AS (SELECT session_id, coalesce(CAST(max(weight) FILTER (WHERE weight > 0) AS DOUBLE) / CAST(sum(weight) FILTER (WHERE weight > 0) AS DOUBLE), 0) AS conf FROM w GROUP BY 1),
+  flat AS (SELECT session_id, 0.08::DOUBLE AS rate FROM cfd),
+  adapt AS (SELECT session_id, greatest(0.04::DOUBLE, least(0.16::DOUBLE, 0.08::DOUBLE * (1.0::DOUBLE + (1.0::DOUBLE - conf) * 1.25::DOUBLE))) AS rate FROM cfd),
+  {Q.explore('e0', 't80', 'flat', 20, 3)},
+  {Q.explore('e1', 'm80', 'flat', 20, 3)},
+  {Q.explore('e2', 'm80', 'adapt', 20, 3)},
+  sl AS MATERIALIZED (SELECT 'baseline' AS variant, session_id, rank, item_id FROM e0 UNION ALL SELECT 'mmr', session_id, rank, item_id FROM e1 UNION ALL SELECT 'mmr_adaptive', session_id, rank, item_id FROM e2),
+  orc AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, item_id) AS r FROM pair WHERE score > 0) WHERE r <= 20),
+  osz AS (SELECT session_id, count(*) AS n FROM orc GROUP BY 1),
+  per1 AS (SELECT s.variant, s.session_id, count(o.item_id) AS covered, avg(coalesce(o.score, 0.0::DOUBLE)) AS relevance FROM sl s LEFT JOIN orc o ON o.session_id = s.session_id AND o.item_id = s.item_id GROUP BY 1, 2),
+  dv AS (SELECT a.variant, a.session_id, sum({Q.jaccard('x.tk', 'y.tk')}) AS total, count(*) AS n FROM sl a JOIN sl b ON a.variant = b.variant AND a.session_id = b.session_id AND a.rank < b.rank
+    JOIN attr x ON x.item_id = a.item_id JOIN attr y ON y.item_id = b.item_id GROUP BY 1, 2)
+  SELECT p.variant, count(*) AS sessions, {_R6.format('avg(p.covered / z.n)')} AS coverage, {_R6.format('avg(p.relevance)')} AS relevance, {_R6.format('avg(1.0::DOUBLE - coalesce(d.total / d.n, 0))')} AS diversity
+  FROM per1 p JOIN osz z USING (session_id) LEFT JOIN dv d ON d.variant = p.variant AND d.session_id = p.session_id GROUP BY 1"""
+
+
+@query("evl_ranking_study", _STUDY, _V)
+def evl_ranking_study(t):
+    """Baseline, diversified and diversified-with-exploration slates of 20 against the oracle."""
+    w = materialize(weights(t), "study_weights")
+    tokens = t.items_b.select("item_id", R.style_tokens(t.items_b, R.MMR_FAMILIES).alias("tokens"))
+    base = materialize(R.preference_topk(w, t.items_b, 80, BOUNDS), "study_base")
+    mmr = S.unpack(S.reorder(S.slate_rows(base.join(tokens, "item_id")), lambda r: S.mmr(r, 0.95, 80))).withColumnRenamed("position", "rank")
+    rate = R.adaptive_rate(0.08, F.col("confidence"))
+    conf = P.preference_confidence(w)
+    def variant(name, df, r):
+        out = R.explore(df.join(conf, "session_id").select("session_id", "item_id", "rank", "confidence"), r, 20, seed=3)
+        return out.select(F.lit(name).alias("variant"), "session_id", F.col("rank").alias("position"), "item_id")
+    slates = variant("baseline", base, F.lit(0.08)).unionByName(variant("mmr", mmr, F.lit(0.08))).unionByName(variant("mmr_adaptive", mmr, rate))
+    return E.ranking_study(slates.join(tokens, "item_id"), R.preference_topk(w, t.items_b, 20, BOUNDS, positive_only=True))

@@ -286,22 +286,6 @@ def evl_oracle_topk(t):
     return E.oracle_topk(weights(t), t.items_b, 20).select("session_id", "item_id", r4(F.col("score")).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("evl_ranking_study")
-def evl_ranking_study(t):
-    """Baseline, diversified and diversified-with-exploration slates of 20 against the oracle."""
-    w = materialize(weights(t), "study_weights")
-    tokens = t.items_b.select("item_id", R.style_tokens(t.items_b, R.MMR_FAMILIES).alias("tokens"))
-    base = materialize(R.preference_topk(w, t.items_b, 80, BOUNDS), "study_base")
-    mmr = S.unpack(S.reorder(S.slate_rows(base.join(tokens, "item_id")), lambda r: S.mmr(r, 0.95, 80))).withColumnRenamed("position", "rank")
-    rate = R.adaptive_rate(0.08, F.col("confidence"))
-    conf = P.preference_confidence(w)
-    def variant(name, df, r):
-        out = R.explore(df.join(conf, "session_id").select("session_id", "item_id", "rank", "confidence"), r, 20, seed=3)
-        return out.select(F.lit(name).alias("variant"), "session_id", F.col("rank").alias("position"), "item_id")
-    slates = variant("baseline", base, F.lit(0.08)).unionByName(variant("mmr", mmr, F.lit(0.08))).unionByName(variant("mmr_adaptive", mmr, rate))
-    return E.ranking_study(slates.join(tokens, "item_id"), R.preference_topk(w, t.items_b, 20, BOUNDS, positive_only=True))
-
-
 _SITE = """pg AS (SELECT page_id, host AS site, page_id % 3 <> 0 AS accepted, page_id % 3 <> 0 AND page_id % 4 <> 0 AS complete, page_id % 5 AS image_urls, (page_id % 5) // 2 AS valid_images,
     CASE page_id % 9 WHEN 0 THEN 'HTTP 403 Forbidden' WHEN 3 THEN 'read timeout' WHEN 6 THEN 'blocked by robots' END AS error FROM pages_b)"""
 
