@@ -83,13 +83,16 @@ _H1 = r"trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(
 
 
 _DOM_TITLE = f"nullif({sql_unescape(_H1)}, '')"
+# a description is the first paragraph of 40 characters or more
+_PARAGRAPH = "trim(regexp_replace(regexp_replace(regexp_replace(x, '(?s)</p>.*|</article>.*', ''), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
+_DESCRIBED = f"len(list_filter(string_split(regexp_extract(html, '(?s)<article>.*', 0), '<p>')[2:], lambda x: length({sql_unescape(_PARAGRAPH)}) >= 40)) > 0"
 
 
 @query("ext_cascade", f"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'jsonld' WHEN 1 THEN 'embedded_json' ELSE 'dom' END AS method,
     CAST(CASE page_id % 3 WHEN 0 THEN 1000 WHEN 1 THEN 500 ELSE 700 END + page_id AS DOUBLE) AS price_amount,
     CASE page_id % 3 WHEN 0 THEN 'Soffa ' || page_id WHEN 1 THEN 'Stol ' || page_id ELSE {_DOM_TITLE} END AS title, CASE page_id % 3 WHEN 0 THEN 'SEK' WHEN 2 THEN 'SEK' END AS price_currency,
     CASE WHEN page_id % 3 = 0 THEN 'Brand ' || page_id % 7 END AS brand, CASE WHEN page_id % 3 = 0 THEN 210.0::DOUBLE END AS width_cm, CASE WHEN page_id % 3 = 0 THEN 85.0::DOUBLE END AS height_cm,
-    CASE page_id % 3 WHEN 0 THEN 'in_stock' WHEN 1 THEN 'unknown' END AS availability, floor(CASE page_id % 3 WHEN 0 THEN 15 WHEN 1 THEN 10 ELSE 11 END / 17.0::DOUBLE * 10000 + 0.5) / 10000 AS completeness
+    CASE page_id % 3 WHEN 0 THEN 'in_stock' WHEN 1 THEN 'unknown' END AS availability, floor(CASE page_id % 3 WHEN 0 THEN 15 WHEN 1 THEN 10 ELSE 9 + CASE WHEN {_DESCRIBED} THEN 2 ELSE 0 END END / 17.0::DOUBLE * 10000 + 0.5) / 10000 AS completeness
     FROM pages WHERE page_id % 3 <> 2 OR (page_id % 21 <> 20 AND {_DOM_TITLE} IS NOT NULL)""")
 def ext_cascade(t):
     return E.extract_products(t.pages_x).select("page_id", "method", "price_amount", "title", "price_currency", "brand", "width_cm", "height_cm", "availability",
