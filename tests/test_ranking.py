@@ -10,6 +10,7 @@ from larkspur.operators import preferences as P
 from larkspur.operators import ranking as R
 from larkspur.operators import shaping as S
 from larkspur.operators import targeting as T
+from larkspur.operators.scoring import top_profiles
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +50,24 @@ def test_preference_topk_matches_brute_force(catalog, bound):
     assert got == brute_topk(raw_items, raw_weights, 10)
 
 
+def test_large_catalogs_make_no_row_of_a_session_and_a_profile(catalog):
+    """Beyond the size of a block too, weights never meet profile keys in a join."""
+    items, weights, _, _ = catalog
+    for out in (R.preference_topk(weights, items, 10, max_profiles=0), R.overlap_histogram(P.top_keys(weights), items, max_profiles=0)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInPandas" in plan and not [line for line in plan.splitlines() if "Join" in line and "(key#" in line]
+
+
+def test_profiles_offer_what_better_ones_leave(spark):
+    """Copies of a profile: a session lists at most k rows before the final cut, not k items of each of k profiles."""
+    items = spark.range(400).select(F.col("id").alias("item_id"), F.array((F.col("id") % 20).cast("string")).alias("style_tags"))
+    weights = spark.range(20).select(F.lit(1).alias("session_id"), F.col("id").cast("string").alias("key"), (F.col("id") + 1).cast(P.WEIGHT).alias("weight"))
+    kept = top_profiles(weights, P.item_profiles(items), 20).collect()
+    assert [(r.first_item, r.needed) for r in kept] == [(19, 20)]
+    got = R.preference_topk(weights, items, 30).orderBy("rank").collect()
+    assert [r.item_id for r in got] == [*range(19, 400, 20), *range(18, 200, 20)]
+
+
 def test_overlap_plans_agree(catalog):
     items, weights, _, _ = catalog
     top = P.top_keys(weights)
