@@ -151,6 +151,19 @@ def match_segments(profiles: DataFrame, segments: DataFrame, threshold: float =
     return scored.where(F.col("all_required") & (F.col("match_score") >= threshold)).select("session_id", "segment_id", "match_score")
 
 
+def match_pairs(pairs: DataFrame, profiles: DataFrame, segments: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
+    """(session_id, segment_id, match_score) of those given pairs that match, as `match_segments` scores them.
+
+    Where the pairs are known, only these are scored: the rows are those of `pairs`, however many others match.
+    """
+    clean = lambda df: df.withColumns({c: F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))) for c in ("style_tags", "size_classes")})
+    p = clean(profiles).select("session_id", F.struct(*PROFILE_FIELDS).alias("p"))
+    s = clean(segments).select("segment_id", F.struct(*PROFILE_FIELDS).alias("s"))
+    asked = pairs.where(F.col("segment_id").isNotNull()).select("session_id", "segment_id").distinct()
+    scored = asked.join(p, "session_id").join(s, "segment_id").withColumns(match_columns())
+    return scored.where(F.col("all_required") & (F.col("match_score") >= threshold)).select("session_id", "segment_id", "match_score")
+
+
 def prefix_counts(points: DataFrame, probes: DataFrame) -> DataFrame:
     """(id, below): how many points of the probe's group lie below its value. points: (group, value); probes: (id, group, value).
 

@@ -150,7 +150,9 @@ def cmp_promoted_decision(t):
     n = t.supplier.agg(F.count("*")).scalar()
     cand = t.interactions_b.select("session_id", "item_id", F.when(F.col("item_id") % 4 != 0, 1 + F.col("item_id") % n).alias("campaign_id")).distinct()
     products = t.lineitem.selectExpr("l_suppkey AS campaign_id", "l_partkey AS item_id").distinct()
-    out = T.promoted_decision(cand, t.campaigns_b.where("status = 'active'"), products, T.match_segments(profiles(t), segments(t)))
+    active = t.campaigns_b.where("status = 'active'")
+    pairs = cand.join(active.select("campaign_id", "segment_id"), "campaign_id").select("session_id", "segment_id")
+    out = T.promoted_decision(cand, active, products, T.match_pairs(pairs, profiles(t), segments(t)))
     return out.select("session_id", "item_id", "reason")
 
 

@@ -118,6 +118,17 @@ def test_segment_match_equals_nested_loop(spark):
     assert got == {tuple(r) for r in want.collect()} and got
 
 
+def test_given_pairs_match_as_in_the_whole_join(spark):
+    """Of given pairs those of the whole join are found, and a pair that is not asked for is not."""
+    crit = lambda i: (i, ["a", "b"][i % 2:], ["small"][: i % 3], None, [None, 5.0 + i][i % 2], ["north", None][i % 2])
+    fields = "style_tags array<string>, size_classes array<string>, budget_min double, budget_max double, geo_region string"
+    p = spark.createDataFrame([crit(i) for i in range(12)], f"session_id int, {fields}")
+    s = spark.createDataFrame([crit(i) for i in range(12)], f"segment_id int, {fields}")
+    asked = spark.createDataFrame([(i, j) for i in range(12) for j in range(12) if (i + j) % 3] + [(99, 1), (1, None)], "session_id int, segment_id int")
+    want = {tuple(r) for r in T.match_segments(p, s).collect() if (r.session_id + r.segment_id) % 3}
+    assert {tuple(r) for r in T.match_pairs(asked, p, s).collect()} == want and want
+
+
 def test_no_pair_of_a_region_is_formed(spark):
     """Nine in ten profiles and segments share a region: the join's rows are those that agree in all they ask for."""
     p = spark.range(2000).select(F.col("id").alias("session_id"), F.array(F.concat(F.lit("s"), (F.col("id") % 40).cast("string"))).alias("style_tags"), F.array(F.lit("small")).alias("size_classes"),
