@@ -148,12 +148,16 @@ def user_sessions(sessions: DataFrame, users: DataFrame) -> DataFrame:
         "sessions", F.coalesce("sessions", F.array().cast(lists.schema["sessions"].dataType)))
 
 
-def changed_pages(pages: DataFrame, known: DataFrame) -> DataFrame:
-    """Pages that are new or whose content hash differs from the stored one."""
+def changed_pages(pages: DataFrame, known: DataFrame, key: str = "url") -> DataFrame:
+    """Pages that are new or whose content hash differs from every stored one; a row per page.
+
+    `key` names what a page is known by. Several stored hashes of a key do not repeat its pages.
+    """
     hashed = pages.withColumn("html_hash", F.sha2("html", 256))
-    stored = known.select("url", F.col("html_hash").alias("_known"))
-    return hashed.join(stored, "url", "left").where(~F.col("html_hash").eqNullSafe(F.col("_known"))).withColumn(
-        "is_new", F.col("_known").isNull()).drop("_known")
+    hashes = lambda c: F.coalesce(c, F.lit(""))
+    stored = known.groupBy(key).agg(F.collect_set(hashes(F.col("html_hash"))).alias("_known"))
+    rows = hashed.join(stored, key, "left").withColumn("is_new", F.col("_known").isNull())
+    return rows.where(F.col("is_new") | ~F.array_contains("_known", hashes(F.col("html_hash")))).drop("_known")
 
 
 def like_state(events: DataFrame) -> DataFrame:
