@@ -8,7 +8,8 @@ Scale: fitting takes about `SAMPLE` labelled documents of each language, those w
 follows from the language's number of labelled rows, and not more than `SAMPLE` of them; so a language is ranked among
 its few candidates, not among all its rows. Texts of the sample become feature vectors of fixed size where they are
 read. The weights (problems x 16 kB, problems bounded by the pairs of languages of a family and of families) are
-broadcast, and prediction is one pass over whole texts without a shuffle, `ROWS` rows at a time at most.
+broadcast, and prediction is one pass over whole texts without a shuffle, `ROWS` rows and about `BYTES` bytes at a time at
+most, so that a task holds few copies of either.
 
 Defined cases: a null text or one without a letter is `und` with score 0, as is every text when no row teaches a
 language; an empty or null language does not teach, nor does one with fewer than `LEAST` labelled rows; a row with a null id is not held out and does not teach; a language
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from larkspur.llm import common as c
 
 SAMPLE, WIDTH, GRAMS = 600, 4096, (1, 2, 3)
-LEAST, ROWS = 5, 512
+LEAST, ROWS, BYTES = 5, 128, 1 << 18  # rows and text bytes held as arrays at once
 LOST = 0.001  # share of the sample below the score at whose half a text is taken to be in none of the languages
 HELD_OUT_OF, HELD_OUT = 3, 1
 UNKNOWN = "und"
@@ -188,7 +189,7 @@ def held_out(id_col: str) -> Column:
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, buf, off in c.blocks(batch.column(2), rows=ROWS):
+        for lo, hi, buf, off in c.blocks(batch.column(2), BYTES, ROWS):
             part = batch.slice(lo, hi - lo)
             vectors = pa.array([x.tobytes() for x in features(buf, off).astype(np.float16)], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), vectors], ["lang", "order", "x"])
@@ -242,7 +243,7 @@ def _predict(model):
         known = model.value
         for batch in batches:
             letters = batch.column(3).to_numpy(zero_copy_only=False)
-            for lo, hi, buf, off in c.blocks(batch.column(2), rows=ROWS):
+            for lo, hi, buf, off in c.blocks(batch.column(2), BYTES, ROWS):
                 lang, score = np.full(hi - lo, UNKNOWN, object), np.zeros(hi - lo)
                 at = np.flatnonzero(letters[lo:hi])
                 if len(at) and known.langs:
