@@ -249,17 +249,23 @@ _STUDY = f"""WITH RECURSIVE {topk_sql(80)}, {_MMR_AT.replace("top60 AS", "t80 AS
   FROM per1 p JOIN osz z USING (session_id) LEFT JOIN dv d ON d.variant = p.variant AND d.session_id = p.session_id GROUP BY 1"""
 
 
+STUDY_SLATE = 20
+
+
 @query("evl_ranking_study", _STUDY, _V)
 def evl_ranking_study(t):
     """Baseline, diversified and diversified-with-exploration slates of 20 against the oracle."""
     w = materialize(weights(t), "study_weights")
     tokens = t.items_b.select("item_id", R.style_tokens(t.items_b, R.MMR_FAMILIES).alias("tokens"))
     base = materialize(R.preference_topk(w, t.items_b, 80, BOUNDS), "study_base")
-    mmr = S.unpack(S.reorder(S.slate_rows(base.join(tokens, "item_id")), lambda r: S.mmr(r, 0.95, 80))).withColumnRenamed("position", "rank")
+    # Exploration reads twice the slate; the re-ranked rows are read by two variants.
+    first = lambda r: S.mmr(r, 0.95, 80, need=2 * STUDY_SLATE)
+    mmr = materialize(S.unpack(S.reorder(S.slate_rows(base.join(tokens, "item_id")), first)).select(
+        "session_id", "item_id", F.col("position").alias("rank")), "study_mmr")
     rate = R.adaptive_rate(0.08, F.col("confidence"))
     conf = P.preference_confidence(w)
     def variant(name, df, r):
-        out = R.explore(df.join(conf, "session_id").select("session_id", "item_id", "rank", "confidence"), r, 20, seed=3)
+        out = R.explore(df.join(conf, "session_id").select("session_id", "item_id", "rank", "confidence"), r, STUDY_SLATE, seed=3)
         return out.select(F.lit(name).alias("variant"), "session_id", F.col("rank").alias("position"), "item_id")
     slates = variant("baseline", base, F.lit(0.08)).unionByName(variant("mmr", mmr, F.lit(0.08))).unionByName(variant("mmr_adaptive", mmr, rate))
-    return E.ranking_study(slates.join(tokens, "item_id"), R.preference_topk(w, t.items_b, 20, BOUNDS, positive_only=True))
+    return E.ranking_study(materialize(slates.join(tokens, "item_id"), "study_slates"), R.preference_topk(w, t.items_b, 20, BOUNDS, positive_only=True))

@@ -161,3 +161,11 @@ def test_segment_criteria_issues(spark):
     r = T.normalize_criteria(df).first()
     assert r.style_tags == ["modern"] and r.geo_region == "sweden" and r.geo_postcodes == ["11452"]
     assert {i.split(":")[0] for i in r.issues} == {"sizeClasses", "geoPostcodes", "budgetMin/budgetMax"}
+
+
+def test_study_reranks_once(spark):
+    """Slates are written once and read by what follows, so the re-ranking is not part of the returned plan."""
+    from larkspur.plans.q_decks import evl_ranking_study
+    from larkspur.sources.bindings import Tables
+    files = evl_ranking_study(Tables(spark, "/root/testdata/sf0.001")).inputFiles()
+    assert any("study_slates" in f for f in files) and not any("study_base" in f for f in files)
