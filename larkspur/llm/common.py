@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import sys
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -154,6 +156,35 @@ def rows_of(counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(counts)), counts)
 
 
+# --- memory of a worker -------------------------------------------------------------------------------------------
+
+
+def _release() -> None:
+    """Drops what functions of other stages keep in this worker, and gives memory that numpy and Arrow hold free back to the system."""
+    packing = sys.modules.get("larkspur.llm.packing")
+    if packing:
+        packing.word_ids.cache_clear()
+    _powers.cache_clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """A map of Arrow batches that starts without the tables of earlier stages and leaves no free memory in its worker.
+
+    Workers serve the tasks of all stages, so what one stage keeps adds to what the next one needs."""
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _release()
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return mapped
+
+
 SQL_LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"  # for the oracles
 
 

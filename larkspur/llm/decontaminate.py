@@ -151,7 +151,7 @@ def contaminated_texts(docs: DataFrame, items: DataFrame, carry: list[str], text
     shared = spark.sparkContext.broadcast(c.bit_set(bench, "fp", bits))
     source = docs.select(F.struct(*[F.col(f"`{x}`") for x in carry]).alias("carry"), *c.text_key(F.col(f"`{text_col}`")), F.col(text_col).alias("text"))
     schema = T.StructType([*source.schema.fields[:3], *T._parse_datatype_string(_PRINTS).fields])
-    prints = c.materialize(source.mapInArrow(_mapper(["carry", "tk1", "tk2"], "text", span, k, lengths, shared, False), schema), "prints")
+    prints = c.materialize(source.mapInArrow(c.lean(_mapper(["carry", "tk1", "tk2"], "text", span, k, lengths, shared, False)), schema), "prints")
     hits = hit_spans(prints, bench, k)
     covered = (hits.select("tk1", "tk2", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("word")).distinct()
                .groupBy("tk1", "tk2").agg(F.count("*").alias("n_hit")))

@@ -227,7 +227,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not problems:
         return Model(langs, [])
     texts = docs.select(*keys, F.col(text_col).alias("text")).join(chosen, ["rk1", "rk2"]).select("lang", "order", "text")
-    vectors = c.materialize(texts.mapInArrow(_vectors, "lang string, order long, x binary"), "sample-vectors")
+    vectors = c.materialize(texts.mapInArrow(c.lean(_vectors), "lang string, order long, x binary"), "sample-vectors")
     sides = [(level, a, b, lang, side) for level, a, b, left, right in problems for side, group in ((1, left), (-1, right)) for lang in group]
     table = docs.sparkSession.createDataFrame(sides, "level string, a string, b string, lang string, side int")
     fitted = (vectors.join(table, "lang").groupBy("level", "a", "b")
@@ -264,7 +264,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     source = docs.select(F.struct(*[F.col(f"`{x}`") for x in carry or [id_col]]).alias("carry"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"), letters.alias("letters"))
     schema = T.StructType([*source.schema.fields[:2], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
-    return source.mapInArrow(_predict(model), schema)
+    return source.mapInArrow(c.lean(_predict(model)), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -245,7 +245,7 @@ def _prefix_pairs(rest: DataFrame, classes: DataFrame, sets: DataFrame, percent:
     shared = spark.sparkContext.broadcast(counts)
     rows = (rest.groupBy("v").agg(F.first("root").alias("root"), F.max(~F.col("largest")).alias("probe")).join(sets, "v")
             .join(classes.select("v", "n", "sig"), "v").select("v", "root", "probe", "shingles", "n", "sig"))
-    found = c.materialize(rows.mapInArrow(_prefixes(percent, shared), "token long, step int, v binary, root binary, n long, sig array<long>, probe boolean"), "prefixes")
+    found = c.materialize(rows.mapInArrow(c.lean(_prefixes(percent, shared)), "token long, step int, v binary, root binary, n long, sig array<long>, probe boolean"), "prefixes")
     index = found.where(~F.col("probe")).select("token", "step", *[F.col(x).alias(f"w_{x}") for x in ("v", "root", "n", "sig")])
     return (found.where("probe").join(index, ["token", "step"]).where((F.col("root") != F.col("w_root")) & _possible("n", "w_n", "sig", "w_sig", percent))
             .select(F.least("v", "w_v").alias("a"), F.greatest("v", "w_v").alias("b")).distinct())
@@ -259,7 +259,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), *c.row_key(id_col, text_col), F.col(text_col).alias("text"))
     texts = source.select("rk1", "rk2", "text")
-    signed = c.materialize(source.mapInArrow(_signatures(shingle, bands, rows), f"id {kind}, rk1 long, rk2 long, n long, v binary, bands array<long>, sig array<long>"), "signatures")
+    signed = c.materialize(source.mapInArrow(c.lean(_signatures(shingle, bands, rows)), f"id {kind}, rk1 long, rk2 long, n long, v binary, bands array<long>, sig array<long>"), "signatures")
     classes = c.materialize(signed.where(F.col("v").isNotNull()).groupBy("v").agg(
         F.min(F.struct("rk1", "rk2")).alias("rk"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
     every = classes.select("v", F.explode("bands").alias("bucket"))
@@ -314,7 +314,7 @@ def _sets(texts: DataFrame, classes: DataFrame, used: DataFrame, shingle: int) -
     """(v, shingles) of the used classes, from one document of each."""
     wanted = c.materialize(classes.join(used.distinct(), "v", "left_semi").select("v", "rk.rk1", "rk.rk2"), "wanted")
     bits = texts.sparkSession.sparkContext.broadcast(c.bit_set(wanted, "rk1", NEEDED_BITS))
-    some = texts.mapInArrow(_needed_sets(shingle, bits), "rk1 long, rk2 long, shingles array<long>")
+    some = texts.mapInArrow(c.lean(_needed_sets(shingle, bits)), "rk1 long, rk2 long, shingles array<long>")
     return c.materialize(some.join(wanted, ["rk1", "rk2"]).select("v", "shingles").dropDuplicates(["v"]), "sets")
 
 
