@@ -75,6 +75,29 @@ def test_overlap_plans_agree(catalog):
     assert rows(200_000) == rows(0)
 
 
+@pytest.mark.parametrize("normalize,positive_only", [(True, False), (False, True), (False, False)])
+def test_bounded_search_equals_a_full_scan(normalize, positive_only):
+    """Most first halves are left out by their bound, and ties at the k-th score still go to the smaller profile."""
+    import pyarrow as pa
+    from larkspur.operators import scoring
+    rng = np.random.default_rng(3)
+    keys = sorted({tuple(sorted({f"{c}{rng.integers(6)}" for c in "abcdef" if rng.random() < 0.9})) for _ in range(20_000)})
+    table = scoring._table(pa.table({"keys": pa.array(map(list, keys), pa.list_(pa.string())), "first_item": rng.permutation(len(keys)), "items": np.ones(len(keys), np.int64)}))
+    assert len(table.sizes) < len(keys)
+    for k in (1, 20, 300):
+        cents = {f"{c}{i}": float(rng.integers(-3, 4) * 35) for c in "abcdef" for i in range(5)}
+        w = scoring._matrix(table, [list(cents)], [list(cents.values())])
+        w[w != 0] += scoring.HIT
+        left, right = (part[0] for part in scoring._parts(table, w))
+        firsts = np.repeat(np.arange(len(table.sizes)), table.sizes)
+        sums, hits = scoring._split(left[firsts] + right[table.second])
+        every = np.full(len(keys), -np.inf)
+        every[table.names] = scoring._scores(sums, hits, normalize, positive_only)
+        want = [i for i in np.lexsort((np.arange(len(keys)), -every))[:k] if every[i] > -np.inf]
+        scores, profiles, matches = scoring._winners(table, left, right, k, normalize, positive_only)
+        assert profiles.tolist() == want and scores.tolist() == every[want].tolist() and matches.min() > 0
+
+
 @pytest.mark.parametrize("cap,window", [(2, 5), (1, 12), (6, 3)])
 def test_native_key_cap_equals_the_scan(spark, cap, window):
     rng = random.Random(cap * 10 + window)
