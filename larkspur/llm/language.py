@@ -1,15 +1,17 @@
 """Hierarchical language identification: the family first, then one-versus-one linear support vector machines within it.
 
 Texts become hashed byte n-grams (one to three bytes, case folded, runs of other characters as one space), square-rooted
-and normalised. Families are told apart by the same kind of machine. Each two-sided problem is fitted in a task of its
-own and its margin is calibrated on a fifth of its sample that the fit does not see.
-
-Scale: fitting takes about `SAMPLE` labelled documents of each language, those whose hashed ids lie below a bound that
-follows from the language's number of labelled rows, and not more than `SAMPLE` of them; so a language is ranked among
-its few candidates, not among all its rows. Texts of the sample become feature vectors of fixed size where they are
-read. The weights (problems x 16 kB, problems bounded by the pairs of languages of a family and of families) are
-broadcast, and prediction is one pass over whole texts without a shuffle, `ROWS` rows and about `BYTES` bytes at a time at
-most, so that a task holds few copies of either.
+and normalised. Families are told apart by the same kind of machine. The labelled documents, all of them, are dealt into
+parts; a part fits each two-sided problem and calibrates its margin on a fifth of its rows that the fit does not see, and
+the model is the mean of the calibrated machines of all parts.
+
+Scale: a part holds about `PART` documents of the largest language, or fewer with many languages, so a task's arrays are
+bounded and their number grows with the rows. A language of less than `LEAST_PART` rows a part is in several parts with the same rows, so that every
+part knows it. Machines are summed as integers, in the tasks first, so a problem's sum does not depend on their order.
+The score limit comes from counts of all labelled rows by score, in one pass without a shuffle of texts. The weights
+(problems x 16 kB, problems bounded by the pairs of languages of a family and of families) are broadcast, and prediction
+is one pass over whole texts without a shuffle, `ROWS` rows and about `BYTES` bytes at a time at most, so that a task
+holds few copies of either.
 
 Defined cases: a null text or one without a letter is `und` with score 0, as is every text when no row teaches a
 language; an empty or null language does not teach, nor does one with fewer than `LEAST` labelled rows; a row with a null id is not held out and does not teach; a language
@@ -29,9 +31,11 @@ from pyspark.sql import types as T
 
 from larkspur.llm import common as c
 
-SAMPLE, WIDTH, GRAMS = 600, 4096, (1, 2, 3)
+PART, LEAST_PART, STEPS = 600, 100, 100  # rows of the largest language in a part, of any other at least, steps of a fit
+WIDTH, GRAMS = 4096, (1, 2, 3)
+FIXED, BINS = 2.0 ** 32, 10_000  # unit of summed weights, and bins of the scores that the limit is read from
 LEAST, ROWS, BYTES = 5, 128, 1 << 18  # rows and text bytes held as arrays at once
-LOST = 0.001  # share of the sample below the score at whose half a text is taken to be in none of the languages
+LOST = 0.001  # share of the labelled rows below the score at whose half a text is taken to be in none of the languages
 HELD_OUT_OF, HELD_OUT = 3, 1
 UNKNOWN = "und"
 # Families of languages
@@ -93,18 +97,23 @@ def with_bias(x: np.ndarray) -> np.ndarray:
 
 
 def fit_margin(x: np.ndarray, y: np.ndarray, strength: float = 1e-3, steps: int = 200) -> np.ndarray:
-    """Weights of an L2-regularised squared-hinge machine, by accelerated gradient steps; x bears the bias as last column."""
+    """Weights of an L2-regularised squared-hinge machine, by accelerated gradient steps; x bears the bias as last column.
+
+    With fewer rows than columns the same steps are taken on a coefficient for each row, by the rows' inner products."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w = np.zeros(x.shape[1], np.float32)
+    few = len(x) < x.shape[1]
+    inner = x @ x.T if few else None
+    w = np.zeros(len(x) if few else x.shape[1], np.float32)
     v, t = w.copy(), 1.0
     rate = 1.0 / (2 * 2.0 + strength)  # rows have norm sqrt 2 with the bias
     for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ v))
-        grad = strength * v - 2 * (x.T @ (weight * y * slack))
+        slack = np.maximum(0, 1 - y * (inner @ v if few else x @ v))
+        pull = weight * y * slack
+        grad = strength * v - 2 * (pull if few else x.T @ pull)
         nxt = v - rate * grad
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, w, t = nxt + (t - 1) / t2 * (nxt - w), nxt, t2
-    return w
+        v, w, t = nxt + np.float32((t - 1) / t2) * (nxt - w), nxt, t2
+    return x.T @ w if few else w
 
 
 def calibrate(margin: np.ndarray, y: np.ndarray) -> float:
@@ -114,19 +123,35 @@ def calibrate(margin: np.ndarray, y: np.ndarray) -> float:
     return float(slopes[int(np.argmin(losses))])
 
 
-def _fit(rows: pd.DataFrame) -> pd.DataFrame:
-    """One problem: features of side 1 against side -1. Every fifth row, held back from the fit, stands at the end."""
-    rows = rows.sort_values("order", kind="stable")
-    held = np.arange(len(rows)) % 5 == 0
-    place = np.argsort(held, kind="stable")
-    x, y = np.ones((len(rows), WIDTH + 1), np.float32), rows["side"].to_numpy(np.float32)[place]
-    for i, row in enumerate(rows["x"].to_numpy()[place]):
-        x[i, :-1] = np.frombuffer(row, np.float16)
-    n = int((~held).sum())
-    w = fit_margin(x[:n], y[:n])
-    margin = x[n:] @ w
-    slope = calibrate(margin, y[n:]) if held.any() else 1.0
-    return pd.DataFrame({"level": rows["level"].iloc[:1], "a": rows["a"].iloc[:1], "b": rows["b"].iloc[:1], "slope": [slope], "weights": [w.astype("<f4").tobytes()]})
+def _fit_part(problems: list):
+    """All problems of one part, of which both sides are there: weights times slope. Every fifth row is held back from the fit."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates().sort_values(["order", "text", "lang"], kind="stable")
+        x = with_bias(np.concatenate([features(buf, off) for _, _, buf, off in c.blocks(pa.array(rows["text"], pa.large_string()), BYTES, ROWS)]))
+        lang, out = rows["lang"].to_numpy(), []
+        for level, a, b, left, right in problems:
+            y = np.where(np.isin(lang, left), 1, np.where(np.isin(lang, right), -1, 0)).astype(np.float32)
+            at = np.flatnonzero(y)
+            held = np.arange(len(at)) % 5 == 0
+            fit, check = at[~held], at[held]
+            if len(np.unique(y[fit])) < 2:
+                continue
+            w = fit_margin(x[fit], y[fit], steps=STEPS)
+            out.append((level, a, b, 1, (w * np.float64(calibrate(x[check] @ w, y[check])) * FIXED).astype("<i8").tobytes()))
+        return pd.DataFrame(out, columns=["level", "a", "b", "parts", "weights"])
+
+    return run
+
+
+def _summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Machines of a task, summed by problem."""
+    total: dict[tuple, list] = {}
+    for frame in frames:
+        for level, a, b, parts, weights in frame.itertuples(index=False):
+            held = total.setdefault((level, a, b), [0, np.zeros(WIDTH + 1, np.int64)])
+            held[0] += parts
+            held[1] += np.frombuffer(weights, "<i8")
+    yield pd.DataFrame([(*key, parts, w.astype("<i8").tobytes()) for key, (parts, w) in total.items()], columns=["level", "a", "b", "parts", "weights"])
 
 
 def _problems(langs: list[str]) -> list[tuple[str, str, str, tuple[str, ...], tuple[str, ...]]]:
@@ -150,9 +175,9 @@ class Model:
         for lang in self.langs:
             self.families.setdefault(family(lang), []).append(lang)
         self.keys = [(r["level"], r["a"], r["b"]) for r in fitted]
-        rows = [np.frombuffer(r["weights"], "<f4") for r in fitted]
-        self.weights = np.stack(rows) if rows else np.zeros((0, WIDTH + 1), np.float32)
-        self.slopes = np.array([r["slope"] for r in fitted])
+        rows = [np.frombuffer(r["weights"], "<i8") / FIXED / r["parts"] for r in fitted]
+        self.weights = np.stack(rows).astype(np.float32) if rows else np.zeros((0, WIDTH + 1), np.float32)
+        self.slopes = np.ones(len(rows))  # the weights hold them
 
     def _choose(self, level: str, names: list[str], chance: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Index of the name with the most one-versus-one support, and its mean support."""
@@ -187,24 +212,24 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(HELD_OUT_OF)) == HELD_OUT, F.lit(False))
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi, buf, off in c.blocks(batch.column(2), BYTES, ROWS):
-            part = batch.slice(lo, hi - lo)
-            vectors = pa.array([x.tobytes() for x in features(buf, off).astype(np.float16)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), vectors], ["lang", "order", "x"])
-
-
 def _scores(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), ROWS):
-                x = np.frombuffer(b"".join(batch.column(0).slice(lo, ROWS).to_pylist()), np.float16).reshape(-1, WIDTH).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array(model.value.predict(x)[1])], ["score"])
+            for _, _, buf, off in c.blocks(batch.column(0), BYTES, ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(model.value.predict(features(buf, off))[1])], ["score"])
 
     return run
 
 
+def dealt(labelled: DataFrame, counts: dict[str, int]) -> DataFrame:
+    """Rows with their part. A language too small for all parts has fewer places, each of which is several parts."""
+    parts = max(1, -(-max(counts.values()) // PART), -(-sum(counts.values()) // (4 * PART)))
+    places = {lang: min(parts, max(1, n // LEAST_PART)) for lang, n in counts.items()}
+    table = labelled.sparkSession.createDataFrame(sorted(places.items()), "lang string, places int")
+    first = F.pmod(F.xxhash64(F.lit(11), "order", "text"), F.col("places")).cast("int")
+    return labelled.join(F.broadcast(table), "lang").select("lang", "order", "text", F.explode(F.sequence(first, F.lit(parts - 1), F.col("places"))).alias("part"))
+
+
 def sample_of(labelled: DataFrame, sample: int) -> DataFrame:
     """labelled: (lang, order, rk1, rk2). At most `sample` rows of each language, by their place in a hashed order."""
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
@@ -216,25 +241,34 @@ def sample_of(labelled: DataFrame, sample: int) -> DataFrame:
     return near.select("lang", "order", "rk1", "rk2").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample).drop("rank")
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Model from labelled rows that are not held out."""
-    keys = c.row_key(id_col, text_col)
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int | None = None) -> Model:
+    """Model from all labelled rows that are not held out, or from a sample of a given size of each language."""
+    spark = docs.sparkSession
     labelled = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col) & (F.col(lang_col) != "") & F.col(text_col).rlike(r"\p{L}"))
-    labelled = c.materialize(labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit(7), F.col(id_col)).alias("order"), *keys), "labelled")
-    chosen = c.materialize(sample_of(labelled, sample).distinct(), "sample")  # `sample` rows a language
-    langs = [r[0] for r in chosen.select("lang").distinct().collect()]
-    problems = _problems(langs)
+    labelled = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit(7), F.col(id_col)).alias("order"), F.col(text_col).alias("text"), *c.row_key(id_col, text_col))
+    if sample:
+        keys = c.materialize(labelled.drop("text"), "labelled")
+        labelled = labelled.join(c.materialize(sample_of(keys, sample).distinct(), "sample"), ["lang", "order", "rk1", "rk2"], "left_semi")
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect() if r[1] >= LEAST}
+    problems = _problems(list(counts))
     if not problems:
-        return Model(langs, [])
-    texts = docs.select(*keys, F.col(text_col).alias("text")).join(chosen, ["rk1", "rk2"]).select("lang", "order", "text")
-    vectors = c.materialize(texts.mapInArrow(c.lean(_vectors), "lang string, order long, x binary"), "sample-vectors")
-    sides = [(level, a, b, lang, side) for level, a, b, left, right in problems for side, group in ((1, left), (-1, right)) for lang in group]
-    table = docs.sparkSession.createDataFrame(sides, "level string, a string, b string, lang string, side int")
-    fitted = (vectors.join(table, "lang").groupBy("level", "a", "b")
-              .applyInPandas(_fit, "level string, a string, b string, slope double, weights binary").collect())
-    model = Model(langs, sorted(fitted, key=lambda r: (r["level"], r["a"], r["b"])))
-    scores = vectors.select("x").repartition(32).mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model)), "score double")
-    model.limit = (scores.agg(F.percentile("score", LOST)).first()[0] or 0.0) / 2
+        return Model(list(counts), [])
+    schema = "level string, a string, b string, parts long, weights binary"
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))  # named, as small parts would be merged into few tasks
+    fitted = dealt(labelled, counts).repartition(width, "part").groupBy("part").applyInPandas(_fit_part(problems), schema).mapInPandas(_summed, schema)
+    fitted = fitted.groupBy("level", "a", "b").applyInPandas(lambda rows: next(_summed(iter([rows]))), schema).collect()
+    found = {(r["level"], r["a"], r["b"]): r for r in fitted}
+    none = np.zeros(WIDTH + 1, "<i8").tobytes()
+    model = Model(list(counts), [found.get(p[:3]) or {"level": p[0], "a": p[1], "b": p[2], "parts": 1, "weights": none} for p in sorted(problems)])
+    known = labelled.where(F.col("lang").isin(list(counts))).select("text")
+    scores = known.mapInArrow(c.lean(_scores(spark.sparkContext.broadcast(model))), "score double")
+    bins = scores.groupBy(F.floor(F.col("score") * BINS).alias("bin")).count().orderBy("bin").collect()  # at most BINS + 1 rows
+    below, bound = 0, LOST * sum(r[1] for r in bins)
+    for edge, n in bins:
+        model.limit = edge / BINS / 2
+        below += n
+        if below > bound:
+            break
     return model
 
 
@@ -255,9 +289,9 @@ def _predict(model):
     return run
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, carry: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int | None = None, carry: list[str] | None = None) -> DataFrame:
     """One row per document: a struct `carry` of the named columns (the id by default), held_out, lang_pred, score, and
-    accepted (a language was told, at half the score that all but `LOST` of the sample reach, or more)."""
+    accepted (a language was told, at half the score that all but `LOST` of the labelled rows reach, or more)."""
     spark = docs.sparkSession
     c.ship_package(spark)
     model = spark.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col, sample))

@@ -84,3 +84,35 @@ def test_sample_is_the_first_rows_in_hashed_order(spark, sample):
 def test_many_short_rows_stay_in_small_blocks():
     texts = pa.array(["ab"] * 5000)
     assert max(hi - lo for lo, hi, _, _ in c.blocks(texts, rows=language.ROWS)) == language.ROWS
+
+
+def test_every_labelled_row_is_dealt_into_a_part(spark):
+    """No row is left out of the fit, and a language of few rows is in every part."""
+    rows = spark.range(4000).select(F.when(F.col("id") < 30, "rare").when(F.col("id") < 900, "de").otherwise("en").alias("lang"), F.xxhash64("id").alias("order"), F.col("id").cast("string").alias("text"))
+    got = language.dealt(rows, {"rare": 30, "de": 870, "en": 3100}).collect()
+    by = collections.defaultdict(set)
+    for r in got:
+        by[r.part].add(r.lang)
+    assert {r.text for r in got} == {str(i) for i in range(4000)}
+    assert len(by) == 6 and all(langs == {"rare", "de", "en"} for langs in by.values())
+    assert collections.Counter(r.lang for r in got) == {"rare": 180, "de": 870, "en": 3100}
+
+
+def test_model_of_several_parts_reads_all_rows(spark, monkeypatch):
+    """With parts of ten rows the mean of their machines still tells the labelled texts apart."""
+    monkeypatch.setattr(language, "PART", 10)
+    docs = fixtures.frame(spark)
+    model = language.learn(docs)
+    rows = docs.where("lang is not null and text is not null").collect()
+    lang, _ = model.predict(language.features(*c.raw(pa.array([r.text for r in rows]))))
+    assert np.mean(lang == np.array([r.lang for r in rows], object)) > 0.9 and model.limit < 0.5
+
+
+def test_row_coefficients_give_the_same_machine():
+    """With fewer rows than columns the steps are taken on the rows; columns of zeros change the way, not the weights."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 20)).astype(np.float32)
+    x = language.with_bias(x / np.linalg.norm(x, axis=1, keepdims=True))
+    y = np.where(x[:, 0] + 0.1 * x[:, 1] > 0, 1, -1).astype(np.float32)
+    wide = np.hstack([np.zeros((60, 100), np.float32), x])
+    assert np.allclose(language.fit_margin(wide, y)[100:], language.fit_margin(x, y), atol=1e-3)
