@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import url as U
 from larkspur.functions.numbers import js_round
-from larkspur.functions.staging import pin
+from larkspur.functions.staging import pin, spread_rows
 from larkspur.functions.text import contains_any
 from larkspur.functions.url_type import candidate_rank, classify_url, is_product_candidate, split_url
 
@@ -23,8 +23,8 @@ def dedupe_urls(urls: DataFrame, order: str) -> DataFrame:
 
 
 def with_url_type(urls: DataFrame) -> DataFrame:
-    """Add confidence and hint."""
-    typed = pin(split_url(urls), _type=classify_url(F.col("url")))
+    """Add confidence and hint; the rows are dealt over all cores before they are scored."""
+    typed = pin(split_url(spread_rows(urls)), _type=classify_url(F.col("url")))
     return typed.select(*urls.columns, "_type.confidence", "_type.hint")
 
 
@@ -80,10 +80,10 @@ def rank_candidates(urls: DataFrame, n: int, from_crawl: Column | None = None) -
     applied below the shuffle, so a dominant host sends at most n rows per task.
     """
     typed = with_url_type(urls)
-    scored = typed.withColumn("rank_score", js_round(candidate_rank(
+    scored = pin(typed, rank_score=js_round(candidate_rank(
         F.col("url"), F.col("confidence"), F.col("hint"),
-        from_crawl if from_crawl is not None else F.lit(False)), 4))
-    best = scored.groupBy(U.host(F.col("url")).alias("host"), U.url_key(F.col("url")).alias("url_key")).agg(
+        from_crawl if from_crawl is not None else F.lit(False)), 4), host=U.host(F.col("url")), url_key=U.url_key(F.col("url")))
+    best = scored.groupBy("host", "url_key").agg(
         F.max_by(F.struct("url", "confidence", "hint", "rank_score"),
                  F.struct(F.col("rank_score"), F.col("url"))).alias("b"))
     w = Window.partitionBy("host").orderBy(F.desc("b.rank_score"), "url_key")
