@@ -10,6 +10,7 @@ from larkspur.functions import price as P
 from larkspur.functions import text as T
 from larkspur.functions import url as U
 from larkspur.functions.hashing import short_sha, stable_id
+from larkspur.functions.staging import pin
 
 
 def col_or_null(df: DataFrame, name: str, dtype: str = "string") -> Column:
@@ -81,9 +82,9 @@ def normalize_feed(mapped: DataFrame, source_id: Column) -> DataFrame:
     url = F.trim("url")
     title = F.coalesce(T.clean_title(F.col("title")), F.lit("Untitled"))
     image = F.trim("image_url")
-    staged = mapped.withColumns({
-        "_price": P.price_amount(F.col("price")), "_url": url, "_title": title, "_canonical": U.canonical_url(url)})
-    return staged.where(F.col("_price").isNotNull() & (F.col("_url") != "")).select(
+    valid = pin(mapped, _price=P.price_amount(F.col("price")), _url=url).where(F.col("_price").isNotNull() & (F.col("_url") != ""))
+    staged = pin(valid, _title=title, _canonical=U.canonical_url(F.col("_url")))
+    return staged.select(
         short_sha(F.col("_canonical")).alias("id"),
         source_id.alias("source_id"), F.lit("feed").alias("source_type"),
         F.col("_url").alias("source_url"), F.col("_canonical").alias("canonical_url"),
@@ -117,12 +118,13 @@ def _blob(df: DataFrame, *names: str) -> Column:
 
 def derive_tags(items: DataFrame, style_cap: int = 8, eco_cap: int = 6) -> DataFrame:
     """style_tags and eco_tags, at most so many, with keyword tags added."""
-    style = T.tags_of(_blob(items, "title", "description", "product_type", "breadcrumb_text", "facet_text"), L.STYLES)
-    eco = T.tags_of(_blob(items, "title", "description", "material", "cover_material", "frame_material"), L.ECO)
-    return items.withColumns({
+    blobs = pin(items, _style=_blob(items, "title", "description", "product_type", "breadcrumb_text", "facet_text"),
+                _eco=_blob(items, "title", "description", "material", "cover_material", "frame_material"))
+    style, eco = T.tags_of(F.col("_style"), L.STYLES), T.tags_of(F.col("_eco"), L.ECO)
+    return blobs.withColumns({
         "style_tags": merged_tags(col_or_null(items, "style_tags", "array<string>"), style, style_cap),
         "eco_tags": merged_tags(col_or_null(items, "eco_tags", "array<string>"), eco, eco_cap),
-    })
+    }).drop("_style", "_eco")
 
 
 def derive_modular(items: DataFrame) -> Column:
@@ -185,9 +187,10 @@ def hygiene_changes(items: DataFrame) -> DataFrame:
     desc = T.clean_description(F.col("description"))
     numeric = dict(items.dtypes)["price_amount"] in ("double", "float", "int", "bigint")
     candidates = {n: F.col(n) for n in ("price_amount", "price_original", "price_raw") if n in items.columns}
-    base = items.withColumns({
-        "new_title": title, "new_description": desc,
-        "_current": P.price_amount(F.col("price_amount").cast("string")), "_resolved": P.resolve_price(candidates)})
+    parsed = {f"_{n}": P.price_amount(c.cast("string")) for n, c in candidates.items()}
+    staged = pin(items, new_title=title, new_description=desc, **parsed)
+    base = staged.withColumns({
+        "_current": F.col("_price_amount"), "_resolved": P.first_price({n: F.col(f"_{n}") for n in candidates})})
     value, source = F.col("_resolved.value"), F.col("_resolved.source")
     changed = (F.abs(F.col("_current") - value) > 1e-6) | F.lit(not numeric)
     reasons = F.array_compact(F.array(

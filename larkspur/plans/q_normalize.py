@@ -9,6 +9,7 @@ from larkspur.functions import lexicons as L
 from larkspur.functions import price as P
 from larkspur.functions import text as T
 from larkspur.functions.numbers import finite
+from larkspur.functions.staging import spread_rows
 from larkspur.operators import normalize as N
 from larkspur.plans.registry import query
 
@@ -242,7 +243,8 @@ _ECO_SQL = _merged_sql("CAST([] AS VARCHAR[])", sql_blob("title", "description")
 
 @query("nrm_style_tags", f"SELECT item_id, {_STYLE_SQL} AS style_tags, {_ECO_SQL} AS eco_tags FROM catalog_b", "catalog_b")
 def nrm_style_tags(t):
-    return N.derive_tags(t.catalog_b).select("item_id", F.array_join("style_tags", ",").alias("style_tags"),
+    items = spread_rows(t.catalog_b.select("item_id", "title", "description", "breadcrumb_text", "style_tags"))
+    return N.derive_tags(items).select("item_id", F.array_join("style_tags", ",").alias("style_tags"),
                                              F.array_join("eco_tags", ",").alias("eco_tags"))
 
 
@@ -259,7 +261,11 @@ _SIZED = f"sized AS (SELECT *, {_SIZE} AS size_class FROM catalog_b)"
 
 
 def _sized(t):
-    return t.catalog_b.withColumn("size_class", N.size_class(F.col("width_cm"), F.col("raw_size"), F.col("title")))
+    return _with_size(t.catalog_b)
+
+
+def _with_size(items):
+    return items.withColumn("size_class", N.size_class(F.col("width_cm"), F.col("raw_size"), F.col("title")))
 
 
 @query("nrm_item_flags", f"WITH {_SIZED} SELECT item_id, {_FLAGS_SQL} FROM sized", "catalog_b")
@@ -279,7 +285,8 @@ def nrm_stable_id(t):
 @query("nrm_finalize_items", f"""WITH {_SIZED} SELECT item_id, {_ID_SQL} AS id, {_STYLE_SQL} AS style_tags,
     {_ECO_SQL} AS eco_tags, {_FLAGS_SQL} FROM sized""", "catalog_b")
 def nrm_finalize_items(t):
-    return N.finalize_items(_sized(t)).select(
+    items = spread_rows(t.catalog_b.drop("raw_material", "raw_color", "brand", "price_amount"))
+    return N.finalize_items(_with_size(items)).select(
         "item_id", "id", F.array_join("style_tags", ",").alias("style_tags"),
         F.array_join("eco_tags", ",").alias("eco_tags"), "modular", "small_space", "delivery_complexity")
 
@@ -339,7 +346,7 @@ _CANON_FEED = """('https://' || lower(regexp_extract(url, '^https://([^/?#]+)',
       CAST(CASE WHEN trim(image_url) <> '' THEN 1 ELSE 0 END AS BIGINT) AS image_count FROM m""", "feed_b")
 def nrm_feed_item(t):
     mapped = N.map_feed_columns(t.feed_b, keep=("item_id", "source_id"))
-    items = N.normalize_feed(mapped, F.col("source_id"))
+    items = N.normalize_feed(spread_rows(mapped), F.col("source_id"))
     return items.select("id", "source_id", "canonical_url", "title", "brand", "price_amount", "price_currency", "size_class",
                         "material", "color_family", "new_used", F.size("images").cast("bigint").alias("image_count"))
 
@@ -363,4 +370,4 @@ _HYG_VIEW = """hyg AS (SELECT c.item_id AS id, CASE WHEN c.item_id % 3 = 0 THEN
 def nrm_hygiene_backfill(t):
     sql = _HYG_VIEW.format(c="{catalog_b}", p="{prices_b}")
     items = t.spark.sql(f"WITH {sql} SELECT * FROM hyg", catalog_b=t.catalog_b, prices_b=t.prices_b)
-    return N.hygiene_stats(N.hygiene_changes(items))
+    return N.hygiene_stats(N.hygiene_changes(spread_rows(items)))
