@@ -12,7 +12,7 @@ def analyzed(df) -> str:
 
 
 @pytest.mark.parametrize("name", ["cls_url_type", "flt_product_candidates", "url_rank_candidates", "nrm_style_tags", "nrm_finalize_items",
-                                  "nrm_feed_item", "nrm_hygiene_backfill"])
+                                  "nrm_feed_item", "nrm_hygiene_backfill", "agg_onboarding_weights"])
 def test_rows_are_dealt_before_they_are_worked_on(spark, name):
     assert "RepartitionByExpression" in analyzed(catalog.callables()[name](spark, DIR))
 
