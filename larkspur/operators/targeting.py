@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.numbers import js_round
+from larkspur.functions.staging import by_key
 from larkspur.functions.text import norm_token, norm_tokens
 from larkspur.session import materialize
 
@@ -118,8 +119,71 @@ def _index(rows: DataFrame, region: Column, styles: Column, sizes: Column) -> Da
     return (rows.withColumn("_region", F.explode(region)).withColumn("_style", F.explode(styles)).withColumn("_size", F.explode(sizes)))
 
 
+def _clean(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))) for c in ("style_tags", "size_classes")})
+
+
 def match_segments(profiles: DataFrame, segments: DataFrame, threshold: float = MATCH_THRESHOLD, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
-    """(session_id, segment_id, match_score) of matching pairs, through an inverted index.
+    """(session_id, segment_id, match_score) of matching pairs.
+
+    A score depends only on what kind of profile and segment meet: their styles, sizes, region and whether a budget is
+    known or asked for. Where kinds are much fewer than rows, kinds are matched and scored, and a pair of rows costs two
+    comparisons of budgets; else the rows themselves are matched, see `match_rows`.
+    """
+    low, high = F.coalesce("budget_min", F.lit(float("-inf"))), F.coalesce("budget_max", F.lit(float("inf")))
+    stated = F.col("budget_min").isNotNull() | F.col("budget_max").isNotNull()
+    rows = lambda df, own, budget, *bounds: _clean(df).select(own, F.array_sort("style_tags").alias("style_tags"), F.array_sort("size_classes").alias("size_classes"), "geo_region", budget.alias("_budget"), *bounds)
+    p = rows(profiles, "session_id", stated & (low <= high), low.alias("_plo"), high.alias("_phi"))
+    # a segment that asks for no budget meets every range; NaN is the greatest value
+    s = rows(segments.where(~stated | (low <= high)), "segment_id", stated, F.when(stated, low).otherwise(float("-inf")).alias("_slo"), F.when(stated, high).otherwise(float("nan")).alias("_shi"))
+    kinds_p, kinds_s = _kinds(p, "_pk"), _kinds(s, "_sk")
+    count = lambda df, n: df.agg(F.sum(n)).first()[0] or 0
+    if kinds_p.count() * kinds_s.count() * KIND_ROWS > count(kinds_p, "_np") * count(kinds_s, "_ns"):
+        return match_rows(profiles, segments, threshold, hot_rows, salts)
+    as_rows = lambda kinds, own: kinds.select(F.col(own), "style_tags", "size_classes", "geo_region", F.when(F.col("_budget"), 0.0).alias("budget_min"), F.lit(None).cast("double").alias("budget_max"))
+    scored = match_rows(as_rows(kinds_p, "_pk").withColumnRenamed("_pk", "session_id"), as_rows(kinds_s, "_sk").withColumnRenamed("_sk", "segment_id"), threshold, hot_rows, salts)
+    named = scored.select(F.col("session_id").alias("_pk"), F.col("segment_id").alias("_sk"), "match_score")
+    met = materialize(named.join(kinds_p.select("_pk", "_np"), "_pk").join(kinds_s.select("_sk", "_ns"), "_sk"), "segment-kinds")
+    return _expand(_with_kind(p, kinds_p, "_pk"), _with_kind(s, kinds_s, "_sk"), met)
+
+
+KIND = ("style_tags", "size_classes", "geo_region", "_budget")
+KIND_ROWS = 16  # pairs of rows a pair of kinds, at least, where matching goes by kinds
+GROUPS, GROUP_PAIRS = 512, 1 << 16  # groups that the pairs of rows are dealt over, and the least pairs of one
+
+
+def _kinds(rows: DataFrame, name: str) -> DataFrame:
+    """Distinct kinds of the rows, numbered, with their rows; written once, so that a number is one kind."""
+    counted = rows.groupBy(*KIND).agg(F.count("*").alias("_n" + name[1]))
+    return materialize(counted.withColumn(name, F.monotonically_increasing_id()), "kinds")
+
+
+def _with_kind(rows: DataFrame, kinds: DataFrame, name: str) -> DataFrame:
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in KIND]
+    return rows.alias("r").join(kinds.alias("k"), same[0] & same[1] & same[2] & same[3]).select(*[f"r.{c}" for c in rows.columns if c not in KIND], f"k.{name}")
+
+
+def _expand(p: DataFrame, s: DataFrame, met: DataFrame) -> DataFrame:
+    """Rows of the kinds that meet, where their budgets do.
+
+    The side that has fewer rows in all meetings is repeated for each kind that it meets, so rows join by the other's
+    kind. Kinds with many pairs are dealt over salts in proportion, so that all groups have about the same number.
+    """
+    all_p, all_s, total = met.agg(F.sum("_np"), F.sum("_ns"), F.sum(F.col("_np") * F.col("_ns"))).first()
+    key, other = ("_pk", "_sk") if (all_s or 0) <= (all_p or 0) else ("_sk", "_pk")
+    share = max((total or 0) / GROUPS, GROUP_PAIRS)
+    work = met.groupBy(key).agg(F.ceil(F.sum(F.col("_np") * F.col("_ns")) / share).alias("_salts"))
+    repeat = lambda rows: rows.join(met.select("_pk", "_sk", "match_score"), other)
+    p, s = (p, repeat(s)) if key == "_pk" else (repeat(p), s)
+    left = by_key(p.join(work, key).withColumn("_salt", F.pmod(F.xxhash64("session_id"), "_salts")), key, "_salt")
+    right = by_key(s.join(work, key).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1))), key, "_salt")
+    pairs = left.alias("l").join(right.alias("r").hint("shuffle_hash"), (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col("l._salt") == F.col("r._salt"))
+                                 & (F.col("_slo") <= F.col("_phi")) & (F.col("_plo") <= F.col("_shi")))
+    return pairs.select("session_id", "segment_id", "match_score")
+
+
+def match_rows(profiles: DataFrame, segments: DataFrame, threshold: float = MATCH_THRESHOLD, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+    """`match_segments` row by row, through an inverted index.
 
     A segment stands under every key (region, style, size) that satisfies it, a dimension it does not ask for as ANY; a
     profile looks under each of its own values and ANY. So a pair meets only where region, style and size agree, and its
@@ -128,9 +192,8 @@ def match_segments(profiles: DataFrame, segments: DataFrame, threshold: float =
     """
     some = lambda v: F.concat(v, F.array(F.lit(ANY)))
     asked = lambda v: F.when(F.size(v) > 0, v).otherwise(F.array(F.lit(ANY)))
-    clean = lambda df: df.withColumns({c: F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))) for c in ("style_tags", "size_classes")})
     pack = lambda df, key, x: df.select(key, F.struct(*PROFILE_FIELDS).alias(x))
-    p, s = pack(clean(profiles), "session_id", "p"), pack(clean(segments), "segment_id", "s")
+    p, s = pack(_clean(profiles), "session_id", "p"), pack(_clean(segments), "segment_id", "s")
     left = _index(p, F.array_compact(F.array(F.col("p.geo_region"), F.lit(ANY))), some(F.col("p.style_tags")), some(F.col("p.size_classes")))
     right = _index(s, F.array(F.coalesce("s.geo_region", F.lit(ANY))), asked(F.col("s.style_tags")), asked(F.col("s.size_classes")))
     keys = ["_region", "_style", "_size"]
@@ -156,9 +219,8 @@ def match_pairs(pairs: DataFrame, profiles: DataFrame, segments: DataFrame, thre
 
     Where the pairs are known, only these are scored: the rows are those of `pairs`, however many others match.
     """
-    clean = lambda df: df.withColumns({c: F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))) for c in ("style_tags", "size_classes")})
-    p = clean(profiles).select("session_id", F.struct(*PROFILE_FIELDS).alias("p"))
-    s = clean(segments).select("segment_id", F.struct(*PROFILE_FIELDS).alias("s"))
+    p = _clean(profiles).select("session_id", F.struct(*PROFILE_FIELDS).alias("p"))
+    s = _clean(segments).select("segment_id", F.struct(*PROFILE_FIELDS).alias("s"))
     asked = pairs.where(F.col("segment_id").isNotNull()).select("session_id", "segment_id").distinct()
     scored = asked.join(p, "session_id").join(s, "segment_id").withColumns(match_columns())
     return scored.where(F.col("all_required") & (F.col("match_score") >= threshold)).select("session_id", "segment_id", "match_score")
