@@ -8,6 +8,7 @@ limit of the two recency lists and travels as one array value.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -72,10 +73,10 @@ def deck_items(items: DataFrame, bounds=PRICE_BOUNDS) -> DataFrame:
 def offers(promoted: DataFrame, campaigns: DataFrame, products: DataFrame) -> DataFrame:
     """(item_id, offer) of promoted items: the segment that must match, null for a plain promotion; offers of campaigns
     that do not run, or do not list the item, drop. promoted: (item_id, campaign_id); campaigns: running ones."""
-    sets = products.groupBy("campaign_id").agg(F.count("*").alias("_size"))
+    sets = products.select("campaign_id", F.lit(True).alias("_set")).distinct()
     rows = (promoted.join(campaigns.select("campaign_id", "segment_id", "product_mode"), "campaign_id", "left").join(sets, "campaign_id", "left")
             .join(products.select("campaign_id", "item_id", F.lit(True).alias("_listed")).dropDuplicates(), ["campaign_id", "item_id"], "left"))
-    restricted = F.col("product_mode").isin("selected", "auto") & (F.coalesce("_size", F.lit(0)) > 0)
+    restricted = F.col("product_mode").isin("selected", "auto") & F.col("_set").isNotNull()
     fits = F.col("campaign_id").isNull() | (F.col("segment_id").isNotNull() & (~restricted | F.col("_listed").isNotNull()))
     return rows.where(fits).select("item_id", F.struct("campaign_id", "segment_id").alias("offer"))
 
@@ -297,24 +298,27 @@ def slate_facts(rows: Column) -> Column:
     return let(F.slice(rows, 1, 8), measure)
 
 
-def build_slates(sessions: DataFrame, weights: DataFrame, items: DataFrame, offered: DataFrame, swipes: DataFrame, cohorts: DataFrame, matches: DataFrame,
-                 as_of: Column, every: Column | int | None = None, bounds=PRICE_BOUNDS, options: DeckOptions = DeckOptions(), keep=lambda df, name: df) -> DataFrame:
+def build_slates(sessions: DataFrame, weights: DataFrame, items: DataFrame, offered: DataFrame, swipes: DataFrame, cohorts: DataFrame,
+                 matches: DataFrame | Callable[[DataFrame], DataFrame], as_of: Column, every: Column | int | None = None, bounds=PRICE_BOUNDS, options: DeckOptions = DeckOptions(), keep=lambda df, name: df) -> DataFrame:
     """One row per session: rows (the deck), fallback, variant and the facts of the slate.
 
     sessions: (session_id, pick_hash, onboarded, want_size_class, want_color_family, want_seat_bucket, modular_only,
     want_small_space, budget_min, budget_max); weights with cold starts merged in; offered: see `offers`; cohorts:
-    (pick_hash, item_id, normalized_score, rank); matches: (session_id, segment_id). `every`: a featured place's gap.
+    (pick_hash, item_id, normalized_score, rank); matches: (session_id, segment_id), or what gives them for the segments of
+    a (segment_id) table: only segments that offers in the pool ask for are looked at. `every`: a featured place's gap.
     keep(df, name) may write a table that is read more than once and return the copy.
     """
     o = options
     shown = keep(deck_items(items, bounds), "deck_items")
     order = [F.desc("updated_day"), F.desc("item_id")]
     listed = shown.join(offered, "item_id", "left")
-    pool = R.recent_pool(listed.where(F.col("offer").isNotNull()), listed, o.pool, order, carry=("row", "offer"))
+    pool = keep(R.recent_pool(listed.where(F.col("offer").isNotNull()), listed, o.pool, order, carry=("row", "offer")), "deck_pool")
+    asked = pool.select("offer.segment_id").where(F.col("segment_id").isNotNull()).distinct()
+    matches = matches(asked) if callable(matches) else matches.join(asked, "segment_id", "left_semi")
     facts = session_facts(sessions, weights, swipes, matches, cohorts, shown, as_of, o)
     facts = facts.withColumn("rate", R.adaptive_rate(o.exploration, F.col("confidence")) if o.exploration > 0 else F.lit(0.0))
     facts = facts.withColumn("_every", F.lit(o.shape.featured_every) if every is None else every if isinstance(every, Column) else F.lit(every))
-    slates = ranked(accepted(queue_lists(facts, keep(pool, "deck_pool")), o), o)
+    slates = ranked(accepted(queue_lists(facts, pool), o), o)
     slates = pin(slates, rows=S.mmr(F.col("rows"), o.mmr_lambda, o.mmr_top, 2 * o.limit))
     slates = pin(slates, rows=S.explore(F.col("rows"), F.col("session_id"), F.col("rate"), o.limit, o.seed))
     slates = pin(slates, rows=S.shape_slate(F.col("rows"), o.shape, F.col("_every")))

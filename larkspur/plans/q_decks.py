@@ -95,7 +95,7 @@ COLD = 24  # sessions with fewer swipes take onboarding picks and priors as well
 def offered(t):
     n = t.supplier.agg(F.count("*")).scalar()
     promoted = t.items_b.where("item_id % 3 = 0").select("item_id", F.when(F.col("item_id") % 4 != 0, 1 + F.col("item_id") % n).alias("campaign_id"))
-    products = t.lineitem.select(F.col("l_suppkey").alias("campaign_id"), F.col("l_partkey").alias("item_id")).distinct()
+    products = t.lineitem.select(F.col("l_suppkey").alias("campaign_id"), F.col("l_partkey").alias("item_id"))
     return D.offers(promoted, t.campaigns_b.where("status = 'active'"), products)
 
 
@@ -105,8 +105,7 @@ def slates(t):
     wanted = lambda df: df.join(t.deck_sessions_b.select("session_id"), "session_id", "left_semi")
     merged = P.merge_weights(weights(t), wanted(picks), wanted(P.onboarding_weights(onboarding(t))), counts, limited=COLD)
     running = t.campaigns_b.where("status = 'active'")
-    used = segments(t).join(running.select("segment_id"), "segment_id", "left_semi")
-    matches = T.match_segments(wanted(profiles(t)), used)
+    matches = lambda asked: T.match_segments(wanted(profiles(t)), segments(t).join(asked, "segment_id", "left_semi"))
     every = C.frequency_cap(running).scalar().cast("int")
     return D.build_slates(t.deck_sessions_b, materialize(merged, "deck_weights"), t.deck_items_b, offered(t), t.swipes_b, personas(t), matches, as_of(t), every, BOUNDS, OPTIONS, materialize)
 
